@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, quality_rules, rule_classifier, sharding
+from . import decontaminate, hmm_lm, line_dedup, mixing, quality_rules, rule_classifier, sharding, site_style
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op2_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.digest(table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,7 +40,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op4_decontaminate, op5_line_dedup, op7_quality_rules, op8_rule_classifier, op9_sharding)}
+def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_site_style, op4_decontaminate, op5_line_dedup, op7_quality_rules, op8_rule_classifier, op9_sharding, op10_hmm_lm)}
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
