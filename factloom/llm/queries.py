@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hmm_lm, line_dedup, mixing, quality_rules, rule_classifier, sharding, site_style
+from . import decontaminate, hmm_lm, line_dedup, minhash_forest, mixing, quality_rules, rule_classifier, sharding, site_style
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rejected_by")
 
@@ -44,7 +48,7 @@ def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_site_style, op4_decontaminate, op5_line_dedup, op7_quality_rules, op8_rule_classifier, op9_sharding, op10_hmm_lm)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_site_style, op4_decontaminate, op5_line_dedup, op6_minhash_forest, op7_quality_rules, op8_rule_classifier, op9_sharding, op10_hmm_lm)}
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
