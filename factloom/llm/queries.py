@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hmm_lm, line_dedup, minhash_forest, mixing, quality_rules, rule_classifier, sharding, site_style
+from . import decontaminate, hmm_lm, line_dedup, minhash_forest, mixing, quality_rules, rule_classifier, run_index, sharding, site_style
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.digest(table(spark, sf_dir, "pages"))
 
 
+def op3_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +52,7 @@ def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_site_style, op4_decontaminate, op5_line_dedup, op6_minhash_forest, op7_quality_rules, op8_rule_classifier, op9_sharding, op10_hmm_lm)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_site_style, op3_run_index, op4_decontaminate, op5_line_dedup, op6_minhash_forest, op7_quality_rules, op8_rule_classifier, op9_sharding, op10_hmm_lm)}
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
