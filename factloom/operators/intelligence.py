@@ -182,6 +182,10 @@ def keyword_metadata(df: DataFrame, key: str = "doc_id", model_terms: DataFrame
     return ranked.withColumn("rank", order).where("rank <= 12").select(key, "term", "origin", "score", "rank")
 
 
+def _meets(words: str, member: str) -> Column:
+    return F.exists(words, lambda k: k.contains(member) | F.lit(member).contains(k)).cast("int")
+
+
 def topics(df: DataFrame, lex: Lexicon = L.ENGLISH, words: str | None = None) -> DataFrame:
     """topic, topic_score, topic_confidence, topics (array, best first).  Title hits count in the body too.
 
@@ -195,7 +199,7 @@ def topics(df: DataFrame, lex: Lexicon = L.ENGLISH, words: str | None = None) ->
         for m in members:
             part = X.occurrences(head, m) * 280 + F.least(X.occurrences(body, m), F.lit(6)) * 75
             if words is not None:
-                part = part + F.exists(words, lambda k, m=m: k.contains(m) | F.lit(m).contains(k)).cast("int") * 220
+                part = part + _meets(words, m) * 220
             parts.append(part)
         scored.append(F.struct(_sum(parts).cast("long").alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("topic"), F.lit(category).alias("category")))
     df = df.withColumn("topics", F.sort_array(F.filter(F.array(*scored), lambda t: t["score"] > 0), asc=False))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import text_queries
+from . import claim_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES}
-ORACLES: dict[str, str] = {**text_queries.ORACLES}
+_PARTS = (text_queries, claim_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for part in _PARTS for k, q in part.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for part in _PARTS for k, q in part.ORACLES.items()}
