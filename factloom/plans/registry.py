@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import claim_queries, text_queries
+from . import claim_queries, data_queries, text_queries
 
-_PARTS = (text_queries, claim_queries)
+_PARTS = (text_queries, claim_queries, data_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for part in _PARTS for k, q in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for part in _PARTS for k, q in part.ORACLES.items()}
