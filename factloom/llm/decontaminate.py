@@ -115,22 +115,21 @@ def _scanner(state):
     return F.pandas_udf(scan, _HITS)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``hits``: n_words, begins and ends of hit word spans, items (as strings, sorted)."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, out: str = "hits") -> DataFrame:
+    """``docs`` with a column ``out``: n_words, begins and ends of hit word spans, items (as strings, sorted)."""
     spark = docs.sparkSession
     items = benchmark.where(F.col(item_col).isNotNull() & (F.length(item_text) > 0)).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("words"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("words") + F.length("item")), F.lit(0)).alias("b")).first().b
     blocks = max(1, math.ceil(2 * size / block_bytes) if size > block_bytes else 1)
     none, no_text = F.array().cast("array<int>"), F.array().cast("array<string>")
-    out = docs.withColumn("hits", F.struct(F.lit(0).cast("long").alias("n_words"), none.alias("begins"), none.alias("ends"), no_text.alias("items")))
+    found = docs.withColumn(out, F.struct(F.lit(0).cast("long").alias("n_words"), none.alias("begins"), none.alias("ends"), no_text.alias("items")))
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         windows = spark.sparkContext.broadcast(vars(Windows([(r.item, r.words) for r in block.collect()], n)))
-        found = _scanner(windows)(F.col(text_col), "hits.begins", "hits.ends", "hits.items")
-        out = out.withColumn("hits", found)
+        found = found.withColumn(out, _scanner(windows)(F.col(text_col), f"{out}.begins", f"{out}.ends", f"{out}.items"))
         if k + 1 < blocks:
-            out = materialise(out, "hits")
-    return out
+            found = materialise(found, "hits")
+    return found
 
 
 @F.pandas_udf(T.StringType())
@@ -155,11 +154,11 @@ def without_spans(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Ser
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
     """``docs`` without contaminated documents, or (``remove='spans'``) without the hit words."""
-    found = find_hits(docs, benchmark, **options)
+    found = find_hits(docs, benchmark, out="_hits", **options)
     if remove == "documents":
-        return found.where(F.size("hits.begins") == 0).drop("hits")
+        return found.where(F.size("_hits.begins") == 0).drop("_hits")
     text = options.get("text_col", "text")
-    return found.withColumn(text, without_spans(text, "hits.begins", "hits.ends")).drop("hits")
+    return found.withColumn(text, without_spans(text, "_hits.begins", "_hits.ends")).drop("_hits")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
