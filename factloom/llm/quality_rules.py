@@ -32,7 +32,7 @@ from .common import materialise, text_or_empty
 from .text_stats import text_stats
 
 #: Share of good documents that may be lost, and the probability of being wrong about it.
-RISK, DELTA = 0.02, 0.05
+RISK, DELTA = 0.05, 0.05
 LEVELS = 400
 EXACT_TERMS = 2000
 BROADCAST_STRATA = 10_000
