@@ -38,24 +38,24 @@ EXACT_TERMS = 2000
 BROADCAST_STRATA = 10_000
 
 
-def _share(a: str, b: str) -> Column:
-    return F.col(a) / F.greatest(F.col(b), F.lit(1))
-
-
-#: Name and statistic of each rule, scaled so that LEVELS is beyond its range.
-RULES: list[tuple[str, Column]] = [
-    ("symbols", _share("n_symbols", "word_chars") * LEVELS),
-    ("bars", _share("n_bars", "n_words") * LEVELS),
-    ("dup_lines", _share("n_dup_lines", "n_lines") * LEVELS),
-    ("repeats", _share("n_repeat_words", "n_words") * LEVELS),
-    ("capitals", _share("n_upper", "word_chars") * LEVELS),
-    ("shouts", _share("n_shouts", "n_words") * LEVELS),
-    ("long_words", _share("word_chars", "n_words") * 10),
+def _share(a: str, b: str) -> str:
+    return f"CAST({a} AS DOUBLE) / greatest({b}, 1)"
+
+
+#: Name and statistic (SQL) of each rule, scaled so that LEVELS is beyond its range.
+RULES: list[tuple[str, str]] = [
+    ("symbols", f"{_share('n_symbols', 'word_chars')} * {LEVELS}"),
+    ("bars", f"{_share('n_bars', 'n_words')} * {LEVELS}"),
+    ("dup_lines", f"{_share('n_dup_lines', 'n_lines')} * {LEVELS}"),
+    ("repeats", f"{_share('n_repeat_words', 'n_words')} * {LEVELS}"),
+    ("capitals", f"{_share('n_upper', 'word_chars')} * {LEVELS}"),
+    ("shouts", f"{_share('n_shouts', 'n_words')} * {LEVELS}"),
+    ("long_words", f"{_share('word_chars', 'n_words')} * 10"),
 ]
 
 
-def _level(stat: Column) -> Column:
-    return F.least(F.floor(stat), F.lit(LEVELS)).cast("int")
+def _level(stat: str) -> Column:
+    return F.least(F.floor(F.expr(stat)), F.lit(LEVELS)).cast("int")
 
 
 def certificate(k: str, n: str, rate: float) -> Column:

@@ -32,12 +32,13 @@ PENALTY, STEPS = 0.0005, 400
 THRESHOLD = 0.3
 
 
-def _ratio(a: str, b: str) -> Column:
-    return (F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("double")
+def _ratio(a: str, b: str) -> str:
+    return f"CAST({a} AS DOUBLE) / greatest({b}, 1)"
 
 
-FEATURES: dict[str, Column] = {
-    "words": F.col("n_words").cast("double"),
+#: The statistics (SQL) that rules are made of.
+FEATURES: dict[str, str] = {
+    "words": "CAST(n_words AS DOUBLE)",
     "word_length": _ratio("word_chars", "n_words"),
     "line_words": _ratio("n_words", "n_lines"),
     "distinct": _ratio("n_distinct", "n_words"),
@@ -171,7 +172,7 @@ def _lasso(x: np.ndarray, y: np.ndarray, bias: float) -> tuple[np.ndarray, float
 def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     raw = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))
     stats = raw.select("doc_id", *text_stats("_text")).select("*", "st.*").drop("st")
-    return stats.select("doc_id", *[c.alias(name) for name, c in FEATURES.items()])
+    return stats.select("doc_id", *[F.expr(c).alias(name) for name, c in FEATURES.items()])
 
 
 def train(features: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
@@ -200,5 +201,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     model = train(features, labels, rows)
     raw = docs.select(F.struct(*docs.columns).alias("_row"), text_or_empty("text").alias("_text"))
     stats = raw.select("_row", *text_stats("_text")).select("*", "st.*").drop("st")
-    scored = stats.select("_row", *[c.alias(name) for name, c in FEATURES.items()]).where(model.score() >= threshold)
+    scored = stats.select("_row", *[F.expr(c).alias(name) for name, c in FEATURES.items()]).where(model.score() >= threshold)
     return scored.select("_row.*")
