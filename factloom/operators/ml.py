@@ -214,15 +214,16 @@ def _features():
     return [HashingTF(inputCol="grams", outputCol="tf", numFeatures=1 << 15), IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2), Normalizer(inputCol="tfidf", outputCol="features", p=2.0)]
 
 
-def classifier(kind: str):
-    """Logistic regression or one-vs-rest linear SVM on hashed TF-IDF of words and pairs; expects ``grams``, ``y``, ``weight``."""
+def classifier(kind: str, n_labels: int = 2):
+    """Logistic regression or linear SVM (one against the rest for more than two labels) on hashed TF-IDF of words and pairs; expects ``grams``, ``y``, ``weight``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 
     if kind == "lr":
         last = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=0.01, maxIter=50)
     else:
-        last = OneVsRest(classifier=LinearSVC(maxIter=30, regParam=0.01), featuresCol="features", labelCol="y", weightCol="weight")
+        two = LinearSVC(featuresCol="features", labelCol="y", weightCol="weight", maxIter=20, regParam=0.01)
+        last = two if n_labels == 2 else OneVsRest(classifier=two, featuresCol="features", labelCol="y", weightCol="weight")
     return Pipeline(stages=[*_features(), last])
 
 
