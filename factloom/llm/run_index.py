@@ -14,7 +14,8 @@ by one at each step, which is streamed to the matching statistics.  Positions
 whose statistic reaches ``LENGTH`` start a repeated string.
 
 A key with more distinct stretches than an index should hold sends its strings,
-as 128-bit hashes, to one more aggregate instead.
+as 128-bit hashes, to one more aggregate instead: those that lie within what
+some other stretch of the key has in common on the left and on the right.
 
 Defined results: null text is empty; a text shorter than ``LENGTH`` keeps all;
 repeated rows are documents of their own, so they remove each other; ties don't
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 from .common import materialise, text_or_empty
 
 LENGTH, GRAM = 200, 32
-INDEX_BYTES, KEY_BYTES = 2 << 20, 8 << 20
+INDEX_BYTES, KEY_BYTES, HELD_BYTES = 256 << 10, 1 << 20, 32 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -118,23 +119,44 @@ class RunIndex:
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
         codes = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
-        codes[self.ends - 1] = 257 + np.arange(len(texts))  # each text ends in a letter of its own
+        self.codes = codes
+        codes[self.ends - 1] = 0  # ends of texts; matches are cut there
         self.n = n = len(codes)
+        # suffixes by their first seven letters, then by twice as many in turn
+        padded = np.concatenate([codes, np.zeros(7, np.int64)])
+        packed = np.zeros(n, np.int64)
+        for j in range(7):
+            packed = (packed << 9) | padded[j : j + n]
+        order = np.argsort(packed, kind="stable")
+        ordered = packed[order]
+        fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        rank = np.empty(n, np.int32)
+        rank[order] = first  # the place where the class of equal prefixes begins
+        open_ = np.sort(order[~fresh | np.append(~fresh[1:], False)])  # in classes of several
+        width = 7
         self.ranks: list[tuple[int, np.ndarray]] = []
-        _, rank = np.unique(codes, return_inverse=True)
-        width = 1
         while True:
-            rank = rank.astype(np.int64)
             self.ranks.append((width, rank))
-            if rank.max() == n - 1:
+            if not len(open_):
                 break
-            later = np.zeros(n, np.int64)
-            later[: n - width] = rank[width:] + 1
-            _, rank = np.unique(rank * (n + 1) + later, return_inverse=True)
+            old = rank[open_].astype(np.int64)
+            later = open_ + width
+            key = old * (n + 1) + np.where(later < n, rank[np.minimum(later, n - 1)].astype(np.int64) + 1, 0)
+            by = np.argsort(key, kind="stable")
+            key, old, open_ = key[by], old[by], open_[by]
+            at = np.arange(len(key))
+            fresh = np.concatenate(([True], key[1:] != key[:-1]))
+            whole = np.concatenate(([True], old[1:] != old[:-1]))
+            place = old + np.maximum.accumulate(np.where(fresh, at, 0)) - np.maximum.accumulate(np.where(whole, at, 0))
+            rank = rank.copy()
+            rank[open_] = place
+            open_ = np.sort(open_[~fresh | np.append(~fresh[1:], False)])
             width *= 2
         order = np.empty(n, np.int64)
         order[self.ranks[-1][1]] = np.arange(n)
         before = codes[order - 1]
+        before[rank[0]] = -1  # nothing stands before the first text
         change = np.flatnonzero(before[1:] != before[:-1]) + 1
         self.run_starts = np.concatenate(([0], change))
         self.run_heads = before[self.run_starts]
@@ -150,18 +172,25 @@ class RunIndex:
         for width, rank in reversed(self.ranks[:-1]):
             same = rank[np.minimum(a + total, self.n - 1)] == rank[np.minimum(b + total, self.n - 1)]
             total += width * same
+        going = a != b
+        for _ in range(6):  # widths are multiples of seven
+            x, y = a + total, b + total
+            going &= (x < self.n) & (y < self.n)
+            going &= self.codes[np.minimum(x, self.n - 1)] == self.codes[np.minimum(y, self.n - 1)]
+            total += going
         total[a == b] = 0
         return total
 
     def matching_statistics(self) -> np.ndarray:
-        """At each position, the length of the longest match that starts anywhere else."""
+        """At each position, the length of the longest match, within its text, that starts anywhere else."""
         out = np.zeros(self.n, np.int64)
         place = np.arange(self.n)
+        left = np.repeat(self.ends - 1, self.ends - self.starts) - place
         for samples, others in ((self.first_samples, self._above), (self.last_samples, self._below)):
             reach = np.full(self.n, -1, np.int64)
             np.maximum.at(reach, samples, self._common(samples, others) + samples)
             np.maximum(out, np.maximum.accumulate(reach) - place, out=out)
-        return out
+        return np.minimum(out, left)
 
 
 _STRETCH = "key long, g1 long, g2 long, doc long, row long, first int, last int, own boolean"
@@ -257,6 +286,45 @@ def spans_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate(([0], cut))].tolist(), (starts[np.append(cut, len(starts)) - 1] + length).tolist()))
 
 
+def _shared(parts: list[bytes]) -> list[int]:
+    """For each part, its longest common prefix with any other."""
+
+    def common(a: bytes, b: bytes) -> int:
+        low, high = 0, min(len(a), len(b))
+        while low < high:
+            mid = (low + high + 1) // 2
+            if a[:mid] == b[:mid]:
+                low = mid
+            else:
+                high = mid - 1
+        return low
+
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:]):
+        n = common(parts[i], parts[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def _reach(stretches_: list[bytes], key: int, length: int) -> list[tuple[int, int]]:
+    """Begin and end within which a string of each stretch can recur: as far as any other stretch agrees to the left and to the right of the key's gram.
+
+    A stretch that holds the gram more than once is left whole, and makes all others be so.
+    """
+    gram = min(GRAM, length)
+    places = []
+    for raw in stretches_:
+        at = np.arange(len(raw) - gram + 1)
+        found = np.flatnonzero(Prints(np.frombuffer(raw, np.uint8), _M1).of(at, at + gram).view(np.int64) == key)
+        if len(found) != 1:
+            return [(0, len(raw)) for raw in stretches_]
+        places.append(int(found[0]))
+    left = _shared([raw[:g][::-1] for raw, g in zip(stretches_, places)])
+    right = _shared([raw[g:] for raw, g in zip(stretches_, places)])
+    return [(g - x, g + y) for g, x, y in zip(places, left, right)]
+
+
 def _compare(length: int):
     def indexed(held: list[tuple]) -> list[tuple]:
         index = RunIndex([x[4] for x in held])
@@ -267,42 +335,56 @@ def _compare(length: int):
                 out += [(0, doc, row, first + a, first + b, 0, 0) for a, b in spans_of(np.flatnonzero(hit[begin:end]), length)]
         return out
 
-    def hashed(held: list[tuple]) -> list[tuple]:
+    def hashed(held: list[tuple], whole: bool, key: int):
+        """Rows of the strings' hashes; of a whole key only those that can have an equal one."""
+        reach = _reach([x[4] for x in held], key, length) if whole else None
         out = []
-        for alone, doc, row, first, raw in held:
+        for k, (alone, doc, row, first, raw) in enumerate(held):
+            at = np.arange(len(raw) - length + 1)
+            if reach is not None:
+                begin, end = reach[k]
+                at = at[(at >= begin) & (at + length <= end)]
+            if not len(at):
+                continue
             text = np.frombuffer(raw, np.uint8)
-            at = np.arange(len(text) - length + 1)
             h1, h2 = (Prints(text, m).of(at, at + length).view(np.int64) for m in (_M1, _M2))
-            out += [(1 if alone else 2, doc, row, first + s, first + s + length, int(a), int(b)) for s, a, b in zip(at.tolist(), h1, h2)]
-        return out
+            out += [(1 if alone else 2, doc, row, first + s, first + s + length, a, b) for s, a, b in zip(at.tolist(), h1.tolist(), h2.tolist())]
+            if len(out) > 50_000:
+                yield frame(out)
+                out = []
+        if out:
+            yield frame(out)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["kind", "doc", "row", "begin", "end", "h1", "h2"]).astype({"kind": np.int32, "begin": np.int32, "end": np.int32})
 
     def run(frames):
         ready, ready_bytes = [], 0  # stretches of whole keys
-        group, group_bytes, key = [], 0, None
+        group, group_bytes, key, parted = [], 0, None, False
+
+        def close():
+            """What the group that has ended yields."""
+            nonlocal ready, ready_bytes
+            if parted or group_bytes > KEY_BYTES:
+                yield from hashed(group, not parted, key)
+            else:
+                ready += group
+                ready_bytes += group_bytes
+            if ready_bytes >= INDEX_BYTES:
+                yield frame(indexed(ready))
+                ready, ready_bytes = [], 0
+
         for pdf in frames:
             for k, alone, doc, row, first, raw in zip(pdf["key"], pdf["alone"], pdf["doc"], pdf["row"], pdf["first"], pdf["bytes"]):
                 if k != key:
-                    if group_bytes > KEY_BYTES:
-                        yield frame(hashed(group))
-                    else:
-                        ready += group
-                        ready_bytes += group_bytes
-                    if ready_bytes >= INDEX_BYTES:
-                        yield frame(indexed(ready))
-                        ready, ready_bytes = [], 0
-                    group, group_bytes, key = [], 0, k
-                elif group_bytes > KEY_BYTES and len(group) >= 2000:
-                    yield frame(hashed(group))  # the key's size stays above the limit
-                    group = []
+                    yield from close()
+                    group, group_bytes, key, parted = [], 0, k, False
+                elif group_bytes > HELD_BYTES:  # more than is held: all strings of such a key go
+                    yield from hashed(group, False, key)
+                    group, group_bytes, parted = [], 0, True
                 group.append((alone, doc, row, first, raw))
                 group_bytes += len(raw)
-        if group_bytes > KEY_BYTES:
-            yield frame(hashed(group))
-        else:
-            ready += group
+        yield from close()
         if ready:
             yield frame(indexed(ready))
 
