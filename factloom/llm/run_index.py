@@ -13,9 +13,11 @@ is only computed at run ends, where it can't be derived; along the text it falls
 by one at each step, which is streamed to the matching statistics.  Positions
 whose statistic reaches ``LENGTH`` start a repeated string.
 
-A key with more distinct stretches than an index should hold sends its strings,
-as 128-bit hashes, to one more aggregate instead: those that lie within what
-some other stretch of the key has in common on the left and on the right.
+A key with more distinct stretches than an index should hold (``KEY_BYTES``)
+compares 128-bit hashes of its strings instead, of those that lie within what
+some other stretch of the key has in common on the left and on the right.  A key
+of which even the stretches are too many to hold (``HELD_BYTES``) sends its
+strings' hashes to one more aggregate.
 
 Defined results: null text is empty; a text shorter than ``LENGTH`` keeps all;
 repeated rows are documents of their own, so they remove each other; ties don't
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 from .common import materialise, text_or_empty
 
 LENGTH, GRAM = 200, 32
-INDEX_BYTES, KEY_BYTES, HELD_BYTES = 256 << 10, 1 << 20, 32 << 20
+INDEX_BYTES, KEY_BYTES, HELD_BYTES = 256 << 10, 1 << 20, 8 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -335,19 +337,16 @@ def _compare(length: int):
                 out += [(0, doc, row, first + a, first + b, 0, 0) for a, b in spans_of(np.flatnonzero(hit[begin:end]), length)]
         return out
 
-    def hashed(held: list[tuple], whole: bool, key: int):
-        """Rows of the strings' hashes; of a whole key only those that can have an equal one."""
-        reach = _reach([x[4] for x in held], key, length) if whole else None
+    def prints(raw: bytes, at: np.ndarray) -> list[np.ndarray]:
+        text = np.frombuffer(raw, np.uint8)
+        return [Prints(text, m).of(at, at + length).view(np.int64) for m in (_M1, _M2)]
+
+    def hashed(held: list[tuple]):
+        """Rows of all strings' hashes, for a key of which only a part is held."""
         out = []
-        for k, (alone, doc, row, first, raw) in enumerate(held):
+        for alone, doc, row, first, raw in held:
             at = np.arange(len(raw) - length + 1)
-            if reach is not None:
-                begin, end = reach[k]
-                at = at[(at >= begin) & (at + length <= end)]
-            if not len(at):
-                continue
-            text = np.frombuffer(raw, np.uint8)
-            h1, h2 = (Prints(text, m).of(at, at + length).view(np.int64) for m in (_M1, _M2))
+            h1, h2 = prints(raw, at)
             out += [(1 if alone else 2, doc, row, first + s, first + s + length, a, b) for s, a, b in zip(at.tolist(), h1.tolist(), h2.tolist())]
             if len(out) > 50_000:
                 yield frame(out)
@@ -355,6 +354,30 @@ def _compare(length: int):
         if out:
             yield frame(out)
 
+    def settled(held: list[tuple], key: int):
+        """Spans of a whole key that is too large for an index, by hashes of the strings that can recur."""
+        parts = []
+        for k, (begin, end) in enumerate(_reach([x[4] for x in held], key, length)):
+            at = np.arange(begin, end - length + 1)
+            if len(at):
+                parts.append(np.stack([np.full(len(at), k), at, *prints(held[k][4], at)]))
+        if not parts:
+            return
+        which, at, h1, h2 = np.concatenate(parts, axis=1)
+        order = np.lexsort((h2, h1))
+        same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+        hit = np.zeros(len(order), bool)
+        hit[order[1:][same]] = hit[order[:-1][same]] = True
+        which, at = which[hit], at[hit]
+        edges = np.flatnonzero(np.diff(which)) + 1
+        out = []
+        for starts, k in zip(np.split(at, edges), which[np.concatenate(([0], edges))] if len(which) else []):
+            alone, doc, row, first, _ = held[k]
+            if alone:
+                out += [(0, doc, row, first + a, first + b, 0, 0) for a, b in spans_of(starts, length)]
+        if out:
+            yield frame(out)
+
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["kind", "doc", "row", "begin", "end", "h1", "h2"]).astype({"kind": np.int32, "begin": np.int32, "end": np.int32})
 
@@ -365,8 +388,10 @@ def _compare(length: int):
         def close():
             """What the group that has ended yields."""
             nonlocal ready, ready_bytes
-            if parted or group_bytes > KEY_BYTES:
-                yield from hashed(group, not parted, key)
+            if parted:
+                yield from hashed(group)
+            elif group_bytes > KEY_BYTES:
+                yield from settled(group, key)
             else:
                 ready += group
                 ready_bytes += group_bytes
@@ -380,7 +405,7 @@ def _compare(length: int):
                     yield from close()
                     group, group_bytes, key, parted = [], 0, k, False
                 elif group_bytes > HELD_BYTES:  # more than is held: all strings of such a key go
-                    yield from hashed(group, False, key)
+                    yield from hashed(group)
                     group, group_bytes, parted = [], 0, True
                 group.append((alone, doc, row, first, raw))
                 group_bytes += len(raw)

@@ -132,6 +132,8 @@ def test_run_index_operator(docs, empty, monkeypatch):
     # strings of keys that are too large for an index take the other way, to the same result
     monkeypatch.setattr(run_index, "KEY_BYTES", 100)
     assert Counter(tuple(r) for r in run_index.digest(docs).collect()) == want
+    monkeypatch.setattr(run_index, "HELD_BYTES", 300)
+    assert Counter(tuple(r) for r in run_index.digest(docs).collect()) == want
     assert run_index.digest(empty).count() == 0
 
 
