@@ -376,7 +376,8 @@ def explain_terms(spark, sf_dir):
 
 
 def stemmed_vocabulary(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(M.terms(F.col("text"), stemmed=True)).alias("stem"))
+    """Stems of all texts, whatever their language, as the reference's tokenizer has them."""
+    d = read(spark, sf_dir, "documents").select(F.explode(M.terms(F.col("text"), stemmed=True)).alias("stem"))
     return d.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,5 +1,8 @@
 import datetime as dt
 import json
+import re
+import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ from factloom.operators import reputation as R
 from factloom.operators import search as Q
 from factloom.operators import store as ST
 from factloom.operators import trust as T
+from factloom.plans import data_queries
 from factloom.sources import datasets as DS
 from factloom.streaming import logs
 
@@ -185,6 +189,20 @@ def test_classifiers(spark):
     assert M.version("nb", "2026-07-06T20:14:01Z") == "nb-20260706-201401"
 
 
+def test_stemmed_vocabulary_reads_every_language(spark, tmp_path):
+    texts = [("The studies were published, 2024 reports https://x.example/running", "en"), ("Les études publiées étaient répétées", "fr"), ("Die Straßen führten über Brücken", "de"), ("Los niños publicaban estudios", "es"), ("Published studies of rows without language", None), (None, "en"), (None, None), ("", "fr")]
+    spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for t, _ in texts:
+        plain = unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode().lower()
+        for w in re.sub(r"[^a-z0-9\s]", " ", re.sub(r"https?://\S+", " ", plain)).split():
+            stem = M.Porter().stem(w)
+            if len(w) >= 3 and w not in M.STOP and not w.isdigit() and len(stem) >= 3 and stem not in M.STOP:
+                want[stem] += 1
+    got = data_queries.stemmed_vocabulary(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r.stem: r.n for r in got} == want
+
+
 def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
