@@ -336,6 +336,36 @@ def test_word_probabilities_sum_to_one(spark):
     assert 0 < singles.select(F.sum(F.pow(F.lit(10.0), "score"))).first()[0] < 1
 
 
+def test_rare_words_have_emissions_of_their_own(spark, monkeypatch):
+    """Against Baum-Welch over the whole vocabulary; words outside the table, alike in count and ending, tell the states apart."""
+    r = random.Random(8)
+    kinds = [(top, [f"{x}{i}x" for i in range(12)]) for top, x in (("alpha", "a"), ("beta", "b"))]
+    rows = [(i, " ".join(w for x in r.sample(far, 5) for w in (top, x))) for i, (top, far) in enumerate(k for _ in range(40) for k in kinds)]
+    probes = [(10**6, "a1x a2x a3x a4x new"), (10**6 + 1, "a1x b2x a3x b4x new")]
+    monkeypatch.setattr(hmm_lm, "TABLE_WORDS", 3)
+    first = np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.1, 0.9]])
+    sample = lambda texts, coder, prior, *_: (*first, np.stack([prior * [1 + 0.5 * s * {b"alpha": 1, b"beta": -1}.get(w, 0) for w in [*coder.index, b""]] for s in (1, -1)], axis=1))
+    monkeypatch.setattr(hmm_lm, "_start", sample)
+    got = {x.doc_id: x for x in hmm_lm.score(spark.createDataFrame(rows + probes, "doc_id long, text string"), states=2).collect()}
+
+    fold = lambda d: zlib.crc32(str(d).encode()) % 5
+    learn = [t.split() + ["\n"] for d, t in rows + probes if fold(d) != 1]
+    counts = Counter(w for t in learn for w in t)
+    vocabulary = sorted(counts) + ["?"]
+    place = {w: i for i, w in enumerate(vocabulary)}
+    codes = lambda t: np.array([place.get(w, len(counts)) for w in t])
+    prior = np.array([counts[w] + 0.5 for w in vocabulary]) / (sum(counts.values()) + 0.5 * len(vocabulary))
+    table = {w for w, _ in counts.most_common(3)}
+    assert table == {"alpha", "beta", "\n"}
+    together = sum(p for w, p in zip(vocabulary, prior) if w not in table)
+    model = (*first, np.stack([[(p if w in table else together) * (1 + 0.5 * s * {"alpha": 1, "beta": -1}.get(w, 0)) for w, p in zip(vocabulary, prior)] for s in (1, -1)], axis=1))
+    for _ in range(hmm_lm.PASSES):
+        model = hmm_lm.maximise(*hmm_lm.expect([codes(t) for t in learn], *model)[:3], prior, max(hmm_lm.WEIGHT, 0.5 * len(vocabulary)))
+    for d, t in rows + probes:
+        assert math.isclose(got[d].score, hmm_lm.forward_scores([codes(t.split() + ["\n"])], *model)[0], abs_tol=1e-4)
+    assert got[10**6].score > got[10**6 + 1].score + 0.3
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
