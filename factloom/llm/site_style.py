@@ -9,9 +9,9 @@ page repeats not at all.  A path's presentation counts by its tags and classes,
 as menus, notices, forms and the like are declared there.  A second pass drops
 the branches of low importance from each page and joins the blocks that remain.
 
-Pages with an article (or main) element are read inside it; there a block goes
-only if it is repeated by over half of the host's pages, at least ``MIN_PAGES``.
-Copies of one page count once, so a page that is copied often is not boilerplate.
+Pages with an article (or main) element are read inside it; they and the other
+pages of a host have a tree each, and the importance decides in both, from
+``MIN_PAGES`` different pages on.  Copies of one page count once, so a page that is copied often is not boilerplate.
 
 A host's table of repeated blocks holds at most 1 / share times the blocks of a
 page, however many pages the host has: it is joined by host, and broadcast only
@@ -36,9 +36,8 @@ from pyspark.sql import types as T
 
 from .common import materialise
 
-MIN_PAGES = 8
-#: Inside an article, a block on over this share of the pages is repeated; elsewhere the importance decides.
-ARTICLE_SHARE, IMPORTANCE = 0.5, 0.3
+#: One page tells nothing of what its host repeats.
+MIN_PAGES, IMPORTANCE = 2, 0.3
 BROADCAST_BYTES = 32 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(>|\Z)|</[^>]*(?:>|\Z)", re.S)
@@ -204,7 +203,7 @@ def style_tree(pages: DataFrame, html_col: str, min_pages: int = MIN_PAGES) -> D
     each = parsed.dropDuplicates(["host", "digest"]).select("host", "digest", "article", F.explode(F.arrays_zip("paths", "texts")).alias("x"))
     counts = materialise(each.groupBy("host", "article", F.col("x.paths").alias("path"), F.col("x.texts").alias("text")).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "blocks")
     pages_of = parsed.dropDuplicates(["host", "digest"]).groupBy("host", "article").agg(F.count(F.lit(1)).alias("n"))
-    low = F.when(F.col("article"), F.col("m") > ARTICLE_SHARE * F.col("n")).otherwise(1 - F.log("m") / F.log("n") < IMPORTANCE)
+    low = 1 - F.log("m") / F.log("n") < IMPORTANCE
     noisy = counts.join(pages_of, ["host", "article"]).where(F.col("n") >= min_pages).where(low)
     return noisy.groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("x")).select("host", F.col("x.path").alias("paths"), F.col("x.text").alias("texts"))
 

@@ -125,6 +125,19 @@ def test_site_style(spark):
     assert site_style.digest(pages.where("false")).count() == 0
 
 
+def test_site_style_importance_on_small_hosts_and_articles(spark):
+    """A block on m of n pages goes where 1 - log m / log n is under 0.3, from two pages on."""
+    rows = [(i, f"https://two.example/{i}", f"<body><div>Weather and markets</div><p>Story {i}</p></body>") for i in range(2)]
+    notes = {"every": 320, "some": 100, "few": 40}
+    rows += [(100 + i, f"https://big.example/{i}", f"<body><article><p>Story {i}</p>" + "".join(f"<p>{k} note</p>" for k, m in notes.items() if i < m) + "</article></body>") for i in range(320)]
+    rows += [(10, "https://one.example/", "<body><div>Weather and markets</div></body>")]
+    got = {r.page_id: r.main_text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    kept = [k for k, m in notes.items() if 1 - math.log(m) / math.log(320) >= 0.3]
+    assert kept == ["few"]
+    want = {i: f"Story {i}" for i in range(2)} | {100 + i: "\n".join([f"Story {i}", *[f"{k} note" for k in kept if i < notes[k]]]) for i in range(320)} | {10: "Weather and markets"}
+    assert got == want
+
+
 def test_run_index_operator(docs, empty, monkeypatch):
     want = Counter((d, *x) for (d, *_), x in zip(ROWS, brute.removed([r[1] for r in ROWS])))
     got = run_index.digest(docs)
