@@ -2,123 +2,163 @@
 
 Groups stand in the order of a 64-bit hash of their text.  The smallest shard
 capacity for which a greedy walk needs at most ``n_shards`` shards is found by
-binary search, and the cuts are made there.  The driver never sees the groups:
-it holds weights of hash prefixes, and asks Spark to split only those prefixes
-in which a cut can fall, until the lower and the upper bound of the capacity
-meet.  What it holds is bounded by the fan-out and the number of shards.
+binary search (``TRIED`` capacities at a time), and the cuts are made there.
+
+The driver never sees the groups.  It holds the weights of at most 2^``FIRST``
+prefixes of the hash, whatever the number of rows; these alone bound the
+capacity from both sides.  A walk then needs more only where a cut falls inside
+a prefix of several groups: Spark splits just those prefixes, for the next
+``AHEAD`` cuts of each tried capacity, so a question returns at most about
+TRIED * AHEAD^2 / 2 prefixes of 2^``BITS`` parts, and they are forgotten when
+the next capacities are tried.
 
 Everything runs as DataFrame expressions: one narrow table is written, each
-refinement is one partial aggregate over it, and slots come from a window over
+question is one partial aggregate over it, and slots come from a window over
 short runs plus an offset per run, so no shard passes through one task.
 
 Defined results: a null text has no bytes (size 1, crc32 0) and stands with the
 empty texts; repeated rows each get a slot of their own; a null id is sorted
 first; an empty table gives an empty result; columns beside id and text are
-neither read nor returned.  A group that outweighs the mean shard fills one
-alone, the others share the rest.
+neither read nor returned.  A group that outweighs the mean shard sets the
+capacity; others may stand beside it as far as they fit.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import materialise, text_or_empty
 
-BITS = 8
+FIRST, BITS = 16, 8
+TRIED, AHEAD = 8, 8
 _TOP = -(1 << 63)
 
 
-def _greedy(leaves: list[tuple], capacity: int, shards: int, split: bool) -> list[tuple[int, int]] | None:
-    """Cuts (leaf index, position) of a greedy walk, None if ``shards`` don't suffice.
-
-    With ``split`` a leaf of several groups may be cut anywhere.
-    """
-    cuts, filled, at = [], 0, 0
-    for i, (_, _, weight, single) in enumerate(leaves):
-        if filled + weight <= capacity:
-            filled, at = filled + weight, at + weight
-            continue
-        if single or not split:
-            if weight > capacity:
-                return None
-            cuts.append((i, at))
-            filled, at = weight, at + weight
-        else:
-            rest = weight
-            while filled + rest > capacity:
-                at, rest, filled = at + capacity - filled, rest - (capacity - filled), 0
-                cuts.append((i, at))
-                if len(cuts) >= shards:
-                    return None
-            filled, at = rest, at + rest
-        if len(cuts) >= shards:
-            return None
-    return cuts
-
-
-def _smallest(leaves: list[tuple], shards: int, split: bool) -> int:
-    low = max([-(-sum(x[2] for x in leaves) // shards), *(x[2] for x in leaves if x[3] or not split)])
-    high = max(low, sum(x[2] for x in leaves))
-    while low < high:
-        mid = (low + high) // 2
-        if _greedy(leaves, mid, shards, split) is None:
-            low = mid + 1
-        else:
-            high = mid
-    return low
-
-
-def _to_split(leaves: list[tuple], low: int, high: int, shards: int) -> list[tuple]:
-    """Leaves of several groups in which a cut of some capacity in [low, high] can fall."""
-    if heavy := [x for x in leaves if not x[3] and x[2] > low]:
-        return heavy
-    spans, starts, at = [], [], 0
-    for x in leaves:
-        starts.append(at)
-        at += x[2]
-    largest = max(x[2] for x in leaves if not x[3])
-    early = late = 0
-    for _ in range(shards - 1):
-        # no walk is behind one that loses a whole leaf at each cut, or ahead of one that loses nothing
-        ends = [s for s in starts if s <= early + low] or [0]
-        early = max(early, max(ends) - largest)
-        late = min(at, late + high)
-        spans.append((early, late))
-    return [x for x, s in zip(leaves, starts) if not x[3] and any(s < b and s + x[2] > a for a, b in spans)]
-
-
-def plan_cuts(slim: DataFrame, shards: int, bits: int = BITS) -> tuple[list[int], int]:
-    """Unsigned hash values at which shards 1, 2, ... begin, and the capacity."""
-
-    def weigh(level: int, parents: list[int] | None) -> list[tuple]:
-        width = min(64, bits * level)
+@dataclass(frozen=True)
+class Leaf:
+    """Groups whose hashes share a prefix of ``width`` bits."""
+
+    prefix: int
+    width: int
+    weight: int
+    single: bool
+
+    @property
+    def begin(self) -> int:
+        return self.prefix << (64 - self.width)
+
+
+class Leaves:
+    """Leaves in the order of the hash, and where each begins in the running sum of weights."""
+
+    def __init__(self, leaves: list[Leaf]):
+        self.all = sorted(leaves, key=lambda x: x.begin)
+        self.starts, at = [], 0
+        for x in self.all:
+            self.starts.append(at)
+            at += x.weight
+        self.total = at
+        self.heaviest = max((x.weight for x in self.all if x.single), default=0)
+
+    def bound(self, shards: int, split: bool) -> int:
+        """The smallest capacity if leaves of several groups can be cut anywhere (``split``), or nowhere."""
+        low = max([-(-self.total // shards), self.heaviest, *(x.weight for x in self.all if not split)])
+        high = max(low, self.total)
+        while low < high:
+            mid = (low + high) // 2
+            at = 0
+            for _ in range(shards):
+                k = bisect_right(self.starts, at + mid) - 1
+                inside = at + mid < self.total and split and not self.all[k].single
+                at = at + mid if inside or at + mid >= self.total else self.starts[k]
+            low, high = (low, mid) if at >= self.total else (mid + 1, high)
+        return low
+
+    def walk(self, capacity: int, shards: int, ahead: int, exact: bool = False) -> tuple[bool | None, list[int], list[Leaf]]:
+        """Whether ``shards`` of this capacity suffice (None: not known yet), the cuts (leaves) as far as they are certain, and the leaves to split to know more."""
+        if capacity < self.heaviest:
+            return False, [], []
+        cuts: list[int] = []
+        wanted: dict[Leaf, None] = {}
+        a = b = 0  # the shard begins between these
+        unknown = 0
+        for n in range(shards):
+            if a + capacity >= self.total and not (exact and wanted):
+                return True, cuts, []
+            if n == shards - 1:
+                break
+            if a + capacity >= self.total or unknown >= ahead:
+                return None, cuts, list(wanted)
+            i = bisect_right(self.starts, a + capacity) - 1
+            j = min(bisect_right(self.starts, b + capacity), len(self.all)) - 1
+            # certain places: a leaf's begin, or that of a leaf that can't be cut
+            early = max(a, self.starts[i])
+            late = self.starts[j] if self.all[j].single else min(b + capacity, self.total)
+            if late != early or unknown:
+                wanted |= dict.fromkeys(x for x in self.all[i : j + 1] if not x.single)
+                unknown += 1
+            else:
+                cuts.append(i)
+            a, b = early, late
+        if b + capacity < self.total:
+            return False, cuts, []
+        return None, cuts, list(wanted)
+
+
+def plan_cuts(slim: DataFrame, shards: int, first: int = FIRST, bits: int = BITS, asked: list[int] | None = None) -> tuple[list[int], int]:
+    """Unsigned hash values at which shards 1, 2, ... begin, and the capacity.  ``asked`` gets the number of rows of each answer to the driver."""
+
+    def weigh(width: int, parents: list[Leaf] | None) -> list[Leaf]:
         rows = slim
         if parents is not None:
-            above = F.shiftrightunsigned("h", 64 - bits * (level - 1))
-            rows = rows.where(above.isin([p - (1 << 64) if p >= 1 << 63 else p for p in parents]))
+            above = F.shiftrightunsigned("h", 64 - parents[0].width)
+            rows = rows.where(above.isin([x.prefix for x in parents]))
         child = F.shiftrightunsigned("h", 64 - width) if width < 64 else F.col("h")
-        out = rows.groupBy(child.alias("p")).agg(F.sum("size").alias("w"), (F.min("h") == F.max("h")).alias("one"))
-        return [(level, r.p & ((1 << 64) - 1), r.w, r.one) for r in out.collect()]
-
-    def begins(leaf: tuple) -> int:
-        return leaf[1] << (64 - min(64, bits * leaf[0]))
-
-    leaves = sorted(weigh(1, None), key=begins)
-    if not leaves:
+        out = rows.groupBy(child.alias("p")).agg(F.sum("size").alias("w"), (F.min("h") == F.max("h")).alias("one")).collect()
+        if asked is not None:
+            asked.append(len(out))
+        return [Leaf(r.p & ((1 << 64) - 1), width, r.w, r.one) for r in out]
+
+    def opened(leaves: Leaves, wanted: set[Leaf]) -> Leaves:
+        found = [x for x in leaves.all if x not in wanted]
+        for width in {x.width for x in wanted}:
+            found += weigh(min(64, width + bits), [x for x in wanted if x.width == width])
+        return Leaves(found)
+
+    roots = Leaves(weigh(first, None))
+    if not roots.all:
         return [], 0
+    low, high = roots.bound(shards, True), roots.bound(shards, False)
+    while low < high:
+        leaves = roots
+        tried = sorted({low + (high - low) * k // (TRIED + 1) for k in range(TRIED + 1)})
+        while tried:
+            open_, wanted = [], set()
+            for capacity in tried:
+                if not low <= capacity < high:
+                    continue
+                enough, _, more = leaves.walk(capacity, shards, AHEAD)
+                if enough is None:
+                    open_.append(capacity)
+                    wanted.update(more)
+                elif enough:
+                    high = capacity
+                else:
+                    low = capacity + 1
+            tried = [c for c in open_ if low <= c < high]
+            if tried:
+                leaves = opened(leaves, wanted)
+    leaves = roots
     while True:
-        low, high = _smallest(leaves, shards, True), _smallest(leaves, shards, False)
-        if low == high:
-            break
-        chosen = _to_split(leaves, low, high, shards) or [x for x in leaves if not x[3]]
-        leaves = [x for x in leaves if x not in set(chosen)]
-        for level in {x[0] for x in chosen}:
-            leaves += weigh(level + 1, [x[1] for x in chosen if x[0] == level])
-        leaves.sort(key=begins)
-    cuts = _greedy(leaves, high, shards, False) or []
-    return [begins(leaves[i]) for i, _ in cuts], high
+        enough, cuts, more = leaves.walk(high, shards, AHEAD, exact=True)
+        if enough:
+            return [leaves.all[i].begin for i in cuts], high
+        leaves = opened(leaves, set(more))
 
 
 def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", run_rows: int = 2000) -> DataFrame:
