@@ -1,14 +1,16 @@
 """Line dedup across documents.
 
-Hashes of line keys are range-partitioned on (hash, document, position) and
-sorted within partitions, so a line that a third of all documents hold spreads
-over many partitions.  Each partition is streamed once: the first document of a
-key is remembered, later documents' positions are dropped.  The key with which a
-partition begins may have begun before it; its rows wait, and are settled by a
-join with the first documents of the keys at partition borders (two rows for
-each partition, so broadcast).  What comes out is a compressed bitmap of kept
-lines for each document that loses any; texts are not moved until the bitmaps
-are applied.
+Hashes of line keys are written once, range-partitioned on (hash, document,
+position) and sorted within partitions, so a line that a third of all documents
+hold spreads over many partitions.  Each partition is streamed once: the first
+document of a key is remembered, later documents' positions are dropped.  The
+key with which a partition begins may have begun before it; its rows wait, and
+are settled by a join with the first documents of the keys at partition borders
+(two rows for each partition, so broadcast).  What comes out is a compressed
+bitmap of kept lines for each document that loses any (``keep_bitmaps``): it
+ends with the last line that goes, lines beyond it stay.  Texts move only if
+bitmaps are applied to them, and not even then while the bitmaps' measured size
+allows a broadcast.
 
 Keys are compared by 128 bits of hash.  Defined results: a null or empty text is
 one empty line; a null id counts as the largest id; rows that share an id are
@@ -24,13 +26,14 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, SPACES, UPPER, materialise, text_or_empty
 
 MIN_CHARS = 10
+BROADCAST_BYTES = 16 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -80,30 +83,35 @@ def _border(kind, doc, h1, h2):
 
 
 @F.pandas_udf(T.BinaryType())
-def _bitmap(positions: pd.Series, n_lines: pd.Series) -> pd.Series:
-    def pack(at, n):
-        kept = np.ones(n, bool)
+def _bitmap(positions: pd.Series) -> pd.Series:
+    def pack(at):
+        kept = np.ones(8 * (max(at) // 8 + 1), bool)  # whole bytes
         kept[np.asarray(at)] = False
         return zlib.compress(np.packbits(kept).tobytes())
 
-    return pd.Series([pack(a, n) for a, n in zip(positions, n_lines)], dtype=object)
+    return pd.Series([pack(a) for a in positions], dtype=object)
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, partitions: int | None = None) -> DataFrame:
-    """doc, row, n_dropped, positions: one row for each (id, text) that loses lines."""
+    """doc, row (hash of the text), n_dropped, keep_bitmap: one row for each (id, text) that loses lines."""
     spark = docs.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = line_keys(docs, id_col, text_col, min_chars)
+    keys = materialise(line_keys(docs, id_col, text_col, min_chars), "keys")
     dealt = keys.repartitionByRange(parts, "h1", "h2", "doc", "row", "pos").sortWithinPartitions("h1", "h2", "doc", "row", "pos")
     streamed = materialise(dealt.mapInPandas(_stream, _OUT), "lines")
     borders = streamed.where("kind = 2").groupBy("h1", "h2").agg(F.min("doc").alias("first"))
     waiting = streamed.where("kind = 1").join(F.broadcast(borders), ["h1", "h2"]).where("doc <> first")
     gone = streamed.where("kind = 0").select("doc", "row", "pos").unionByName(waiting.select("doc", "row", "pos"))
-    return gone.groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
+    positions = gone.groupBy("doc", "row").agg(F.collect_set("pos").alias("at"))
+    return positions.select("doc", "row", F.size("at").cast("long").alias("n_dropped"), _bitmap("at").alias("keep_bitmap"))
 
 
 def unpack(bitmap: bytes, n_lines: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=n_lines).astype(bool)
+    """Of each line, whether it stays; the bits are padded by ones."""
+    kept = np.ones(n_lines, bool)
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8))[:n_lines]
+    kept[: len(bits)] = bits
+    return kept
 
 
 def _kept_text(text: str, bitmap: bytes | None) -> str:
@@ -126,18 +134,17 @@ def _kept_sha(text: pd.Series, bitmap: pd.Series) -> pd.Series:
 def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with n_lines, n_dropped and keep_bitmap (null: every line stays).
 
-    Rows that lose lines go by their id and text hash to the bitmaps; sort-merge
-    joins may be split by AQE where one id has many rows.
+    Rows that lose lines go by their id and text hash to the bitmaps; beyond
+    ``BROADCAST_BYTES`` of bitmaps both sides are shuffled, and AQE may split
+    the join where one id has many rows.
     """
     text = text_or_empty(text_col)
-    gone = keep_bitmaps(docs, id_col, text_col, **options)
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col(id_col), F.lit(_LAST)), "_row": F.xxhash64(text), "n_lines": F.size(F.split(text, "\n")).cast("long")})
-    joined = keyed.join(gone.withColumnsRenamed({"doc": "_doc", "row": "_row"}), ["_doc", "_row"], "left")
-    return joined.withColumns({"n_dropped": F.coalesce(F.array_size("positions"), F.lit(0)).cast("long"), "keep_bitmap": _when_dropped(F.col("positions"), F.col("n_lines"))}).drop("_doc", "_row", "positions")
-
-
-def _when_dropped(positions: Column, n_lines: Column) -> Column:
-    return F.when(positions.isNotNull(), _bitmap(F.coalesce(positions, F.array().cast("array<int>")), n_lines))
+    bitmaps = materialise(keep_bitmaps(docs, id_col, text_col, **options), "bitmaps").withColumnsRenamed({"doc": "_doc", "row": "_row", "n_dropped": "_dropped"})
+    size = bitmaps.agg(F.coalesce(F.sum(F.octet_length("keep_bitmap") + 64), F.lit(0)).alias("b")).first().b
+    bitmaps = F.broadcast(bitmaps) if size <= BROADCAST_BYTES else bitmaps
+    keyed = docs.drop("n_dropped", "keep_bitmap").withColumns({"_doc": F.coalesce(F.col(id_col), F.lit(_LAST)), "_row": F.xxhash64(text), "n_lines": F.size(F.split(text, "\n")).cast("long")})
+    joined = keyed.join(bitmaps, ["_doc", "_row"], "left")
+    return joined.withColumn("n_dropped", F.coalesce("_dropped", F.lit(0))).drop("_doc", "_row", "_dropped")
 
 
 def digest(docs: DataFrame) -> DataFrame:
