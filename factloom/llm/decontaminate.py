@@ -1,15 +1,18 @@
 """Benchmark decontamination by n-grams of normalised words.
 
 Windows of benchmark items (``n`` consecutive words; an item of fewer words is
-one window) become a hash table that is broadcast to the workers, which scan
-each document once: words map to ids of the benchmark's vocabulary, a rolling
-sum of random multiples of the ids gives a fingerprint for each window, a bit
-table drops nearly all, and those left are compared word for word.  Spans or
-whole documents can be removed.
-
-The benchmark's size is measured first.  Blocks of at most ``BLOCK_BYTES`` of
-text are broadcast; a larger benchmark takes several passes, each of which adds
-its spans to the rows of the one before.
+one window) become a hash set that is broadcast to the workers: sorted 64-bit
+fingerprints, with each window's place in one array of word ids and a list of
+the items that hold it.  Workers scan each document once: words map to ids of
+the benchmark's vocabulary, a rolling sum of random multiples of the ids gives a
+fingerprint for each window, a bit table drops nearly all, and those left are
+looked up and compared word for word.  Spans or whole documents can be removed.
+
+A table's size is measured as built, and one of more than ``TABLE_BYTES`` is
+halved before it is broadcast; a benchmark of several tables takes several
+passes, each of which adds its spans to the rows of the one before.  A table is
+read to the driver ``BLOCK_BYTES`` of text at most at a time; a single item
+larger than that is a block of its own.
 
 Defined results: null or empty text has no words and no hit; an item without
 words has no window; items of equal text all count; repeated rows each get a
@@ -19,7 +22,6 @@ row; null item ids are passed over; other columns stay as they are.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -30,58 +32,90 @@ from pyspark.sql import types as T
 from .common import materialise
 
 N = 10
-BLOCK_BYTES = 32 << 20
-_TABLE_BITS = 20
+BLOCK_BYTES, TABLE_BYTES = 8 << 20, 64 << 20
 
 #: Bytes to words: ASCII upper case is folded, other ASCII but digits and letters splits, bytes from 0x80 on are word bytes.
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
 class Windows:
-    """The windows of a block of items."""
+    """The windows of a block of items, by their number of words."""
 
     def __init__(self, items: list[tuple[str, str]], n: int):
-        words: dict[bytes, int] = {}
-        grams: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            ids = [words.setdefault(w, len(words) + 1) for w in text.encode().translate(_FOLD).split(b" ") if w]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                grams[size][tuple(ids[i : i + size])].add(item)
-        self.words = words
-        self.grams = {size: dict(found) for size, found in grams.items()}
+        self.words: dict[bytes, int] = {}
+        self.items = [item for item, _ in items]
+        texts = [np.array([self.words.setdefault(w, len(self.words) + 1) for w in text.encode().translate(_FOLD).split()], np.int32) for _, text in items]
         rng = np.random.default_rng(7)
-        self.codes = rng.integers(1, 1 << 63, len(words) + 1, dtype=np.uint64)
+        self.codes = rng.integers(1, 1 << 63, len(self.words) + 1, dtype=np.uint64)
         self.factors = rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
+        self.ids = np.concatenate([*texts, np.empty(0, np.int32)])
+        lengths = np.array([len(t) for t in texts], np.int64)
+        begins = np.cumsum(lengths) - lengths
         self.tables = {}
-        for size, found in self.grams.items():
-            table = np.zeros(1 << _TABLE_BITS, bool)
-            ids = np.array(list(found), np.int64)
-            table[(self._prints(self.codes[ids]) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-            self.tables[size] = table
-
-    def _prints(self, codes):
-        return (codes * self.factors[: codes.shape[1]]).sum(axis=1, dtype=np.uint64)
+        for size in sorted(set(np.minimum(lengths, n).tolist()) - {0}):
+            own = np.flatnonzero(np.minimum(lengths, n) == size)
+            counts = lengths[own] - size + 1
+            item = np.repeat(own, counts)
+            place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + begins[item]
+            self.tables[size] = self._table(size, item, place)
+
+    def _prints(self, codes: np.ndarray, size: int) -> np.ndarray:
+        out = codes[: len(codes) - size + 1] * self.factors[0]
+        for j in range(1, size):
+            out += codes[j : len(codes) - size + 1 + j] * self.factors[j]
+        return out
+
+    def _table(self, size: int, item: np.ndarray, place: np.ndarray) -> tuple:
+        """Bits, sorted fingerprints, places and items of the distinct (window, item) pairs."""
+        prints = self._prints(self.codes[self.ids], size)[place]
+        order = np.lexsort((place, item, prints))
+        prints, item, place = prints[order], item[order], place[order]
+        # of an item's equal windows one is enough
+        new = np.ones(len(prints), bool)
+        words = np.lib.stride_tricks.sliding_window_view(self.ids, size)
+        new[1:] = (prints[1:] != prints[:-1]) | (item[1:] != item[:-1])
+        again = np.flatnonzero(~new)
+        for at in range(0, len(again), 1 << 16):  # a few rows of words at a time
+            k = again[at : at + (1 << 16)]
+            new[k] = (words[place[k]] != words[place[k - 1]]).any(axis=1)
+        prints, item, place = prints[new], item[new].astype(np.int32), place[new].astype(np.int32)
+        shift = 64 - min(26, max(16, math.ceil(math.log2(16 * len(prints)))))
+        bits = np.zeros(1 << (64 - shift), bool)
+        bits[(prints >> np.uint64(shift)).astype(np.int64)] = True
+        return np.uint64(shift), bits, prints, place, item
+
+    def nbytes(self) -> int:
+        """Of the arrays, and an estimate for the words (an object, an entry and a number each)."""
+        tables = sum(x.nbytes for t in self.tables.values() for x in t[1:])
+        return tables + self.ids.nbytes + self.codes.nbytes + sum(len(w) + 170 for w in self.words) + sum(len(i) + 60 for i in self.items)
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set]:
         """Number of words, hit word spans (begin, end), items."""
         words = text.encode().translate(_FOLD).split()
         n = len(words)
-        ids = np.fromiter(map(self.words.get, words, (0,) * n), np.int64, n)
+        ids = np.fromiter(map(self.words.get, words, (0,) * n), np.int32, n)
         spans, items = [], set()
         codes = self.codes[ids]
-        for size, table in self.tables.items():
-            m = n - size + 1
-            if m <= 0:
+        for size, (shift, bits, prints, place, item) in self.tables.items():
+            if n < size:
+                continue
+            own = self._prints(codes, size)
+            near = np.flatnonzero(bits[(own >> shift).astype(np.int64)])
+            if not len(near):
                 continue
-            prints = codes[:m] * self.factors[0]
-            for j in range(1, size):
-                prints += codes[j : j + m] * self.factors[j]
-            grams = self.grams[size]
-            for i in np.flatnonzero(table[(prints >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]).tolist():
-                if found := grams.get(tuple(ids[i : i + size].tolist())):
-                    spans.append((i, i + size))
-                    items |= found
+            low, high = np.searchsorted(prints, own[near], "left"), np.searchsorted(prints, own[near], "right")
+            near, low, high = near[high > low], low[high > low], high[high > low]
+            if not len(near):
+                continue
+            # each window against all table rows of its fingerprint
+            at = np.repeat(near, high - low)
+            row = np.arange(len(at)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+            step = np.arange(size)
+            for k in range(0, len(at), 1 << 16):
+                a, r = at[k : k + (1 << 16)], row[k : k + (1 << 16)]
+                same = (ids[a[:, None] + step] == self.ids[place[r][:, None] + step]).all(axis=1)
+                spans += [(i, i + size) for i in np.unique(a[same]).tolist()]
+                items |= {self.items[j] for j in np.unique(item[r[same]]).tolist()}
         return n, spans, items
 
 
@@ -115,20 +149,30 @@ def _scanner(state):
     return F.pandas_udf(scan, _HITS)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, out: str = "hits") -> DataFrame:
+def tables(items: DataFrame, n: int, block_bytes: int, table_bytes: int):
+    """The windows of all items (item, words) in tables of a bounded size, one after the other."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("words") + F.length("item")), F.lit(0)).alias("b")).first().b
+    todo = [(max(1, math.ceil(size / block_bytes)), k) for k in range(max(1, math.ceil(size / block_bytes)))]
+    while todo:
+        parts, k = todo.pop()
+        rows = [(r.item, r.words) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).collect()]
+        built = Windows(rows, n)
+        if built.nbytes() > table_bytes and len({item for item, _ in rows}) > 1:
+            todo += [(2 * parts, k), (2 * parts, k + parts)]
+        else:
+            yield built
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, table_bytes: int = TABLE_BYTES, out: str = "hits") -> DataFrame:
     """``docs`` with a column ``out``: n_words, begins and ends of hit word spans, items (as strings, sorted)."""
     spark = docs.sparkSession
     items = benchmark.where(F.col(item_col).isNotNull() & (F.length(item_text) > 0)).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("words"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("words") + F.length("item")), F.lit(0)).alias("b")).first().b
-    blocks = max(1, math.ceil(2 * size / block_bytes) if size > block_bytes else 1)
     none, no_text = F.array().cast("array<int>"), F.array().cast("array<string>")
     found = docs.withColumn(out, F.struct(F.lit(0).cast("long").alias("n_words"), none.alias("begins"), none.alias("ends"), no_text.alias("items")))
-    for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        windows = spark.sparkContext.broadcast(vars(Windows([(r.item, r.words) for r in block.collect()], n)))
-        found = found.withColumn(out, _scanner(windows)(F.col(text_col), f"{out}.begins", f"{out}.ends", f"{out}.items"))
-        if k + 1 < blocks:
+    for k, windows in enumerate(tables(items, n, block_bytes, table_bytes)):
+        if k:
             found = materialise(found, "hits")
+        found = found.withColumn(out, _scanner(spark.sparkContext.broadcast(vars(windows)))(F.col(text_col), f"{out}.begins", f"{out}.ends", f"{out}.items"))
     return found
 
 
