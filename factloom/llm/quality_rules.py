@@ -1,19 +1,23 @@
 """Quality rules whose cutoffs carry an exact risk certificate.
 
-Each rule rejects documents whose statistic lies at or above a cutoff.  The
-labelled good documents of a stratum (the language) are the holdout: a cutoff is
-certified if, were its true false-rejection rate above ``risk / rules``, so few
-rejected good documents would be seen with a probability of at most
-``delta / (strata * rules)`` (the exact binomial tail).  Cutoffs of one rule are
-tested in a fixed order, from the loosest to the tightest, ending at the first
-that fails, which needs no further correction; strata and rules share ``delta``
-by Bonferroni.  So with a confidence of 1 - delta, no stratum loses more than
-``risk`` of its good documents to the rules.  Among its certified cutoffs a rule
-takes the one that rejects most labelled bad documents, less the good ones; if
-there is none that gains, the rule does not reject in that stratum.
-
-For holdouts so large that the tail has over ``EXACT_TERMS`` terms, the Chernoff
-bound stands in, which is never below the tail.
+Each rule rejects documents whose statistic lies at or above a cutoff.  In each
+stratum (the language) the labelled documents are halved by a hash of the id.
+The first half orders the cutoffs: a cutoff's purity is the share of bad ones
+among the documents it rejects, and for a purity p the rules together take the
+lowest cutoffs that are at least as pure.  So there is one sequence of rule
+sets for a stratum, from the purest on, each of which rejects all that the one
+before does.
+
+The second half, the holdout, certifies them: a rule set passes if, were its
+true false-rejection rate above ``risk``, so few rejected good documents would
+be seen with a probability of at most ``delta / strata`` (the exact binomial
+tail).  Sets are tested in their order, ending at the first that fails, which
+needs no further correction; strata share ``delta`` by Bonferroni.  One test
+covers all rules at once, so the rules need no correction either.  With a
+confidence of 1 - delta, no stratum loses more than ``risk`` of its good
+documents to the rules.  Among its certified sets a stratum takes the one that
+rejects most bad documents of the holdout, less the good ones; if none gains,
+no rule rejects in that stratum.
 
 Built-in expressions only; one narrow table of statistics is written and read
 for calibration and verdict.  Defined results: null text counts as empty; a null
@@ -34,7 +38,6 @@ from .text_stats import text_stats
 #: Share of good documents that may be lost, and the probability of being wrong about it.
 RISK, DELTA = 0.05, 0.05
 LEVELS = 400
-EXACT_TERMS = 2000
 BROADCAST_STRATA = 10_000
 
 
@@ -58,42 +61,64 @@ def _level(stat: str) -> Column:
     return F.least(F.floor(F.expr(stat)), F.lit(LEVELS)).cast("int")
 
 
+def _log_factorial(x: str) -> str:
+    """ln x!, beyond 20 by Stirling's series, which is exact to double precision there."""
+    y = f"CAST({x} AS DOUBLE)"
+    series = f"{y} * ln({y}) - {y} + 0.5D * ln(2 * pi() * {y}) + 1 / (12 * {y}) - 1 / (360 * pow({y}, 3)) + 1 / (1260 * pow({y}, 5)) - 1 / (1680 * pow({y}, 7))"
+    return f"CASE WHEN {x} <= 20 THEN ln(factorial(CAST(least({x}, 20) AS INT))) ELSE {series} END"
+
+
 def certificate(k: str, n: str, rate: float) -> Column:
-    """log P(Bin(n, rate) <= k), or a bound above it."""
-    exact = f"""
-    aggregate(sequence(1L, least({k}, {EXACT_TERMS}L)), named_struct('t', {n} * ln(1 - {rate}D), 's', {n} * ln(1 - {rate}D)),
-      (a, i) -> named_struct('t', a.t + ln(({n} - i + 1) * {rate}D / (i * (1 - {rate}D))),
-        's', greatest(a.s, a.t + ln(({n} - i + 1) * {rate}D / (i * (1 - {rate}D))))
-             + ln(1 + exp(-abs(a.s - (a.t + ln(({n} - i + 1) * {rate}D / (i * (1 - {rate}D)))))))),
-      a -> a.s)"""
-    mean = f"({k} / CAST({n} AS DOUBLE))"
-    chernoff = f"-{n} * ({mean} * ln({mean} / {rate}D) + (1 - {mean}) * ln((1 - {mean}) / (1 - {rate}D)))"
-    return F.expr(f"CASE WHEN {k} >= {rate}D * {n} THEN 0D WHEN {k} = 0 THEN {n} * ln(1 - {rate}D) WHEN {k} <= {EXACT_TERMS} THEN {exact} ELSE {chernoff} END")
+    """log P(Bin(n, rate) <= k): the largest term, times the sum of the others' ratios to it.
+
+    The ratios fall from k downwards, ten standard deviations on below 1e-20; so
+    many are added.
+    """
+    top = f"({_log_factorial(n)}) - ({_log_factorial(k)}) - ({_log_factorial(f'({n} - {k})')}) + {k} * ln({rate}D) + ({n} - {k}) * ln(1 - {rate}D)"
+    terms = f"least({k}, CAST(10 * sqrt({n} * {rate}D) AS BIGINT) + 50)"
+    ratio = f"({k} - i + 1) / CAST({n} - {k} + i AS DOUBLE) * {(1 - rate) / rate!r}D"
+    rest = f"aggregate(sequence(1L, {terms}), named_struct('t', 1D, 's', 1D), (a, i) -> named_struct('t', a.t * {ratio}, 's', a.s + a.t * {ratio}), a -> a.s)"
+    return F.expr(f"CASE WHEN {k} >= {rate}D * {n} THEN 0D WHEN {k} = 0 THEN {n} * ln(1 - {rate}D) ELSE {top} + ln({rest}) END")
+
+
+def _purities(seen: DataFrame) -> DataFrame:
+    """stratum and, for each rule, its levels with a higher purity than any lower one: arrays of (level, purity)."""
+    names = [name for name, _ in RULES]
+    each = seen.where("half = 0").select("stratum", "quality", F.posexplode("levels").alias("rule", "level"))
+    counts = each.groupBy("stratum", "rule", "level").agg(F.count_if(F.expr("quality = 1")).alias("good"), F.count_if(F.expr("quality = 0")).alias("bad"))
+    down = W.partitionBy("stratum", "rule").orderBy(F.col("level").desc()).rowsBetween(W.unboundedPreceding, 0)
+    tails = counts.select("stratum", "rule", "level", F.sum("bad").over(down).alias("bad"), F.sum("good").over(down).alias("good"))
+    tails = tails.withColumn("purity", F.col("bad") / (F.col("bad") + F.col("good") + 1))
+    lower = W.partitionBy("stratum", "rule").orderBy("level").rowsBetween(W.unboundedPreceding, -1)
+    steps = tails.withColumn("below", F.coalesce(F.max("purity").over(lower), F.lit(0.0))).where("level > 0 AND purity > below")
+    per = [F.array_sort(F.collect_list(F.when(F.col("rule") == k, F.struct("level", "purity")))).alias(name) for k, name in enumerate(names)]
+    return steps.groupBy("stratum").agg(*per)
 
 
 def cutoffs(stats: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
     """stratum and cutoffs (map of rule to level): one row for each stratum in which a rule rejects."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    seen = stats.where("NOT base_failed").join(known, "doc_id")
-    each = seen.select("stratum", F.col("quality").cast("int").alias("quality"), F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), _level(stat).alias("level")) for name, stat in RULES])).alias("x"))
-    counts = each.groupBy("stratum", "x.rule", "x.level").agg(F.count_if(F.expr("quality = 1")).alias("good"), F.count_if(F.expr("quality = 0")).alias("bad"))
-    key = W.partitionBy("stratum", "rule")
-    down = key.orderBy(F.col("level").desc())
-    tests = counts.select(
-        "stratum",
-        "rule",
-        "level",
-        F.sum("good").over(down.rowsBetween(W.unboundedPreceding, 0)).alias("k"),
-        F.sum("good").over(key).alias("n"),
-        F.sum("bad").over(down.rowsBetween(W.unboundedPreceding, 0)).alias("bad"),
-    )
+    seen = stats.where("NOT base_failed").join(known, "doc_id").select("stratum", F.col("quality").cast("int").alias("quality"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), F.array(*[_level(stat) for _, stat in RULES]).alias("levels"))
+    seen = materialise(seen, "seen")
+    pure = materialise(_purities(seen), "purities")  # at most RULES * LEVELS entries for each stratum
+    few = F.broadcast(pure) if pure.count() <= BROADCAST_STRATA else pure
+
+    def reached(name: str, k: int) -> Column:
+        """The highest purity of the rule's cutoffs that reject the document."""
+        return F.aggregate(F.col(name), F.lit(0.0), lambda a, x: F.when(x["level"] <= F.col("levels")[k], F.greatest(a, x["purity"])).otherwise(a))
+
+    held = seen.where("half = 1").join(few, "stratum").withColumn("purity", F.greatest(*[reached(name, k) for k, (name, _) in enumerate(RULES)]))
+    counts = held.groupBy("stratum", "purity").agg(F.count_if(F.expr("quality = 1")).alias("good"), F.count_if(F.expr("quality = 0")).alias("bad"))
+    down = W.partitionBy("stratum").orderBy(F.col("purity").desc()).rowsBetween(W.unboundedPreceding, 0)
+    tests = counts.select("stratum", "purity", F.sum("good").over(down).alias("k"), F.sum("good").over(W.partitionBy("stratum")).alias("n"), F.sum("bad").over(down).alias("bad"))
     n_strata = counts.select("stratum").distinct().agg(F.count(F.lit(1)).alias("n_strata"))
     tests = tests.crossJoin(F.broadcast(n_strata))  # one row
-    rate = risk / len(RULES)
-    passed = certificate("k", "n", rate) <= F.log(F.lit(delta) / (F.col("n_strata") * len(RULES)))
-    tests = tests.withColumn("ok", F.min(passed.cast("int")).over(down.rowsBetween(W.unboundedPreceding, 0)) == 1)
-    best = tests.where("ok AND level > 0 AND bad > k").groupBy("stratum", "rule").agg(F.max(F.struct(F.col("bad") - F.col("k"), F.col("level"))).alias("m"))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "m.level"))).alias("cutoffs"))
+    passed = certificate("k", "n", risk) <= F.log(F.lit(delta) / F.col("n_strata"))
+    tests = tests.withColumn("ok", F.min(passed.cast("int")).over(down) == 1)
+    best = tests.where("ok AND purity > 0 AND bad > k").groupBy("stratum").agg(F.max(F.struct(F.col("bad") - F.col("k"), F.col("purity"))).alias("m"))
+    chosen = best.join(pure, "stratum")
+    lowest = [F.struct(F.lit(name).alias("rule"), F.array_min(F.transform(F.filter(name, lambda x: x["purity"] >= F.col("m.purity")), lambda x: x["level"])).alias("level")) for name, _ in RULES]
+    return chosen.select("stratum", F.map_from_entries(F.filter(F.array(*lowest), lambda x: x["level"].isNotNull())).alias("cutoffs"))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, stratum_col: str = "lang") -> DataFrame:
