@@ -175,12 +175,15 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return stats.select("doc_id", *[F.expr(c).alias(name) for name, c in FEATURES.items()])
 
 
-def train(features: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Labels of rows that aren't held out; where an id has several, the lowest counts."""
+def fit_ids(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, quality: about twice the labelled rows that the fit takes, none of them held out; where an id has several, the lowest counts."""
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(bucket_of_id() != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # only about twice the rows that are needed are ordered, so tasks return few
     share = min(1.0, 2 * rows / max(1, known.count()))
-    near = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) <= share * 1_000_000)
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) <= share * 1_000_000)
+
+
+def train(features: DataFrame, near: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """Of the rows of ``near`` (``fit_ids``), those first by a hash."""
     sample = features.join(near, "doc_id").orderBy(F.xxhash64(F.lit(9), F.col("doc_id")), "doc_id", *FEATURES).limit(rows)
     got = sample.select("quality", *FEATURES).collect()
     values = np.array([r[1:] for r in got], float).reshape(-1, len(FEATURES))
@@ -190,15 +193,19 @@ def train(features: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     features = materialise(feature_table(docs), "features")
-    model = train(features, labels, rows)
+    model = train(features, fit_ids(labels, rows), rows)
     scored = features.select("doc_id", (bucket_of_id() == 0).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their columns; texts don't move."""
-    features = materialise(feature_table(docs), "features")
-    model = train(features, labels, rows)
+    """The rows of ``docs`` that the classifier accepts, with their columns; texts don't move.
+
+    Statistics are computed for the rows of the fit first, a bounded number, and
+    for all rows in the one pass that scores them.
+    """
+    near = F.broadcast(materialise(fit_ids(labels, rows), "fit"))  # some 2 * FIT_ROWS ids
+    model = train(feature_table(docs.join(near.select("doc_id"), "doc_id", "left_semi")), near, rows)
     raw = docs.select(F.struct(*docs.columns).alias("_row"), text_or_empty("text").alias("_text"))
     stats = raw.select("_row", *text_stats("_text")).select("*", "st.*").drop("st")
     scored = stats.select("_row", *[F.expr(c).alias(name) for name, c in FEATURES.items()]).where(model.score() >= threshold)
