@@ -4,8 +4,9 @@ A string of ``LENGTH`` bytes is keyed by the least hash of the ``GRAM``-grams in
 it, so equal strings have equal keys.  Along a document, strings that follow
 each other mostly share their key: they form one stretch of bytes, a document
 yields about one stretch for 85 bytes, and each string lies in just one of them.
-Stretches meet by key, first as digests only: equal stretches are settled at
-once, lone keys drop out.  Of the others, one of each kind is fetched from its
+Stretches meet by key, first as 128-bit digests of their bytes only, streamed
+with one digest in memory: equal stretches are settled at once, lone keys drop
+out.  Of the others, one of each kind is fetched from its
 document, and the stretches of a number of keys are indexed together: suffixes
 are sorted, the Burrows-Wheeler transform is cut into runs, and suffix samples
 are kept at both ends of each run.  The longest match of any position elsewhere
@@ -31,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +41,7 @@ from .common import materialise, text_or_empty
 
 LENGTH, GRAM = 200, 32
 INDEX_BYTES, KEY_BYTES, HELD_BYTES = 256 << 10, 1 << 20, 8 << 20
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_M1 = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -60,8 +62,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def digests(raw: bytes, begin: list[int], end: list[int]) -> np.ndarray:
+    """Two 64-bit halves of a digest of each stretch of bytes."""
+    out = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begin, end)]), np.int64)
+    return out.reshape(-1, 2).T
+
+
 class Prints:
-    """Hashes of any substrings of a text, from prefix sums."""
+    """Hashes of any substrings of a text, from prefix sums, for keys: what has equal keys is compared by other means."""
 
     def __init__(self, raw: np.ndarray, m: np.uint64):
         n = len(raw)
@@ -107,10 +115,9 @@ def stretches(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     keys = _least(grams, length - gram + 1)
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     last = np.append(first[1:], len(keys)) - 1
-    g1 = one.of(first, last + length)
-    g2 = Prints(raw, _M2).of(first, last + length)
+    g1, g2 = digests(raw.tobytes(), first.tolist(), (last + length).tolist())
     own = _recurs(grams, keys, keys[first], first, last, length - gram + 1)
-    return keys[first].view(np.int64), g1.view(np.int64), g2.view(np.int64), first, last, own
+    return keys[first].view(np.int64), g1, g2, first, last, own
 
 
 class RunIndex:
@@ -223,43 +230,49 @@ def _frame(cols: list[list]) -> pd.DataFrame:
 _MET = "kind int, key long, doc long, row long, first int, last int"
 
 
+_WHERE = ["key", "doc", "row", "first", "last"]
+
+
 def _meet(frames):
     """Kind 0: the stretch has an equal one.  Kind 1: fetch it; kind 2: fetch it as a partner only (it has an equal one).
 
     Rows come sorted by key and digests.  A key with one digest needs
-    no bytes, unless its stretch can recur in itself.
+    no bytes, unless its stretch can recur in itself.  What a digest's first row
+    is for is known when the next digest begins, so that one row waits, with
+    whether its digest has had others and its key other digests.
     """
-    held = None
+    held, twin, sibling = None, False, False
+
+    def kind(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+        return rows[_WHERE].assign(kind=np.int32(k))[["kind", *_WHERE]]
+
     for pdf in frames:
-        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         if not len(pdf):
             continue
+        waiting = held is not None
+        pdf = pd.concat([held, pdf], ignore_index=True) if waiting else pdf.reset_index(drop=True)
         key, g1, g2 = (pdf[c].to_numpy() for c in ("key", "g1", "g2"))
-        same = (key[1:] == key[:-1]) & (g1[1:] == g1[:-1]) & (g2[1:] == g2[:-1])
-        edge = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-        if edge == 0:
-            held = pdf
-            continue
-        yield _settled(pdf.iloc[:edge], same[: edge - 1])
-        held = pdf.iloc[edge:].reset_index(drop=True)
-    if held is not None and len(held):
-        key, g1, g2 = (held[c].to_numpy() for c in ("key", "g1", "g2"))
-        yield _settled(held, (key[1:] == key[:-1]) & (g1[1:] == g1[:-1]) & (g2[1:] == g2[:-1]))
-
-
-def _settled(pdf: pd.DataFrame, same: np.ndarray) -> pd.DataFrame:
-    key = pdf["key"].to_numpy()
-    fresh = np.concatenate(([True], ~same))  # first row of its digest
-    twin = np.concatenate((same, [False])) | ~fresh  # has an equal one
-    new_key = np.concatenate(([True], key[1:] != key[:-1]))
-    group = np.cumsum(new_key) - 1
-    several = (np.bincount(group, fresh)[group] > 1) | pdf["own"].to_numpy()
-    parts = []
-    for kind, rows in ((0, twin), (1, several & ~twin), (2, several & twin & fresh)):
-        at = np.flatnonzero(rows)
-        part = pdf.iloc[at][["key", "doc", "row", "first", "last"]]
-        parts.append(part.assign(kind=np.int32(kind)))
-    return pd.concat(parts)[["kind", "key", "doc", "row", "first", "last"]]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])))
+        begins = np.flatnonzero(fresh)
+        counts = np.diff(np.append(begins, len(pdf)))
+        several = counts > 1
+        several[0] |= waiting and twin
+        others = np.zeros(len(begins), bool)  # digests whose key has another
+        same = key[begins[1:]] == key[begins[:-1]]
+        others[:-1] |= same
+        others[1:] |= same
+        others[0] |= waiting and sibling
+        equal = np.repeat(several, counts)
+        if waiting and twin:
+            equal[0] = False  # it has left as kind 0 before
+        yield kind(pdf[equal], 0)
+        done, last = begins[:-1], begins[-1]
+        needed = others[:-1] | pdf["own"].to_numpy()[done]
+        yield kind(pdf.iloc[done[needed & ~several[:-1]]], 1)
+        yield kind(pdf.iloc[done[needed & several[:-1]]], 2)
+        held, twin, sibling = pdf.iloc[last : last + 1], bool(several[-1]), bool(others[-1])
+    if held is not None and (sibling or held["own"].iloc[0]):
+        yield kind(held, 2 if twin else 1)
 
 
 _BYTES = "key long, alone boolean, doc long, row long, first int, bytes binary"
@@ -337,9 +350,8 @@ def _compare(length: int):
                 out += [(0, doc, row, first + a, first + b, 0, 0) for a, b in spans_of(np.flatnonzero(hit[begin:end]), length)]
         return out
 
-    def prints(raw: bytes, at: np.ndarray) -> list[np.ndarray]:
-        text = np.frombuffer(raw, np.uint8)
-        return [Prints(text, m).of(at, at + length).view(np.int64) for m in (_M1, _M2)]
+    def prints(raw: bytes, at: np.ndarray) -> np.ndarray:
+        return digests(raw, at.tolist(), (at + length).tolist())
 
     def hashed(held: list[tuple]):
         """Rows of all strings' hashes, for a key of which only a part is held."""
