@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,33 @@ def test_run_index_operator(docs, empty, monkeypatch):
     assert run_index.digest(empty).count() == 0
 
 
+def test_meeting_in_pieces_is_the_same():
+    """However the sorted rows are cut to batches, the same rows leave as the same kinds."""
+    r = random.Random(3)
+    rows = sorted((r.randrange(6), r.randrange(3), 0, i, 7, i, i + 1, r.random() < 0.1) for i in range(120))
+    whole = pd.DataFrame(rows, columns=["key", "g1", "g2", "doc", "row", "first", "last", "own"])
+    per_key = {k: {x[1] for x in rows if x[0] == k} for k in range(6)}
+    per = Counter(x[:3] for x in rows)
+    firsts = {x[:3]: x for x in reversed(rows)}
+    want = Counter()
+    for x in rows:
+        several = len(per_key[x[0]]) > 1 or x[7]
+        want[0, x[3]] += per[x[:3]] > 1
+        want[1, x[3]] += several and per[x[:3]] == 1
+        want[2, x[3]] += several and per[x[:3]] > 1 and firsts[x[:3]] is x
+    for size in (1, 2, 7, 50, 200):
+        got = pd.concat(list(run_index._meet(iter([whole.iloc[i : i + size] for i in range(0, len(whole), size)]))))
+        assert Counter(zip(got["kind"], got["doc"])) == +want
+
+
+def test_digests_tell_apart_what_polynomials_do_not():
+    """The Thue-Morse text and its complement agree in polynomial hashes modulo 2^64."""
+    text = np.array([bin(i).count("1") % 2 for i in range(4096)], np.uint8) + 97
+    other = (195 - text).astype(np.uint8)
+    a, b = (run_index.digests(x.tobytes(), [0], [4096]) for x in (text, other))
+    assert (a != b).all()
+
+
 def test_matching_statistics():
     r = random.Random(6)
     texts = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 40))) for _ in range(6)] + [b"abab" * 5, b"a"]
@@ -221,6 +249,8 @@ def test_decontaminate(spark, docs, empty, benchmark):
     check_sql(spark, "op4_decontaminate", got, {"documents": core(docs), "benchmark": benchmark})
     blocks = decontaminate.find_hits(core(docs), benchmark, block_bytes=300)
     assert Counter(r.doc_id for r in blocks.where("size(hits.begins) > 0").collect()) == Counter(r.doc_id for r in got.where("contaminated").collect())
+    halved = decontaminate.find_hits(core(docs), benchmark, table_bytes=2000)
+    assert Counter((r.doc_id, *map(tuple, (r.hits.begins, r.hits.ends, r.hits["items"]))) for r in halved.collect()) == Counter((r.doc_id, *map(tuple, (r.hits.begins, r.hits.ends, r.hits["items"]))) for r in decontaminate.find_hits(core(docs), benchmark).collect())
     kept = decontaminate.decontaminate(docs, benchmark)
     assert kept.columns == docs.columns
     assert kept.count() == got.where("NOT contaminated").count()
@@ -230,12 +260,23 @@ def test_decontaminate(spark, docs, empty, benchmark):
     assert decontaminate.digest(docs, benchmark.where("false")).where("contaminated").count() == 0
 
 
-def test_line_dedup(spark, docs, empty):
+def test_decontamination_table_grows_with_its_text():
+    """Few bytes for each byte of a large benchmark, measured as built."""
+    items = [(str(k), prose(400, 3000 + k)) for k in range(300)]
+    table = decontaminate.Windows(items, 10)
+    assert table.nbytes() < 10 * sum(len(t) for _, t in items) + (1 << 22)
+
+
+def test_line_dedup(spark, docs, empty, monkeypatch):
     got = line_dedup.digest(docs)
     check_sql(spark, "op5_line_dedup", got, {"documents": core(docs)})
     marked = line_dedup.with_bitmaps(docs, partitions=7)
     texts = {r.doc_id: r.t for r in marked.select("doc_id", line_dedup.kept_text(F.coalesce("text", F.lit("")), "keep_bitmap").alias("t")).collect()}
     assert texts[13] == "short\n" + prose(30, 13)
+    bitmaps = {r.doc: r for r in line_dedup.keep_bitmaps(docs).collect()}
+    assert bitmaps[13].n_dropped == 2 and line_dedup.unpack(bitmaps[13].keep_bitmap, 4).tolist() == [False, True, True, False]
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    check_sql(spark, "op5_line_dedup", line_dedup.digest(docs), {"documents": core(docs)})
     assert line_dedup.digest(empty).count() == 0
     many = spark.createDataFrame([(i, f"the very same line\nown line number {i}") for i in range(300)], "doc_id long, text string")
     one = line_dedup.digest(many)
@@ -270,6 +311,42 @@ def test_minhash_forest(spark, docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id IN (4, 5, 6)").count() == 0 and kept.where("doc_id = 16").count() == 1
 
 
+def test_ids_of_several_texts_lose_no_link(spark):
+    """5 stands for two texts, each of which has a near copy: all four rows are one component."""
+    one, two = prose(80, 1), prose(80, 2)
+    rows = [(5, one), (5, two), (9, one + " more"), (10, two + " more"), (7, prose(80, 3))]
+    got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (7, 7, True), (9, 5, False), (10, 5, False)]
+    kept = minhash_forest.keep_first(spark.createDataFrame(rows + rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [5, 7]
+
+
+def test_crowded_regions_are_split(spark, monkeypatch):
+    """A family of near copies far above a region's bound: the components are those of brute force."""
+    monkeypatch.setattr(minhash_forest, "CROWD", 6)
+    r = random.Random(21)
+    rows = []
+    for f in range(3):
+        base = prose(150, 400 + f).split()
+        for m in range(40):
+            words = list(base)
+            words[r.randrange(150)] = r.choice(WORDS)
+            rows.append((1000 * f + m, " ".join(words)))
+    got = {x.doc_id: x.component_id for x in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute.components(rows)
+    keyed = spark.createDataFrame([(1, d % 2, 0, 0, d, 5, 0, 0) for d in range(200)] + [(2, 0, 0, 0, 999, 5, 0, 0)], "key long, deep long, deeper long, tree int, id long, n long, s1 long, s2 long")
+    sizes = minhash_forest.regions(keyed.withColumn("deep", F.col("deep") * (1 << 62))).groupBy("region").count().collect()
+    assert sum(x["count"] for x in sizes) == 201 and max(x["count"] for x in sizes) <= 4 * 6
+
+
+def test_depth_and_sketch_follow_the_similarity():
+    for percent in (70, 80, 85, 95):
+        d = minhash_forest.least_depth(percent)
+        assert (1 - (percent / 100) ** d) ** minhash_forest.TREES <= minhash_forest.MISSED or d == 1
+    assert minhash_forest.least_depth(80) < minhash_forest.least_depth(85) <= 4
+    assert minhash_forest.sketch_apart(80) > minhash_forest.sketch_apart(85) > 128 * 0.075
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (100, 60), (7, 7)]
     got = {r.node: r.component for r in minhash_forest.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -294,11 +371,55 @@ def test_quality_rules_certify(spark):
     assert not any(r.kept for r in got if r.doc_id % 10 == 0)
 
 
+def test_quality_cutoffs_against_plain_tests(spark):
+    """Purities on one half, exact tests of the union of rules on the other, redone in plain Python."""
+    r = random.Random(9)
+    rows = []
+    for i in range(1500):
+        bad = i % 6 == 0
+        marks = r.randint(10, 25) if bad and i % 12 else r.randint(0, 2)
+        text = " ".join(w.upper() if bad and i % 12 == 0 and r.random() < 0.8 else w for w in prose(60, i).split()) + " $$$" * marks
+        rows.append((i, text, "en" if i // 12 % 3 else "de", "a"))
+    quality = {i: int(i % 6 != 0) if i % 97 else int(i % 6 == 0) for i in range(1500)}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in quality.items()], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    raw = docs.select("doc_id", F.col("lang").alias("stratum"), F.col("text").alias("_text"))
+    stats = raw.select("doc_id", "stratum", *quality_rules.text_stats("_text")).select("*", "st.*")
+    names = [n for n, _ in quality_rules.RULES]
+    seen = stats.select("doc_id", "stratum", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), *[quality_rules._level(c).alias(n) for n, c in quality_rules.RULES]).collect()
+    verdict = {x.doc_id: x for x in quality_rules.quality_verdicts(docs, labels).collect()}
+    assert not any(v.base_failed for v in verdict.values())
+    rejected = 0
+    for stratum in ("en", "de"):
+        here = [x for x in seen if x.stratum == stratum]
+        purity = {}
+        for n in names:
+            for level in {x[n] for x in here if x.half == 0}:
+                tail = [quality[x.doc_id] for x in here if x.half == 0 and x[n] >= level]
+                purity[n, level] = (len(tail) - sum(tail)) / (len(tail) + 1) if level else 0.0
+        reach = lambda x: max([0.0, *(p for (n, level), p in purity.items() if x[n] >= level)])
+        held = [(reach(x), quality[x.doc_id]) for x in here if x.half == 1]
+        good = sum(q for _, q in held)
+        best = (0, None)
+        for p in sorted({p for p, _ in held}, reverse=True):
+            k, b = sum(q for x, q in held if x >= p), sum(1 - q for x, q in held if x >= p)
+            if sum(math.comb(good, i) * 0.05**i * 0.95 ** (good - i) for i in range(k + 1)) > 0.05 / 2:
+                break
+            if p > 0 and (b - k, p) > best[:1] + ((best[1] or 0),) and b > k:
+                best = (b - k, p)
+        for x in here:
+            out = best[1] is not None and reach(x) >= best[1]
+            rejected += out
+            assert verdict[x.doc_id].kept == (not out), (stratum, x.doc_id)
+    assert rejected > 60
+
+
 def test_certificate_is_the_binomial_tail(spark):
-    for k, n in ((0, 50), (3, 400), (10, 1000), (40, 1000)):
-        exact = sum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1))
+    for k, n in ((0, 50), (3, 400), (10, 1000), (40, 1000), (25, 1300), (2500, 130_000)):
+        term = lambda i: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.02) + (n - i) * math.log(0.98))
+        exact = math.fsum(term(i) for i in range(k + 1))
         got = spark.createDataFrame([(k, n)], "k long, n long").select(quality_rules.certificate("k", "n", 0.02)).first()[0]
-        assert got == 0.0 if k >= 0.02 * n else math.isclose(math.exp(got), exact, rel_tol=1e-9)
+        assert got == 0.0 if k >= 0.02 * n else math.isclose(math.exp(got), exact, rel_tol=1e-8)
 
 
 def test_rule_classifier(spark, docs, labels, empty):
