@@ -2,6 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its
 predecessor; all but the last return the columns of ``documents``.
+
+Defined results: a null text counts as empty and is scored, has no near copy and
+no benchmark window, and takes no words in the mix, so it leaves in the fourth
+stage at the latest; a null id stays in the second stage; a null source is a
+source; of repeated rows of an id one stays in the second stage, of near copies
+the smallest id (ties can't be: ids are then distinct); documents that the mix
+repeats are rows of the last stage as often as it takes them; an empty table
+gives an empty result; columns beside those of ``documents`` stay until the last
+stage.
 """
 
 from __future__ import annotations
