@@ -44,6 +44,10 @@ def trust_level(score: Column, high: float = 75, moderate: float = 55) -> Column
     return F.when(score >= high, "High").when(score >= moderate, "Moderate").otherwise("Low")
 
 
+def credibility_level(score: Column, high: float = 75, moderate: float = 55) -> Column:
+    return F.concat(trust_level(score, high, moderate), F.lit(" credibility"))
+
+
 def rounded_percent(x: Column) -> Column:
     return js_round(F.when(x <= 1, x * 100).otherwise(x))
 

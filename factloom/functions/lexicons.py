@@ -93,7 +93,20 @@ REGISTRY = [
     ("realrawnews.com", ["realrawnews"], "Suspicious", 10, "Far Right / Conspiracy", "United States", "Low"),
     ("thelastlineofdefense.org", ["lastlineofdefense"], "Suspicious", 9, "Satire / Hoax", "United States", "Low"),
 ]
-TRUST_WEIGHTS = {"domain_reputation": 1.6, "author": 0.9, "source_reliability": 1.1, "emotional_language": 1.0, "clickbait": 1.0, "capitalization": 0.7, "punctuation": 0.5, "publication_date": 0.5, "article_length": 0.6, "writing_quality": 1.2}
+TRUST_WEIGHTS = {"ml_probability": 1.6, "clickbait_detection": 0.9, "domain_reputation": 1.1, "writing_quality": 1.0, "sensational_language": 1.0, "emotional_language": 0.7, "author_presence": 0.5, "publication_date": 0.5, "article_length": 0.6, "source_reliability": 1.2}
+#: What is said of a signal where it is strong, and where it is weak; the reputation and reliability of a source have texts of their own.
+TRUST_TEXTS = {
+    "ml_probability": ("The ML model strongly favors a legitimate article pattern", "The ML model assigns low credibility to the article language"),
+    "clickbait_detection": ("The headline avoids clickbait cues", "The headline uses clickbait-style phrasing"),
+    "writing_quality": ("Good writing quality", "Writing quality appears weak or inconsistent"),
+    "sensational_language": ("Little sensational language detected", "Sensational language reduces trust"),
+    "emotional_language": ("Neutral language", "Emotional language reduces credibility"),
+    "author_presence": ("Author information is available", "No author is provided"),
+    "publication_date": ("Publication date is available", "Publication date is missing"),
+    "article_length": ("Article length provides enough context", "Article length is too short or atypical"),
+}
+RULE_TITLES = {"clickbait_title": "Clickbait title", "excessive_capitalization": "Excessive capitalization", "excessive_punctuation": "Excessive punctuation", "emotional_language": "Emotional language", "sensational_phrases": "Sensational phrases", "suspicious_domain": "Suspicious domain", "article_length": "Article length", "missing_author": "Missing author", "missing_publication_date": "Missing publication date"}
+LANGUAGE_NAMES = {"en": "English", "es": "Spanish", "fr": "French", "de": "German", "it": "Italian", "pt": "Portuguese"}
 RULE_WEIGHTS = {"clickbait_title": 1.1, "excessive_capitalization": 0.9, "excessive_punctuation": 0.8, "emotional_language": 1.0, "sensational_phrases": 1.2, "suspicious_domain": 1.15, "article_length": 0.75, "missing_author": 0.8, "missing_publication_date": 0.8}
 
 

@@ -7,6 +7,7 @@ follows Unicode; white space includes the Unicode spaces.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -72,11 +73,46 @@ def occurrences(lowered: Column, phrase: str) -> Column:
     return F.regexp_count(lowered, F.lit(bounded(re.escape(phrase))))
 
 
+_PLAIN = re.compile(r"[a-z0-9_]+")
+
+
+def _needed(pattern: str) -> str:
+    """A literal part that any text with the pattern holds ('' if there is none to be seen), for a quick look first."""
+    if re.search(r"[|(){}\\]", pattern):
+        return ""
+    return max(re.split(r"\[[^]]*\][?*+]?|.[?*]|[.+^$]", pattern), key=len)
+
+
+def _found(lowered: Column, pattern: str) -> Column:
+    found = lowered.rlike(bounded(pattern))
+    part = _needed(pattern)
+    return F.contains(lowered, F.lit(part)) & found if part else found
+
+
+def _split_patterns(patterns: Iterable[str]) -> tuple[list[str], list[str]]:
+    """Single words, which are looked up among the text's words, and all others."""
+    each = list(dict.fromkeys(patterns))
+    return [p for p in each if _PLAIN.fullmatch(p)], [p for p in each if not _PLAIN.fullmatch(p)]
+
+
+def ascii_words(x: Column) -> Column:
+    return F.split(x, "[^A-Za-z0-9_]+")
+
+
 def patterns_present(lowered: Column, patterns: Iterable[str]) -> Column:
     """How many patterns occur (not how often)."""
-    out = F.lit(0)
-    for p in patterns:
-        out = out + lowered.rlike(bounded(p)).cast("int")
+    words, others = _split_patterns(patterns)
+    out = F.size(F.array_intersect(ascii_words(lowered), F.array(*[F.lit(w) for w in words]))) if words else F.lit(0)
+    for p in others:
+        out = out + _found(lowered, p).cast("int")
+    return out
+
+
+def any_present(lowered: Column, patterns: Iterable[str]) -> Column:
+    words, others = _split_patterns(patterns)
+    out = F.arrays_overlap(ascii_words(lowered), F.array(*[F.lit(w) for w in words])) if words else F.lit(False)
+    for p in others:
+        out = out | _found(lowered, p)
     return out
 
 
@@ -108,6 +144,20 @@ def syllables(word: Column) -> Column:
     return F.when(clean == "", 0).when(F.length(clean) <= 3, 1).otherwise(F.greatest(groups, F.lit(1)))
 
 
+def syllables_in(words: Column) -> Column:
+    """``syllables`` summed over an array of words without spaces: all words are counted in a few passes over their joined letters."""
+    begin, end = "(?<![a-z])", "(?![a-z])"
+    clean = F.regexp_replace(F.lower(F.array_join(words, " ")), "[^a-z ]+", "")
+
+    # words of up to three letters count one each and are taken out first
+    short = F.regexp_count(clean, F.lit(f"{begin}[a-z]{{1,3}}{end}"))
+    rest = F.regexp_replace(clean, f"{begin}[a-z]{{1,3}}{end}", "")
+    n = lambda p: F.regexp_count(rest, F.lit(p))
+    silent = n(f"e{end}") - n(f"[bcdfghjklmnpqrstvwxz]le{end}")
+    none = n(f"{begin}(?:[bcdfghjklmnpqrstvwxz]+|[bcdfghjklmnpqrstvwxz]*[aeiouy]*e){end}") - n(f"{begin}[bcdfghjklmnpqrstvwxz]+le{end}")
+    return short + n("[aeiouy]+") - silent + none
+
+
 def headline(x: Column) -> Column:
     """What stands before the first end of a sentence, 120 characters."""
     flat = collapse(x)
@@ -116,7 +166,10 @@ def headline(x: Column) -> Column:
 
 
 def title_from(x: Column, limit: int = 110) -> Column:
-    return F.substring(F.coalesce(F.get(sentences(x), F.lit(0)), F.lit("")), 1, limit)
+    """The first sentence, cut; blank text has a stand-in."""
+    flat = collapse(x)
+    first = F.trim(F.substring(F.coalesce(F.get(sentences(x), F.lit(0)), F.lit("")), 1, limit))
+    return F.when(flat == "", "Untitled Record").when(first == "", F.trim(F.substring(flat, 1, limit))).otherwise(first)
 
 
 def summary(head: Column, x: Column, most: int = 3) -> Column:
@@ -144,16 +197,34 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
+#: Named references that are decoded, in this order (fixed values).
 _ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">")]
 
 
+def utf16_char(code: Column) -> Column:
+    """The character of a UTF-16 code unit (a number modulo 65536); a lone surrogate becomes U+FFFD."""
+    unit = F.pmod(code, F.lit(1 << 16))
+    unit = F.when(unit.between(0xD800, 0xDFFF), 0xFFFD).otherwise(unit)
+    return F.decode(F.unhex(F.lpad(F.hex(unit), 4, "0")), "UTF-16BE")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, and stands once in the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _decoded(x: Column, ref: str, base: int) -> Column:
+    """Numeric references of one notation, in one pass: what they decode to isn't read again."""
+    char = lambda c: utf16_char(F.pmod(F.conv(c, base, 10).cast("decimal(20,0)"), F.lit(1 << 16)).cast("long"))
+    pieces = lambda v: F.zip_with(F.split(v, ref, -1), F.regexp_extract_all(v, F.lit(ref), F.lit(1)), lambda p, c: F.concat(p, F.when(c.isNull(), "").otherwise(char(c))))
+    return let(x, lambda v: F.when(v.rlike(ref), F.array_join(pieces(v), "")).otherwise(v))
+
+
 def decode_entities(x: Column) -> Column:
-    """Seven named references in turn (so ``&amp;lt;`` decodes twice), then numeric ones up to U+00FF by a fold over those present."""
+    """Seven named references in turn (so ``&amp;lt;`` decodes twice), then decimal and then hexadecimal ones."""
     for name, char in _ENTITIES:
         x = F.replace(x, F.lit(name), F.lit(char))
-    present = F.array_distinct(F.regexp_extract_all(x, F.lit(r"(&#[xX]?[0-9a-fA-F]+;)"), F.lit(1)))
-    code = lambda ref: F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(ref, "([0-9]+);", 1))
-    return F.aggregate(present, x, lambda acc, ref: F.replace(acc, ref, F.coalesce(F.char(F.try_to_number(code(ref), F.lit("999999999")).cast("long")), ref)))
+    return _decoded(_decoded(x, "&#([0-9]+);", 10), "&#[xX]([0-9a-fA-F]+);", 16)
 
 
 def strip_html(x: Column) -> Column:
@@ -161,13 +232,26 @@ def strip_html(x: Column) -> Column:
     return collapse(decode_entities(F.regexp_replace(bare, r"(?s)<[^>]+>", " ")))
 
 
-_FOLD_FROM = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_FOLD_TO = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition has ASCII parts: those with one part as two strings, those with several as a map."""
+    one, several = {}, {}
+    for code in (*range(0x80, 0xD800), *range(0xF900, 0xFFF0), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)):
+        parts = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if parts:
+            (one if len(parts) == 1 else several)[chr(code)] = parts
+    return "".join(one), "".join(one.values()), several
+
+
+FOLD_FROM, FOLD_TO, FOLD_WIDE = _folds()
+_WIDE = "[" + "".join(FOLD_WIDE) + "]"
 
 
 def fold_ascii(x: Column) -> Column:
-    """Accents folded (Latin-1), other non-ASCII dropped."""
-    return F.regexp_replace(F.translate(F.coalesce(x, F.lit("")), _FOLD_FROM, _FOLD_TO), r"[^\x00-\x7F]", "")
+    """Compatibility forms (accents, ligatures, full-width letters, fractions, ...) folded to their ASCII parts, other non-ASCII dropped."""
+    wide = F.create_map(*[F.lit(v) for pair in FOLD_WIDE.items() for v in pair])
+    found = lambda v: F.array_distinct(F.regexp_extract_all(v, F.lit(f"({_WIDE})"), F.lit(1)))
+    x = let(F.coalesce(x, F.lit("")), lambda v: F.when(v.rlike(_WIDE), F.aggregate(found(v), v, lambda acc, c: F.replace(acc, c, F.element_at(wide, c)))).otherwise(v))
+    return F.regexp_replace(F.translate(x, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
 
 
 def normal_text(x: Column) -> Column:

@@ -12,57 +12,90 @@ from factloom.functions import lexicons as L
 from factloom.functions import text as X
 
 #: Names of the meta tags of a publication date, in order of trust (fixed values).
-DATE_METAS = ["article:published_time", "publishdate", "pubdate", "date", "dc.date", "datepublished", "timestamp"]
+DATE_METAS = ["article:published_time", "article:modified_time", "pubdate", "publish-date", "date", "dc.date", "parsely-pub-date"]
+#: Types of a JSON-LD node that make it an article (fixed values).
+ARTICLE_TYPES = ["NewsArticle", "Article", "ReportageNewsArticle"]
+#: How deep arrays and graphs of JSON-LD nodes are followed.
+LD_DEPTH = 4
 PRIORITIES = {"json_ld": 3000, "article": 2500, "page": 1800, "description": 1200, "loose": 700}
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+let = X.let
 
 
 def meta_content(html: Column, name: str) -> Column:
     """Content of the first meta tag of that name or property, '' if there is none."""
-    quoted = name.replace(".", r"\.")
-    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1)), lambda t: t.rlike(rf"(?is)\b(?:name|property)\s*=\s*[\"']{quoted}[\"']"))
-    return F.coalesce(X.collapse(X.decode_entities(F.regexp_extract(F.get(tags, F.lit(0)), r"(?is)\bcontent\s*=\s*[\"']([^\"']*)[\"']", 1))), F.lit(""))
+    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<meta[^>]+>)"), F.lit(1)), lambda t: t.rlike(rf"(?i)(?:property|name)=[\"']{name}[\"']"))
+    return F.coalesce(X.collapse(X.decode_entities(F.regexp_extract(F.get(tags, F.lit(0)), r"(?i)content=[\"']([^\"']+)[\"']", 1))), F.lit(""))
 
 
 def published_at(html: Column) -> Column:
     return F.coalesce(*[F.nullif(meta_content(html, n), F.lit("")) for n in DATE_METAS], F.lit(""))
 
 
-def json_ld(html: Column) -> Column:
-    """title, text, author, published of the first article-like node; arrays and @graph are looked through, bad blocks skipped."""
-    blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    nodes = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.coalesce(
-                F.from_json(b, "array<struct<`@type`:string,headline:string,articleBody:string,author:string,datePublished:string>>"),
-                F.array().cast("array<struct<`@type`:string,headline:string,articleBody:string,author:string,datePublished:string>>"),
-            ),
-        )
-    )
-    graphs = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.coalesce(
-                F.from_json(b, "struct<`@graph`:array<struct<`@type`:string,headline:string,articleBody:string,author:string,datePublished:string>>>")["@graph"],
-                F.array().cast("array<struct<`@type`:string,headline:string,articleBody:string,author:string,datePublished:string>>"),
-            ),
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _items(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _ld_nodes(value: Column, depth: int = LD_DEPTH) -> Column:
+    """The objects of a JSON value in order: arrays are gone through, and an object is followed by those of its @graph."""
+    none = F.array().cast("array<variant>")
+    if not depth:
+        return none
+
+    def nodes(v: Column) -> Column:
+        graph = F.try_variant_get(v, "$['@graph']", "variant")
+        return (
+            F.when(F.startswith(_kind(v), F.lit("ARRAY")), F.flatten(F.transform(_items(v), lambda x: _ld_nodes(x, depth - 1))))
+            .when(F.startswith(_kind(v), F.lit("OBJECT")), F.concat(F.array(v), F.coalesce(_ld_nodes(graph, depth - 1), none)))
+            .otherwise(none)
         )
-    )
-    found = F.get(F.filter(F.concat(nodes, graphs), lambda n: n["@type"].rlike("(?i)article|posting|report")), F.lit(0))
-    author = author_name(found["author"])
-    return F.struct(found["headline"].alias("title"), found["articleBody"].alias("text"), author.alias("author"), found["datePublished"].alias("published"))
 
+    return let(value, nodes)
+
+
+def _ld_text(node: Column, *names: str) -> Column:
+    """The first of the fields that isn't empty, as plain text."""
+    found = [F.nullif(F.try_variant_get(node, f"$.{n}", "string"), F.lit("")) for n in names]
+    return X.collapse(X.decode_entities(F.coalesce(*found, F.lit(""))))
+
+
+def author_name(author: Column, depth: int = 3) -> Column:
+    """Of a JSON value: a string, an object's name, or up to three names of an array."""
+
+    def name(a: Column) -> Column:
+        out = F.when(a.isNull() | (_kind(a) == "VOID"), "").when(F.startswith(_kind(a), F.lit("OBJECT")), _ld_text(a, "name", "alternateName", "author"))
+        if depth:
+            names = F.filter(F.transform(_items(a), lambda x: author_name(x, depth - 1)), lambda n: n != "")
+            out = out.when(F.startswith(_kind(a), F.lit("ARRAY")), F.array_join(F.slice(names, 1, 3), ", "))
+        return out.otherwise(X.collapse(X.decode_entities(F.coalesce(F.try_variant_get(a, "$", "string"), F.lit("")))))
+
+    return let(author, name)
+
+
+def json_ld(html: Column) -> Column:
+    """title, text, author, published of the first article node of the first block that has one; blocks that aren't JSON are skipped."""
+    blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
+    nodes = F.flatten(F.transform(blocks, lambda b: F.coalesce(_ld_nodes(F.try_parse_json(X.collapse(b))), F.array().cast("array<variant>"))))
+
+    def is_article(node: Column) -> Column:
+        kinds = F.coalesce(F.try_variant_get(node, "$['@type']", "array<string>"), F.array(F.try_variant_get(node, "$['@type']", "string")))
+        return F.exists(kinds, lambda k: F.coalesce(k.isin(ARTICLE_TYPES), F.lit(False)))
+
+    def read(node: Column) -> Column:
+        return F.struct(
+            _ld_text(node, "headline", "name").alias("title"),
+            _ld_text(node, "articleBody", "description").alias("text"),
+            author_name(F.try_variant_get(node, "$.author", "variant")).alias("author"),
+            _ld_text(node, "datePublished", "dateCreated", "dateModified").alias("published"),
+        )
 
-def author_name(author: Column) -> Column:
-    """A string, an object's name, or up to three names of an array."""
-    names = F.slice(F.regexp_extract_all(author, F.lit(r'"name"\s*:\s*"([^"]*)"'), F.lit(1)), 1, 3)
-    plain = F.slice(F.regexp_extract_all(author, F.lit(r'"([^"]+)"'), F.lit(1)), 1, 3)
-    return F.when(author.rlike(r"^\s*\{|\{"), F.array_join(names, ", ")).when(author.rlike(r"^\s*\["), F.array_join(plain, ", ")).otherwise(X.collapse(author))
+    none = F.struct(*[F.lit("").alias(c) for c in ("title", "text", "author", "published")])
+    return F.coalesce(F.get(F.transform(F.slice(F.filter(nodes, is_article), 1, 1), read), F.lit(0)), none)
 
 
 def strip_blocks(html: Column) -> Column:

@@ -69,8 +69,8 @@ def readability_counts(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "words_alpha": F.size("_alpha"),
-            "n_syllables": F.aggregate("_alpha", F.lit(0), lambda a, w: a + X.syllables(w)),
-            "n_letters": F.aggregate("_alpha", F.lit(0), lambda a, w: a + F.length(w)),
+            "n_syllables": X.syllables_in(F.col("_alpha")),
+            "n_letters": F.length(F.array_join("_alpha", "")),
             "n_distinct": F.size(F.array_distinct("_alpha")),
             "n_sentences": F.size("sents"),
         }
@@ -228,11 +228,11 @@ def suspicious_sentences(df: DataFrame, key: str = "doc_id", lex: Lexicon = L.EN
 def _suspicion(sentence: Column, lex: Lexicon) -> Column:
     low = F.lower(sentence)
     points = (
-        F.when(X.patterns_present(low, lex.sensational) > 0, 45).otherwise(0)
-        + F.when(X.patterns_present(low, lex.emotional) > 0, 30).otherwise(0)
+        F.when(X.any_present(low, lex.sensational), 45).otherwise(0)
+        + F.when(X.any_present(low, lex.emotional), 30).otherwise(0)
         + F.when(sentence.rlike("[!?]{2,}"), 20).otherwise(0)
         + F.when(X.uppercase_ratio(sentence) > 0.24, 18).otherwise(0)
-        + F.when(X.patterns_present(low, lex.unsupported) > 0, 40).otherwise(0)
+        + F.when(X.any_present(low, lex.unsupported), 40).otherwise(0)
     )
     return F.least(points, F.lit(100)) / 100
 
@@ -246,12 +246,17 @@ def rules(df: DataFrame, lex: Lexicon = L.ENGLISH) -> DataFrame:
     """Nine rule columns r_*, rule_risk (weighted mean).  Expects host, badge (null: unknown source), author, published."""
     text = F.coalesce("text", F.lit(""))
     n = F.size("tokens")
-    caps = X.uppercase_ratio(text)
-    bursts = X.count_of(text, "[!?]{2,}")
-    density = (X.count_of(text, "[!?]") + bursts * 2) / F.greatest(n, F.lit(1))
-    emotional = X.patterns_present(F.col("lower_text"), lex.emotional)
-    sensational = X.patterns_present(F.col("lower_text"), lex.sensational)
-    clickbait = X.patterns_present(F.lower(F.trim(F.coalesce("title", F.lit("")))), lex.clickbait)
+    # each count is a column of its own first, so that no branch below computes it again
+    df = df.withColumns(
+        {
+            "_caps": X.uppercase_ratio(text),
+            "_marks": X.count_of(text, "[!?]") + X.count_of(text, "[!?]{2,}") * 2,
+            "_emotional": X.patterns_present(F.col("lower_text"), lex.emotional),
+            "_sensational": X.patterns_present(F.col("lower_text"), lex.sensational),
+            "_clickbait": X.patterns_present(F.lower(F.trim(F.coalesce("title", F.lit("")))), lex.clickbait),
+        }
+    )
+    caps, density, emotional, sensational, clickbait = F.col("_caps"), F.col("_marks") / F.greatest(n, F.lit(1)), F.col("_emotional"), F.col("_sensational"), F.col("_clickbait")
     badge, host = F.coalesce("badge", F.lit("Unknown")), F.coalesce("host", F.lit(""))
     odd_host = (host != "") & (badge != "Trusted") & B.suspicious_host(host)
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
@@ -269,7 +274,7 @@ def rules(df: DataFrame, lex: Lexicon = L.ENGLISH) -> DataFrame:
         }
     )
     weighted = _sum([F.col(f"r_{k}") * w for k, w in L.RULE_WEIGHTS.items()])
-    return df.withColumn("rule_risk", X.js_round(weighted / sum(L.RULE_WEIGHTS.values()), 4))
+    return df.withColumn("rule_risk", X.js_round(weighted / sum(L.RULE_WEIGHTS.values()), 4)).drop("_caps", "_marks", "_emotional", "_sensational", "_clickbait")
 
 
 def rule_findings(df: DataFrame) -> DataFrame:

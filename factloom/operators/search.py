@@ -35,10 +35,21 @@ def search(df: DataFrame, columns: list[str], needle: str = "", label: str = "",
 
 
 def paginate(df: DataFrame, order: list[Column], page: int, size: int = 10) -> DataFrame:
-    """Rows of one page, and the number of rows in all; by offset and limit, no window over everything."""
+    """Rows of one page, by offset and limit, no window over everything."""
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_of(df: DataFrame, order: list[Column], page: int, size: int = 10) -> tuple[DataFrame, dict]:
+    """One page, and its number, size, the rows in all and the pages in all (at least one)."""
+    total = df.count()
+    return paginate(df, order, page, size), {"page": page, "size": size, "total": total, "pages": max(1, -(-total // size))}
+
+
+def with_total(df: DataFrame) -> DataFrame:
+    """``total`` on each row: the number of rows that are there after a limit."""
+    return df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))  # one row
+
+
 def newest(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """Retention: the first ``n`` rows in an order."""
     return df.orderBy(*order).limit(n)
