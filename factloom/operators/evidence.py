@@ -89,12 +89,18 @@ def stance(lex: Lexicon) -> Column:
     )
 
 
-def claim_verdicts(claims: DataFrame, matches: DataFrame, corpus: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, claim_no, counts by stance, mean similarity, confidence, verdict; evidence distinct by title and stance, best five."""
-    named = matches.join(corpus.select("item_id", F.lower("title").alias("_t")), "item_id")
-    first = F.row_number().over(W.partitionBy(key, "claim_no", "_t", "stance").orderBy("rank"))
+def best_evidence(matches: DataFrame, corpus: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Matches distinct by source, title and stance, the best five of each claim, with item_source and item_title (lower case)."""
+    source = F.lower(F.coalesce("source", F.lit(""))) if "source" in corpus.columns else F.lit("")
+    named = matches.join(corpus.select("item_id", F.lower("title").alias("item_title"), source.alias("item_source")), "item_id")
+    first = F.row_number().over(W.partitionBy(key, "claim_no", "item_source", "item_title", "stance").orderBy("rank"))
     place = F.row_number().over(W.partitionBy(key, "claim_no").orderBy("rank"))
-    kept = named.withColumn("_f", first).where("_f = 1").withColumn("_p", place).where(F.col("_p") <= PER_CLAIM)
+    return named.withColumn("_f", first).where("_f = 1").withColumn("_p", place).where(F.col("_p") <= PER_CLAIM).drop("_f", "_p")
+
+
+def claim_verdicts(claims: DataFrame, matches: DataFrame, corpus: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, claim_no, counts by stance, mean similarity, confidence, verdict; of the best evidence."""
+    kept = best_evidence(matches, corpus, key)
     per = kept.groupBy(key, "claim_no").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("stance") == "SUPPORT").alias("n_support"),
@@ -124,9 +130,9 @@ def roll_up(verdicts: DataFrame, key: str = "doc_id") -> DataFrame:
         F.sum(F.floor(F.col("confidence") * 10000 + 0.5)).alias("_conf"),
     )
     overall = (
-        F.when((F.col("n_contradicted") > 0) & (F.col("n_supported") > 0), "MIXED")
-        .when(F.col("n_contradicted") > 0, "CONTRADICTS")
-        .when(F.col("n_supported") > 0, "SUPPORTS")
+        F.when(F.col("n_contradicted") > F.col("n_supported"), "CONTRADICTS")
+        .when(F.col("n_supported") > F.col("n_contradicted"), "SUPPORTS")
+        .when(F.col("n_supported") > 0, "MIXED")
         .otherwise("UNVERIFIED")
     )
     return per.withColumns({"overall": overall, "evidence_confidence": X.js_round(F.col("_conf") / F.col("n_claims") / 10000, 4)}).drop("_conf")

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from factloom.functions import lexicons as L
 from factloom.functions import text as X
 
+#: Stop words unless others are given: those of the articles' keywords and of the training data.
 STOP = sorted({*L.STOP_WORDS, *L.TRAINING_STOP_WORDS})
 MIN_ROWS = 20
 
@@ -113,9 +114,10 @@ def stem(words: Column) -> Column:
     return F.pandas_udf(run, T.ArrayType(T.StringType()))(words)
 
 
-def terms(text: Column, stemmed: bool = False) -> Column:
-    """Normal words of at least three letters that are no stop words or numbers."""
-    fit = lambda w: (F.length(w) >= 3) & ~w.isin(STOP)
+def terms(text: Column, stemmed: bool = False, stop: list[str] | None = None) -> Column:
+    """Normal words of at least three letters that are no stop words or numbers; stems too must pass."""
+    stop = STOP if stop is None else [*stop, *L.TRAINING_STOP_WORDS]
+    fit = lambda w: (F.length(w) >= 3) & ~w.isin(stop)
     words = F.filter(F.split(X.normal_text(text), " "), lambda w: fit(w) & ~w.rlike(r"^\d+$"))
     return F.filter(stem(words), fit) if stemmed else words
 
@@ -129,29 +131,81 @@ def grams(words: str) -> Column:
 # ---------------------------------------------------------------- relations
 
 
-def split(records: DataFrame, key: str = "doc_id", percent: int = 80, seed: int = 42) -> DataFrame:
-    """``in_train``: stratified by label, by rank of a hash of the id.
+def split(records: DataFrame, key: str = "doc_id", percent: int = 80, seed: int = 42, buckets: int = 4096) -> DataFrame:
+    """``in_train``: stratified by label, the first ``percent`` of each label by a hash of the id.
 
-    Ranks come from one window per label; a label of billions of rows would take
-    the threshold form, hash below a share, instead.
+    Rows are counted by label and range of the hash; only the range that a
+    label's cut falls in ranks its rows one by one, so no label passes one task.
     """
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    w = W.partitionBy("label")
-    place, n = F.row_number().over(w.orderBy(h, key)), F.count(F.lit(1)).over(w)
-    return records.withColumn("in_train", place * 100 <= n * percent)
+    dealt = records.withColumns({"_h": h, "_range": F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("double") * (buckets / 2.0**32)).cast("int")})
+    counts = dealt.groupBy("label", "_range").agg(F.count(F.lit(1)).alias("_c"))
+    by_label = W.partitionBy("label")  # at most ``buckets`` rows each
+    counts = counts.withColumns({"_before": F.sum("_c").over(by_label.orderBy("_range")) - F.col("_c"), "_n": F.sum("_c").over(by_label)})
+    placed = dealt.join(counts, ["label", "_range"])
+    inside, cut = W.partitionBy("label", "_range").orderBy("_h", key), F.floor(F.col("_n") * percent / 100)
+    whole = F.col("_before") + F.col("_c") <= cut
+    border = placed.where(~whole & (F.col("_before") < cut)).withColumn("_place", F.col("_before") + F.row_number().over(inside))
+    rest = placed.where(whole | (F.col("_before") >= cut)).withColumn("_place", F.when(whole, 0).otherwise(F.col("_n")).cast("long"))
+    both = rest.unionByName(border)
+    return both.withColumn("in_train", (F.col("_place") == 0) | ((F.col("_place") <= cut) & (F.col("_before") < cut))).drop("_h", "_range", "_c", "_before", "_n", "_place")
+
+
+def fit_tfidf(docs: DataFrame, min_df: int = 2, max_share: float = 0.97) -> DataFrame:
+    """term, idf: of terms in at least ``min_df`` documents and at most that share; expects ``words``."""
+    df = docs.select(F.explode(F.array_distinct(grams("words"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    kept = df.crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n_docs")))  # n is one row
+    return kept.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf(docs: DataFrame, key: str = "doc_id", min_df: int = 2, max_share: float = 0.97) -> DataFrame:
-    """key, term, weight: (1 + ln tf)(ln((1 + N) / (1 + df)) + 1), of norm 1 for each document; expects ``words``."""
+def weigh(docs: DataFrame, idf: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, term, weight: (1 + ln tf) idf over known terms, of norm 1 for each document; expects ``words``."""
     tf = docs.select(key, F.explode(grams("words")).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    kept = df.crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n_docs")))  # n is one row
-    raw = tf.join(kept, "term").withColumn("raw", (1 + F.log("tf")) * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
+    raw = tf.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
+def tfidf(docs: DataFrame, key: str = "doc_id", min_df: int = 2, max_share: float = 0.97) -> DataFrame:
+    """``weigh`` of the documents that also give the document frequencies."""
+    return weigh(docs, fit_tfidf(docs, min_df, max_share), key)
+
+
+def naive_bayes_weights(weights: DataFrame, records: DataFrame, key: str = "doc_id", alpha: float = 0.35) -> tuple[DataFrame, DataFrame]:
+    """Multinomial naive Bayes over tf-idf weights: (label, term, gain) and (label, prior, unseen).
+
+    ``gain`` is what a term adds beyond ``unseen``, the log probability of a term
+    that the label has not.
+    """
+    sums = weights.join(records.select(key, "label"), key).groupBy("label", "term").agg(F.sum("weight").alias("w"))
+    size = sums.agg(F.count_distinct("term").alias("v"))
+    totals = sums.groupBy("label").agg(F.sum("w").alias("total")).crossJoin(F.broadcast(size))  # one row
+    n = records.agg(F.count(F.lit(1)).alias("n"))
+    priors = records.groupBy("label").agg(F.count(F.lit(1)).alias("n_l")).crossJoin(F.broadcast(n))  # one row
+    whole = F.col("total") + alpha * F.col("v")
+    labels = priors.join(totals, "label").select("label", F.log(F.col("n_l") / F.col("n")).alias("prior"), F.log(F.lit(alpha) / whole).alias("unseen"))
+    return sums.select("label", "term", F.log((F.col("w") + alpha) / F.lit(alpha)).alias("gain")), labels
+
+
+def naive_bayes_scores(weights: DataFrame, docs: DataFrame, model: tuple[DataFrame, DataFrame], key: str = "doc_id") -> DataFrame:
+    """key, label, score of each label (few rows) for each document; terms outside the vocabulary are passed over."""
+    gains, labels = model
+    known = weights.join(gains.select("term").distinct(), "term", "left_semi")
+    size = known.groupBy(key).agg(F.sum("weight").alias("w"))
+    base = docs.select(key).join(size, key, "left").crossJoin(F.broadcast(labels))  # one row for each label
+    extra = known.join(gains, "term").groupBy(key, "label").agg(F.sum(F.col("weight") * F.col("gain")).alias("gain"))
+    return base.join(extra, [key, "label"], "left").select(key, "label", (F.col("prior") + F.coalesce("w", F.lit(0.0)) * F.col("unseen") + F.coalesce("gain", F.lit(0.0))).alias("score"))
+
+
+def best_label(scores: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, predicted, probability: softmax over the labels' scores; ties go to the label that is first by name."""
+    per = scores.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-X.js_round(F.col("score"), 9)).alias("s"), "label"))).alias("x"))
+    top = F.col("x")[0]
+    total = F.aggregate("x", F.lit(0.0), lambda a, y: a + F.exp(top["s"] - y["s"]))
+    return per.select(key, top["label"].alias("predicted"), (1 / total).alias("probability"))
+
+
 def naive_bayes_counts(train: DataFrame, alpha: float = 1.0) -> DataFrame:
     """label, term, log_p from counts; expects ``words`` and label."""
     counts = train.select("label", F.explode(grams("words")).alias("term")).groupBy("label", "term").agg(F.count(F.lit(1)).alias("n"))
@@ -200,6 +254,21 @@ def metrics(cells: DataFrame, labels: list[str]) -> DataFrame:
     return one.select("n", X.js_round(sum(tp, F.lit(0)) / F.greatest("n", F.lit(1)), 4).alias("accuracy"), mean(p).alias("precision"), mean(r).alias("recall"), mean(f).alias("f1"))
 
 
+def class_report(cells: DataFrame, labels: list[str]) -> DataFrame:
+    """label, precision, recall, f1, support of each label, then of their plain and weighted means ('macro avg', 'weighted avg')."""
+    each = cells.where(F.col("label").isin(labels) & F.col("predicted").isin(labels))
+    axis = F.array(F.struct(F.col("label").alias("l"), F.lit(1).alias("real")), F.struct(F.col("predicted").alias("l"), F.lit(0).alias("real")))
+    sides = each.select("n", (F.col("label") == F.col("predicted")).alias("hit"), F.explode(axis).alias("x")).groupBy("x.l").agg(F.sum(F.when(F.col("x.real") == 1, F.col("n")).otherwise(0)).alias("support"), F.sum(F.when(F.col("x.real") == 0, F.col("n")).otherwise(0)).alias("said"), F.sum(F.when(F.col("hit") & (F.col("x.real") == 1), F.col("n")).otherwise(0)).alias("tp"))
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    per = sides.select(F.col("l").alias("label"), ratio("tp", "said").alias("precision"), ratio("tp", "support").alias("recall"), "support")
+    per = per.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+    total = F.sum("support").alias("support")
+    macro = per.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], total).withColumn("label", F.lit("macro avg"))
+    weighed = per.agg(*[(F.sum(F.col(c) * F.col("support")) / F.greatest(F.sum("support"), F.lit(1))).alias(c) for c in ("precision", "recall", "f1")], total).withColumn("label", F.lit("weighted avg"))
+    out = per.unionByName(macro).unionByName(weighed)
+    return out.select("label", *[X.js_round(F.col(c), 4).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 def best_model(rows: DataFrame) -> DataFrame:
     """By f1, accuracy, precision; the first registered wins ties.  Expects place."""
     return rows.orderBy(F.col("f1").desc(), F.col("accuracy").desc(), F.col("precision").desc(), "place").limit(1)
@@ -208,23 +277,67 @@ def best_model(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- pyspark.ml
 
 
-def _features():
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+def vectors(weights: DataFrame, idf: DataFrame, docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int]:
+    """``docs`` with ``features``, a sparse vector over the terms of ``idf`` in their order by name, and its size.
 
-    return [HashingTF(inputCol="grams", outputCol="tf", numFeatures=1 << 15), IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2), Normalizer(inputCol="tfidf", outputCol="features", p=2.0)]
-
-
-def classifier(kind: str, n_labels: int = 2):
-    """Logistic regression or linear SVM (one against the rest for more than two labels) on hashed TF-IDF of words and pairs; expects ``grams``, ``y``, ``weight``."""
-    from pyspark.ml import Pipeline
+    A linear model has one coefficient for each term, so the vocabulary has to
+    fit the driver here; ``naive_bayes_weights`` does without.
+    """
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    # numbers without a window over everything: an offset for each of some ranges of a hash, and ranks inside
+    dealt = idf.select("term", F.pmod(F.xxhash64("term"), F.lit(4096)).alias("_range"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # at most 4096 rows
+    offsets = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_c")).select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy("term")) - 1
+    place = dealt.join(offsets, "_range").select("term", (F.col("_offset") + inside).alias("place"))
+    size = idf.count()
+    packed = weights.join(place, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("_x"))
+    build = F.udf(lambda x: SparseVector(size, [int(p["place"]) for p in x or []], [float(p["weight"]) for p in x or []]), VectorUDT())
+    return docs.join(packed, key, "left").withColumn("features", build("_x")).drop("_x"), size
+
+
+def linear_model(kind: str, train: DataFrame, n_labels: int = 2):
+    """Logistic regression ('lr') or linear SVM ('svm', one against the rest for more than two labels) on ``features``, ``y``, ``weight``; penalised as C = 1."""
     from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 
+    penalty = 1.0 / max(1, train.count())
     if kind == "lr":
-        last = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=0.01, maxIter=50)
-    else:
-        two = LinearSVC(featuresCol="features", labelCol="y", weightCol="weight", maxIter=20, regParam=0.01)
-        last = two if n_labels == 2 else OneVsRest(classifier=two, featuresCol="features", labelCol="y", weightCol="weight")
-    return Pipeline(stages=[*_features(), last])
+        return LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=penalty, standardization=False, maxIter=200).fit(train)
+    two = LinearSVC(featuresCol="features", labelCol="y", weightCol="weight", regParam=penalty, standardization=False, maxIter=60)
+    return (two if n_labels == 2 else OneVsRest(classifier=two, featuresCol="features", labelCol="y", weightCol="weight")).fit(train)
+
+
+class Calibrated:
+    """Linear SVMs of ``folds`` folds, each with a sigmoid fitted on the rows that it hasn't seen; probabilities are their mean (two labels, y = 0, 1)."""
+
+    def __init__(self, train: DataFrame, key: str = "doc_id", folds: int = 5):
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        fold = F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(folds))
+        self.parts = []
+        for k in range(folds):
+            svm = linear_model("svm", train.where(fold != k))
+            margin = svm.transform(train.where(fold == k)).select("y", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("margin"))
+            # targets drawn in, as a margin's sign can be certain on few rows
+            n = margin.groupBy("y").count().collect()
+            if len(n) < 2:
+                continue
+            sigmoid = LogisticRegression(featuresCol="margin", labelCol="y", regParam=1e-6, standardization=False).fit(margin)
+            self.parts.append((svm, float(sigmoid.coefficients[0]), float(sigmoid.intercept)))
+
+    def probabilities(self, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+        """``docs`` with ``probability`` of y = 1."""
+        from pyspark.ml.functions import vector_to_array
+
+        out, names = docs, []
+        for k, (svm, slope, offset) in enumerate(self.parts):
+            raw = svm.transform(out).withColumn(f"_p{k}", 1 / (1 + F.exp(-(vector_to_array("rawPrediction")[1] * slope + offset))))
+            out = raw.drop("rawPrediction", "prediction", "probability")
+            names.append(f"_p{k}")
+        mean = sum((F.col(n) for n in names), F.lit(0.0)) / max(1, len(names))
+        return out.withColumn("probability", mean).drop(*names)
 
 
 def balanced(train: DataFrame) -> DataFrame:
@@ -252,8 +365,82 @@ def explain(weights: DataFrame, coefficients: DataFrame, key: str = "doc_id", mo
     return hit.withColumn("rank", rank).where(F.col("rank") <= most).select(key, "term", "impact", F.when(F.col("impact") >= 0, "supports").otherwise("opposes").alias("direction"), "rank")
 
 
+def top_coefficients(model: DataFrame, most: int = 20) -> DataFrame:
+    """label, term, gain, rank: the terms that speak most for each label, of (label, term, gain)."""
+    rank = F.row_number().over(W.partitionBy("label").orderBy(F.col("gain").desc(), "term"))
+    return model.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
 def version(model_id: str, generated_at: str) -> str:
     digits = "".join(c for c in generated_at if c.isdigit())
     return f"{model_id}-{digits[:8]}-{digits[8:14]}"
 
 
+# ---------------------------------------------------------------- life cycle
+
+#: id and name of the candidates, in the order in which ties are won (fixed values).
+CANDIDATES = {"multinomial_naive_bayes": "Multinomial Naive Bayes", "logistic_regression": "Logistic Regression", "linear_svm": "Linear SVM"}
+
+
+def compare(records: DataFrame, labels: list[str], key: str = "doc_id", min_df: int = 2, kinds: tuple[str, ...] = tuple(CANDIDATES)) -> dict[str, DataFrame]:
+    """Confusion cells (label, predicted, n) of each candidate on the rows that aren't ``in_train``; expects words, label, in_train."""
+    train, test = records.where("in_train"), records.where("NOT in_train")
+    if train.count() < MIN_ROWS:
+        raise ValueError(f"fewer than {MIN_ROWS} rows to train on")
+    idf = fit_tfidf(train, min_df)
+    out = {}
+    if "multinomial_naive_bayes" in kinds:
+        model = naive_bayes_weights(weigh(train, idf, key), train, key)
+        said = best_label(naive_bayes_scores(weigh(test, idf, key), test, model, key), key)
+        out["multinomial_naive_bayes"] = confusion(test.select(key, "label").join(said, key))
+    if {"logistic_regression", "linear_svm"} & set(kinds):
+        code = F.create_map(*[F.lit(v) for i, k in enumerate(labels) for v in (k, float(i))])
+        rows, _ = vectors(weigh(records, idf, key), idf, records.withColumn("y", code[F.col("label")]).select(key, "label", "y", "in_train"), key)
+        rows = rows.cache()
+        fitted, held = balanced(rows.where("in_train")), rows.where("NOT in_train")
+        name = F.create_map(*[F.lit(v) for i, k in enumerate(labels) for v in (float(i), k)])
+        if "logistic_regression" in kinds:
+            out["logistic_regression"] = confusion(linear_model("lr", fitted, len(labels)).transform(held).select("label", name[F.col("prediction")].alias("predicted")))
+        if "linear_svm" in kinds:
+            if len(labels) == 2:
+                said = Calibrated(fitted, key).probabilities(held, key).select("label", F.when(F.col("probability") > 0.5, labels[1]).otherwise(labels[0]).alias("predicted"))
+            else:
+                said = linear_model("svm", fitted, len(labels)).transform(held).select("label", name[F.col("prediction")].alias("predicted"))
+            out["linear_svm"] = confusion(said)
+    return out
+
+
+def comparison(cells: dict[str, DataFrame], labels: list[str]) -> DataFrame:
+    """place, id, name, n, accuracy, precision, recall, f1 of each candidate, and ``best``."""
+    rows = None
+    for i, (k, c) in enumerate(cells.items()):
+        one = metrics(c, labels).select(F.lit(list(CANDIDATES).index(k)).alias("place"), F.lit(k).alias("id"), F.lit(CANDIDATES[k]).alias("name"), "*")
+        rows = one if rows is None else rows.unionByName(one)
+    first = rows.agg(F.max_by("place", F.struct("f1", "accuracy", "precision", (-F.col("place")).alias("p"))).alias("_best"))
+    return rows.crossJoin(F.broadcast(first)).withColumn("best", F.col("place") == F.col("_best")).drop("_best")  # one row
+
+
+def training_payload(cells: dict[str, DataFrame], labels: list[str], generated_at: str, sizes: dict[str, int]) -> dict:
+    """Metrics of all candidates, the report and the card of the best (bounded: a few rows for each candidate)."""
+    table = {r.id: r.asDict() for r in comparison(cells, labels).collect()}
+    for k, r in table.items():
+        got = {(c.label, c.predicted): c.n for c in cells[k].collect()}
+        r["confusion_matrix"] = {a: {b: got.get((a, b), 0) for b in labels} for a in labels}
+        r["classification_report"] = {c.label: {"precision": c.precision, "recall": c.recall, "f1": c.f1, "support": c.support} for c in class_report(cells[k], labels).collect()}
+        r["model_version"] = version(k, generated_at)
+    best = next(r for r in table.values() if r["best"])
+    config = {"lowercase": True, "remove_urls": True, "remove_punctuation": True, "remove_stopwords": True, "vectorizer": "TF-IDF", "ngram_range": [1, 2], "min_df": 2, "max_df": 0.97, "sublinear_tf": True}
+    report = {"best_model": best["name"], "model_version": best["model_version"], **{c: best[c] for c in ("accuracy", "precision", "recall", "f1", "confusion_matrix")}, "dataset_size": sizes["total"], "test_size": sizes["test"]}
+    card = {"model_name": best["name"], "model_id": best["id"], "model_version": best["model_version"], "generated_at": generated_at, "training_samples": sizes["train"], "test_samples": sizes["test"], "preprocessing": config, "decision_policy": {"confidence_threshold": 0.72, "low_confidence_label": "UNCERTAIN"}}
+    return {"generated_at": generated_at, "labels": labels, "models": table, "best": best["id"], "report": report, "card": card}
+
+
+def save_naive_bayes(model: tuple[DataFrame, DataFrame], idf: DataFrame, path: str) -> None:
+    """The model as three tables: gains, labels, idf."""
+    for name, df in (("gains", model[0]), ("labels", model[1]), ("idf", idf)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_naive_bayes(spark, path: str) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
+    gains, labels, idf = (spark.read.parquet(f"{path}/{name}") for name in ("gains", "labels", "idf"))
+    return (gains, labels), idf

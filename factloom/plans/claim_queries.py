@@ -95,7 +95,7 @@ per AS MATERIALIZED (SELECT doc_id, count(*) AS n_claims, count(*) FILTER (verdi
   sum(n_support)::BIGINT AS s, sum(n_contradict)::BIGINT AS c, sum(n_related)::BIGINT AS r, sum({S.whole('confidence * 10000')})::BIGINT AS cf FROM verdicts GROUP BY doc_id),
 p2 AS MATERIALIZED (SELECT *, CASE WHEN s + c + r > 0 THEN {S.whole('100 * (s + r / 2.0::DOUBLE) / (s + c + r / 2.0::DOUBLE)')} ELSE 50 END AS evidence_credibility, {S.round_('cf / n_claims::DOUBLE / 10000', 4)} AS evidence_confidence FROM per)
 SELECT doc_id, n_claims, n_supported, n_contradicted, n_evidence, evidence_credibility, evidence_confidence,
-  CASE WHEN n_contradicted > 0 AND n_supported > 0 THEN 'MIXED' WHEN n_contradicted > 0 THEN 'CONTRADICTS' WHEN n_supported > 0 THEN 'SUPPORTS' ELSE 'UNVERIFIED' END AS overall,
+  CASE WHEN n_contradicted > n_supported THEN 'CONTRADICTS' WHEN n_supported > n_contradicted THEN 'SUPPORTS' WHEN n_supported > 0 THEN 'MIXED' ELSE 'UNVERIFIED' END AS overall,
   CASE WHEN n_evidence > 0 THEN {S.whole(f"(doc_id % 101) * (1 - {S.round_('0.18::DOUBLE + 0.32::DOUBLE * evidence_confidence', 3)}) + evidence_credibility * {S.round_('0.18::DOUBLE + 0.32::DOUBLE * evidence_confidence', 3)}")} ELSE doc_id % 101 END AS adjusted
 FROM p2"""
 

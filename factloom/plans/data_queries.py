@@ -351,20 +351,53 @@ SELECT n, {S.round_('(ff + rr) / greatest(n, 1)::DOUBLE', 4)} AS accuracy, {S.ro
   {S.round_('(CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0.0::DOUBLE END + CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0.0::DOUBLE END) / 2', 4)} AS f1 FROM q"""
 
 
-def _fitted(spark, sf_dir, kind: str):
-    t = _training(spark, sf_dir).withColumn("grams", M.grams("words")).withColumn("y", (F.col("label") == "REAL").cast("double"))
-    train = M.balanced(t.where("in_train"))
-    model = M.classifier(kind).fit(train)
-    out = model.transform(t.where("NOT in_train").withColumn("weight", F.lit(1.0)))
-    return out.select("doc_id", "label", F.when(F.col("prediction") == 1, "REAL").otherwise("FAKE").alias("predicted"))
+_LABELS = ["FAKE", "REAL"]
+
+
+def _cells(spark, sf_dir, *kinds: str) -> dict[str, DataFrame]:
+    return M.compare(_training(spark, sf_dir), _LABELS, kinds=kinds)
 
 
 def lr_metrics(spark, sf_dir):
-    return M.metrics(M.confusion(_fitted(spark, sf_dir, "lr")), ["FAKE", "REAL"])
+    return M.metrics(_cells(spark, sf_dir, "logistic_regression")["logistic_regression"], _LABELS)
 
 
 def svm_metrics(spark, sf_dir):
-    return M.metrics(M.confusion(_fitted(spark, sf_dir, "svm")), ["FAKE", "REAL"])
+    return M.metrics(_cells(spark, sf_dir, "linear_svm")["linear_svm"], _LABELS)
+
+
+def model_comparison(spark, sf_dir):
+    """The three candidates on the same split, and which is best."""
+    return M.comparison(_cells(spark, sf_dir, *M.CANDIDATES), _LABELS)
+
+
+def nb_tfidf_metrics(spark, sf_dir):
+    return M.metrics(_cells(spark, sf_dir, "multinomial_naive_bayes")["multinomial_naive_bayes"], _LABELS)
+
+
+def nb_tfidf_report(spark, sf_dir):
+    """Precision, recall and F1 of each label, and their means."""
+    return M.class_report(_cells(spark, sf_dir, "multinomial_naive_bayes")["multinomial_naive_bayes"], _LABELS)
+
+
+_NBW = f"""{_GRAMS}, dft AS (SELECT term, count(*) AS df FROM tf WHERE in_train GROUP BY term), nt AS (SELECT count(*) AS n FROM sp WHERE in_train),
+idf AS MATERIALIZED (SELECT term, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM dft, nt WHERE df >= 2 AND df <= 0.97 * n),
+rw AS MATERIALIZED (SELECT doc_id, label, in_train, term, (1 + ln(tf)) * idf AS raw FROM tf JOIN idf USING (term)),
+nrm AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM rw GROUP BY doc_id),
+wt AS MATERIALIZED (SELECT doc_id, label, in_train, term, raw / norm AS w FROM rw JOIN nrm USING (doc_id)),
+cw AS MATERIALIZED (SELECT label, term, sum(w) AS w FROM wt WHERE in_train GROUP BY ALL), vv AS (SELECT count(DISTINCT term) AS v FROM cw),
+lbw AS MATERIALIZED (SELECT label, ln(0.35::DOUBLE / (total + 0.35::DOUBLE * v)) AS unseen, ln(n_l / n::DOUBLE) AS prior FROM (SELECT label, sum(w) AS total FROM cw GROUP BY label) JOIN (SELECT label, count(*) AS n_l FROM sp WHERE in_train GROUP BY label) USING (label), vv, nt),
+scw AS MATERIALIZED (SELECT sp.doc_id, sp.label AS actual, l.label, prior + coalesce(sw, 0.0) * unseen + coalesce(g, 0.0) AS score FROM sp CROSS JOIN lbw l
+  LEFT JOIN (SELECT doc_id, sum(w) AS sw FROM wt GROUP BY doc_id) z ON z.doc_id = sp.doc_id
+  LEFT JOIN (SELECT wt.doc_id, cw.label, sum(wt.w * ln((cw.w + 0.35::DOUBLE) / 0.35::DOUBLE)) AS g FROM wt JOIN cw ON wt.term = cw.term GROUP BY ALL) e ON e.doc_id = sp.doc_id AND e.label = l.label WHERE NOT sp.in_train),
+pred AS MATERIALIZED (SELECT doc_id, actual AS label, label AS predicted FROM scw QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {S.round_('score', 9)} DESC, label) = 1)"""
+NB_TFIDF_METRICS = NB_METRICS.replace(_PRED, _NBW)
+_f1 = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0::DOUBLE END"
+NB_TFIDF_REPORT = f"""WITH {_NBW},
+side AS (SELECT l.label, (SELECT count(*) FROM pred WHERE pred.label = l.label) AS support, (SELECT count(*) FROM pred WHERE predicted = l.label) AS said, (SELECT count(*) FROM pred WHERE pred.label = l.label AND predicted = l.label) AS tp FROM (VALUES ('FAKE'), ('REAL')) l(label)),
+pr AS (SELECT label, support, {_pr('tp', 'said')} AS p, {_pr('tp', 'support')} AS r FROM side), f AS (SELECT *, {_f1} AS f1 FROM pr),
+rows AS (SELECT label, p, r, f1, support FROM f UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f1), sum(support) FROM f UNION ALL SELECT 'weighted avg', sum(p * support) / sum(support), sum(r * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM f)
+SELECT label, {S.round_('p', 4)} AS precision, {S.round_('r', 4)} AS recall, {S.round_('f1', 4)} AS f1, support::BIGINT AS support FROM rows"""
 
 
 def explain_terms(spark, sf_dir):
@@ -376,12 +409,12 @@ def explain_terms(spark, sf_dir):
 
 
 def stemmed_vocabulary(spark, sf_dir):
-    """Stems of all texts, whatever their language, as the reference's tokenizer has them."""
+    """Stems of all texts, whatever their language."""
     d = read(spark, sf_dir, "documents").select(F.explode(M.terms(F.col("text"), stemmed=True)).alias("stem"))
     return d.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (label_distribution, overview, prediction_statistics, confidence_histogram, live_counters, daily_series, weekly_series, monthly_series, event_series, event_sessions, recent_feed, suspicious_keywords, search_history, search_articles, paginate, retention_topn, newest_per_user, upsert_latest, delete_keys, conform_records, export_csv, api_log_summary, json_props, dedupe_exact, merge_datasets, dataset_profile, tfidf_terms, nb_train, nb_predict, nb_confusion, nb_metrics, lr_metrics, svm_metrics, explain_terms, stemmed_vocabulary)}
+QUERIES = {f.__name__: f for f in (label_distribution, overview, prediction_statistics, confidence_histogram, live_counters, daily_series, weekly_series, monthly_series, event_series, event_sessions, recent_feed, suspicious_keywords, search_history, search_articles, paginate, retention_topn, newest_per_user, upsert_latest, delete_keys, conform_records, export_csv, api_log_summary, json_props, dedupe_exact, merge_datasets, dataset_profile, tfidf_terms, nb_train, nb_predict, nb_confusion, nb_metrics, lr_metrics, svm_metrics, model_comparison, nb_tfidf_metrics, nb_tfidf_report, explain_terms, stemmed_vocabulary)}
 _COUNT3 = ", ".join(f"count(*) FILTER (label = '{k}') AS {k.lower()}" for k in B.LABELS)
 ORACLES = {
     "label_distribution": f"WITH {_ANALYSES} SELECT place, l.label, count(a.id) AS n FROM (VALUES (0, 'REAL'), (1, 'FAKE'), (2, 'UNCERTAIN')) l(place, label) LEFT JOIN analyses a ON a.label = l.label GROUP BY ALL",
@@ -415,4 +448,6 @@ ORACLES = {
     "nb_predict": NB_PREDICT,
     "nb_confusion": f"WITH {_PRED} SELECT label, predicted, count(*) AS n FROM pred GROUP BY ALL",
     "nb_metrics": NB_METRICS,
+    "nb_tfidf_metrics": NB_TFIDF_METRICS,
+    "nb_tfidf_report": NB_TFIDF_REPORT,
 }

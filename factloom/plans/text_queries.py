@@ -432,38 +432,61 @@ SELECT doc_id, list_max(v).style AS style, {S.round_(f'list_max(v).value / CASE
 
 
 def _trusted(spark, sf_dir) -> DataFrame:
-    a = _ruled(spark, sf_dir).withColumns({"n_claims": F.lit(3), "n_supported": F.col("doc_id") % 3, "n_contradicted": F.col("doc_id") % 2, "n_trusted": F.col("doc_id") % 4, "evidence_confidence": (F.col("doc_id") % 10) / 10})
+    a = I.heuristic(_ruled(spark, sf_dir), lex=LEX).withColumns({"n_claims": F.lit(3), "n_supported": F.col("doc_id") % 3, "n_contradicted": F.col("doc_id") % 2, "n_trusted": F.col("doc_id") % 4, "evidence_confidence": (F.col("doc_id") % 10) / 10})
     return T.reasons(T.trust_score(a))
 
 
 def trust_score(spark, sf_dir):
-    return _trusted(spark, sf_dir).select("doc_id", *[f"s_{k}" for k in L.TRUST_WEIGHTS], "trust_score", "trust_level", F.array_join("trust_reasons", "|").alias("trust_reasons"))
+    return _trusted(spark, sf_dir).select("doc_id", *[f"s_{k}" for k in L.TRUST_WEIGHTS], "trust_score", "trust_level", F.array_join("trust_signals", "|").alias("trust_signals"), F.md5(T.trust_explanation().cast("binary")).alias("explanation_md5"))
 
 
 _wc = f"len(list_filter(string_split({S.collapse('text')}, ' '), lambda w: w <> ''))"
 _pc = lambda u: f"least(100, greatest(0, {S.whole(f'({u}) * 100')}))::INTEGER"
 _base = "CASE WHEN trust IS NOT NULL THEN trust / 100.0::DOUBLE WHEN badge = 'Trusted' THEN 0.7::DOUBLE ELSE 0.45::DOUBLE END"
-_rel = S.clamp(f"0.62::DOUBLE * ({_base}) + 0.22::DOUBLE * ((doc_id % 3) / 3.0::DOUBLE) + least(0.08::DOUBLE * (doc_id % 4), 0.18::DOUBLE) + 0.18::DOUBLE * ((doc_id % 10) / 10.0::DOUBLE) - 0.35::DOUBLE * ((doc_id % 2) / 3.0::DOUBLE)")
 _asl = "(wc / greatest(len(sents), 1)::DOUBLE)"
 _struct = "CASE WHEN len(sents) >= 4 THEN 1.0::DOUBLE WHEN len(sents) = 3 THEN 0.82::DOUBLE WHEN len(sents) = 2 THEN 0.58::DOUBLE ELSE 0.35::DOUBLE END"
-_div = "(len(list_distinct(tokens)) / greatest(len(tokens), 1)::DOUBLE)"
+_simple = "list_filter(string_split(" + S.collapse(f"regexp_replace(lower({S.collapse('text')}), '[^a-z0-9\\s]', ' ', 'g')") + ", ' '), lambda w: length(w) >= 3)"
+_div = f"(CASE WHEN len({_simple}) = 0 THEN 0.0::DOUBLE ELSE len(list_distinct({_simple})) / len({_simple})::DOUBLE END)"
 _noise = f"least(1.0::DOUBLE, 0.18::DOUBLE * {S.count_of('text', '[!?]{2,}')} + 1.7::DOUBLE * {S.uppercase_ratio('text')} + 0.12::DOUBLE * n_suspicious)"
 _wq = S.clamp(f"0.35::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - abs({_asl} - 22) / 18)) + 0.2::DOUBLE * ({_struct}) + 0.2::DOUBLE * {S.clamp(f'({_div} - 0.28::DOUBLE) / 0.3::DOUBLE')} + 0.25::DOUBLE * (1 - {_noise})")
 _tenths = {k: round(w * 10) for k, w in L.TRUST_WEIGHTS.items()}
-_sig = ", ".join(f"{{'id': '{k}', 'score': s_{k}, 'up': s_{k} * {w}, 'down': (100 - s_{k}) * {w}, 'place': {-i}}}" for i, (k, w) in enumerate(_tenths.items()))
-TRUST = f"""{_UPTO_RULES},
-t0 AS (SELECT *, {_wc} AS wc FROM ruled),
-t1 AS (SELECT *, {_pc("CASE WHEN trust IS NOT NULL THEN trust / 100.0::DOUBLE WHEN r_suspicious_domain >= 0.72 THEN 0.16::DOUBLE ELSE 0.56::DOUBLE END")} AS s_domain_reputation,
-  {_pc(_rel)} AS s_source_reliability, {_pc('1 - greatest(r_emotional_language, emotional_intensity)')} AS s_emotional_language, {_pc('1 - r_clickbait_title')} AS s_clickbait,
-  {_pc('1 - r_excessive_capitalization')} AS s_capitalization, {_pc('1 - r_excessive_punctuation')} AS s_punctuation,
+_odd_host = "r_suspicious_domain >= 0.72"
+_said = {k: (S.lit(good), S.lit(bad)) for k, (good, bad) in L.TRUST_TEXTS.items()} | {
+    "domain_reputation": (
+        f"CASE WHEN trust IS NOT NULL AND badge = 'Trusted' THEN 'Reliable domain' WHEN trust IS NOT NULL AND badge = 'Medium' THEN 'Domain has mixed but known reputation signals' WHEN trust IS NOT NULL THEN 'The domain appears in the suspicious-source registry' WHEN {_odd_host} THEN 'Domain reputation looks acceptable.' ELSE 'Domain reputation is acceptable.' END",
+        f"CASE WHEN trust IS NOT NULL AND badge = 'Suspicious' THEN 'The domain is listed as suspicious in the source reputation registry.' WHEN trust IS NOT NULL AND badge = 'Medium' THEN 'The domain has mixed or medium reputation signals.' WHEN trust IS NOT NULL THEN 'Domain reputation is not strong enough to build high trust.' WHEN {_odd_host} THEN 'The domain looks suspicious or low-reputation.' ELSE 'The domain is not clearly established as reliable.' END",
+    ),
+    "source_reliability": (
+        "CASE WHEN badge = 'Trusted' AND n_tr > 1 AND n_sup >= n_con THEN 'Reliable domain with multiple trusted sources' WHEN n_tr > 1 AND n_sup >= n_con THEN 'Multiple trusted sources support the article' WHEN n_tr >= 1 AND n_sup >= n_con THEN 'Trusted source support is available' WHEN badge = 'Trusted' THEN 'Reliable domain' WHEN badge = 'Medium' THEN 'Source reliability is mixed' WHEN badge = 'Suspicious' THEN 'The source has a weak reliability record' ELSE 'Source reliability is acceptable' END",
+        "CASE WHEN badge = 'Suspicious' THEN 'The source appears in the suspicious-source registry and should be verified carefully.' WHEN n_con > n_sup THEN 'Trusted-source support is contradicted by other reporting.' WHEN n_tr = 0 THEN 'Trusted-source support is weak or unavailable.' ELSE 'Trusted-source support is limited.' END",
+    ),
+}
+_sig = ", ".join(f"{{'id': '{k}', 'score': s_{k}, 'up': s_{k} * {w}, 'down': (100 - s_{k}) * {w}, 'place': {-i}, 'good': {_said[k][0]}, 'bad': {_said[k][1]}}}" for i, (k, w) in enumerate(_tenths.items()))
+_top = lambda key, text, cond: f"list_transform(list_sort(list_transform(list_filter(sig, lambda s: {cond}), lambda s: {{'k': s.{key}, 'p': s.place, 'i': s.id, 't': s.{text}}}), 'DESC'), lambda s: {{'i': s.i, 't': s.t}})"
+
+
+def trust_sql(rows: str) -> str:
+    """From a relation with the rules' columns, p_real, p_fake and n_cl, n_sup, n_con, n_tr, ev_conf: CTEs up to ``t4``."""
+    rel = S.clamp(f"0.62::DOUBLE * ({_base}) + 0.22::DOUBLE * (n_sup / greatest(n_cl, 1)::DOUBLE) + least(0.08::DOUBLE * n_tr, 0.18::DOUBLE) + 0.18::DOUBLE * ev_conf - 0.35::DOUBLE * (n_con / greatest(n_cl, 1)::DOUBLE)")
+    return f"""t0 AS MATERIALIZED (SELECT *, {_wc} AS wc FROM {rows}),
+t1 AS MATERIALIZED (SELECT *, {_pc(f"CASE WHEN p_real + p_fake > 0 THEN {S.round_('p_real / (p_real + p_fake)', 4)} ELSE 0.5::DOUBLE END")} AS s_ml_probability,
+  {_pc("CASE WHEN trust IS NOT NULL THEN trust / 100.0::DOUBLE WHEN r_suspicious_domain >= 0.72 THEN 0.16::DOUBLE ELSE 0.56::DOUBLE END")} AS s_domain_reputation,
+  {_pc(rel)} AS s_source_reliability, {_pc('1 - greatest(r_emotional_language, emotional_intensity)')} AS s_emotional_language, {_pc('1 - r_clickbait_title')} AS s_clickbait_detection,
+  {_pc('1 - r_sensational_phrases')} AS s_sensational_language,
   {_pc("CASE WHEN wc > 2600 THEN 0.58::DOUBLE WHEN wc > 1800 THEN 0.72::DOUBLE WHEN wc >= 220 THEN 1.0::DOUBLE WHEN wc >= 160 THEN 0.78::DOUBLE WHEN wc >= 90 THEN 0.5::DOUBLE ELSE 0.28::DOUBLE END")} AS s_article_length,
-  {_pc(_wq)} AS s_writing_quality, CASE WHEN has_author THEN 100 ELSE 28 END AS s_author, CASE WHEN has_date THEN 100 ELSE 34 END AS s_publication_date FROM t0),
-t2 AS (SELECT *, {S.whole('(' + ' + '.join(f's_{k} * {w}' for k, w in _tenths.items()) + f') / {sum(_tenths.values())}.0::DOUBLE')}::INTEGER AS trust_score, [{_sig}] AS sig FROM t1),
-t3 AS (SELECT *, list_transform(list_sort(list_transform(list_filter(sig, lambda s: s.score >= 70), lambda s: {{'k': s.up, 'p': s.place, 'i': s.id}}), 'DESC'), lambda s: s.i) AS good,
-  list_transform(list_sort(list_transform(list_filter(sig, lambda s: s.score < 50), lambda s: {{'k': s.down, 'p': s.place, 'i': s.id}}), 'DESC'), lambda s: s.i) AS bad FROM t2)
-SELECT doc_id, {', '.join(f's_{k}' for k in L.TRUST_WEIGHTS)}, trust_score, CASE WHEN trust_score >= 75 THEN 'High' WHEN trust_score >= 55 THEN 'Moderate' ELSE 'Low' END AS trust_level,
-  array_to_string(CASE WHEN trust_score >= 75 THEN good[1:4] WHEN trust_score <= 45 THEN bad[1:4] ELSE list_concat(good[1:2], bad[1:2]) END, '|') AS trust_reasons
-FROM t3"""
+  {_pc(_wq)} AS s_writing_quality, CASE WHEN has_author THEN 100 ELSE 28 END AS s_author_presence, CASE WHEN has_date THEN 100 ELSE 34 END AS s_publication_date FROM t0),
+t2 AS MATERIALIZED (SELECT *, {S.whole('(' + ' + '.join(f's_{k} * {w}' for k, w in _tenths.items()) + f') / {sum(_tenths.values())}.0::DOUBLE')}::INTEGER AS trust_score, [{_sig}] AS sig FROM t1),
+t3 AS MATERIALIZED (SELECT *, {_top('up', 'good', 's.score >= 70')} AS good, {_top('down', 'bad', 's.score < 50')} AS bad FROM t2),
+t4 AS MATERIALIZED (SELECT *, CASE WHEN trust_score >= 75 THEN 'High credibility' WHEN trust_score >= 55 THEN 'Moderate credibility' ELSE 'Low credibility' END AS trust_level,
+  CASE WHEN len(CASE WHEN trust_score >= 75 THEN good[1:4] WHEN trust_score <= 45 THEN bad[1:4] ELSE [] END) > 0 THEN CASE WHEN trust_score >= 75 THEN good[1:4] ELSE bad[1:4] END ELSE list_concat(good[1:2], bad[1:2]) END AS said FROM t3)"""
+
+
+TRUST_EXPLANATION = "'Trust Score ' || trust_score || '/100 indicates ' || lower(trust_level) || '. ' || CASE WHEN len(said) > 0 THEN 'Reasons: ' || array_to_string(list_transform(said, lambda s: s.t), '; ') || '.' ELSE 'No strong trust signals were identified.' END"
+TRUST = f"""{_UPTO_RULES}, {_HEUR},
+ev AS (SELECT *, 3 AS n_cl, doc_id % 3 AS n_sup, doc_id % 2 AS n_con, doc_id % 4 AS n_tr, (doc_id % 10) / 10.0::DOUBLE AS ev_conf FROM heur),
+{trust_sql('ev')}
+SELECT doc_id, {', '.join(f's_{k}' for k in L.TRUST_WEIGHTS)}, trust_score, trust_level, array_to_string(list_transform(said, lambda s: s.i), '|') AS trust_signals, md5({TRUST_EXPLANATION}) AS explanation_md5
+FROM t4"""
 
 QUERIES = {f.__name__: f for f in (token_stats, readability_docs, readability_by_lang, sentiment_score, lexicon_hits, language_detect, language_confusion, emotion_profile, top_keywords_per_doc, key_phrases, keyword_metadata, topic_scores, entities, top_entities, suspicious_sentences, rule_risk, heuristic_predict, fuse_probabilities, final_label, writing_style, trust_score)}
 ORACLES = {

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import lexicons as L
+from factloom.functions import text as X
+from factloom.operators import analysis as A
 from factloom.operators import dashboard as D
 from factloom.operators import evidence as E
 from factloom.operators import export as EX
@@ -59,7 +61,7 @@ def test_probabilities_and_trust(ruled):
         assert abs(real + fake + unsure - 1) < 1e-3
     assert fused[1][4] == "REAL" and fused[3][3] == "UNCERTAIN"
     evidence = {c: F.lit(0) for c in ("n_claims", "n_supported", "n_contradicted", "n_trusted", "evidence_confidence")}
-    trust = by_id(T.reasons(T.trust_score(ruled.withColumns(evidence))), "trust_score", "trust_level", "trust_reasons")
+    trust = by_id(T.reasons(T.trust_score(I.heuristic(ruled.withColumns(evidence)))), "trust_score", "trust_level", "trust_reasons")
     assert trust[1][0] > trust[2][0] and 0 <= trust[2][0] <= 100
     assert all(len(x[2]) <= 4 for x in trust.values())
 
@@ -111,6 +113,46 @@ def test_html(spark):
     assert got[2].text == "" and not got[2].readable and got[3].text == ""
 
 
+ENTITIES = {
+    "It&#8217;s &#x2014; &#233;&amp;lt;": "It\u2019s \u2014 \u00e9<",
+    "&#38;#65; &#65;": "&#65; A",
+    "&#38;#x41;": "A",
+    "&#128512;": chr(128512 % 65536),
+    "&#0065;&nbsp;&quot;&apos;&#39;&gt;&middot;": "A \"''>&middot;",
+    "no reference & none; &#; &#x;": "no reference & none; &#; &#x;",
+}
+
+
+def test_entities_are_decoded_by_code_point(spark):
+    rows = spark.createDataFrame([(k,) for k in ENTITIES], "x string")
+    assert {r.x: r.y for r in rows.select("x", X.decode_entities(F.col("x")).alias("y")).collect()} == ENTITIES
+
+
+FOLDED = {"\u015bni\u0107 \ufb01n \uff21\uff42 \u00bd \u2122": "snic fin Ab 12 TM", "Z\u00fcrich \u00df \u6f22": "Zurich  ", "e\u0301 \u1d400": "e 0"}
+
+
+def test_compatibility_forms_are_folded(spark):
+    rows = [(k,) for k in FOLDED] + [("".join(chr(c) for c in range(a, a + 400)),) for a in (0x80, 0x1E00, 0x2000, 0x2100, 0x3200, 0xFB00, 0xFF00)]
+    for r in spark.createDataFrame(rows, "x string").select("x", X.fold_ascii(F.col("x")).alias("y")).collect():
+        assert r.y == unicodedata.normalize("NFKD", r.x).encode("ascii", "ignore").decode()
+
+
+def test_meta_dates_and_json_ld(spark):
+    block = lambda x: f'<script type="application/ld+json">{x if isinstance(x, str) else json.dumps(x)}</script>'
+    pages = {
+        "order": ('<meta name="date" content="d"><meta property="article:modified_time" content="m"><meta name="publish-date" content="p">', ("", "", "", "m")),
+        "parsely": ('<meta name="parsely-pub-date" content="2024">', ("", "", "", "2024")),
+        "fallbacks": (block({"@type": "NewsArticle", "name": "N &amp; M", "description": "D", "author": {"alternateName": "Alt"}, "dateModified": "2020"}), ("N & M", "D", "Alt", "2020")),
+        "graph in array": (block([{"@type": "WebPage"}, {"@graph": [{"@type": ["Thing", "Article"], "headline": "G", "articleBody": "B", "author": ["A", {"name": "C"}, [{"name": "E"}], "F"]}]}]), ("G", "B", "A, C, E", "")),
+        "other types": (block({"@type": "BlogPosting", "headline": "no"}) + block("{broken") + block({"@type": "ReportageNewsArticle", "headline": "yes", "datePublished": "2021"}), ("yes", "", "", "2021")),
+        "nothing": ("<p>plain</p>", ("", "", "", "")),
+    }
+    rows = spark.createDataFrame([(k, h) for k, (h, _) in pages.items()], "k string, html string")
+    got = rows.select("k", H.json_ld(F.col("html")).alias("ld"), H.published_at(F.col("html")).alias("meta")).collect()
+    for r in got:
+        assert (r.ld.title, r.ld.text, r.ld.author, r.ld.published or r.meta) == pages[r.k][1], r.k
+
+
 def test_dashboard_spines(spark):
     rows = [(1, "REAL", 0, 0, "h", "Trusted", dt.datetime(2024, 1, 29)), (2, "FAKE", 20, 50, "h", "", dt.datetime(2024, 1, 30)), (3, "what", 100, 70, "", "", None)]
     a = spark.createDataFrame(rows, "id int, label string, confidence int, trust_score int, host string, badge string, ts timestamp_ntz")
@@ -156,16 +198,28 @@ def test_datasets(spark, tmp_path):
     fake.write_text('title,text,subject,date\n"T, one","Body ""x""\nline two",news,d\n', encoding="utf-8-sig")
     true.write_text("title,text\nT2,Body2\n")
     got = {r.label: (r.title, r.text, r.source) for r in DS.read_articles(spark, str(fake), str(true)).collect()}
-    assert got == {"FAKE": ("T, one", 'Body "x"\nline two', "news"), "REAL": ("T2", "Body2", "Unknown source")}
+    assert got == {"FAKE": ("T, one", 'Body "x"\nline two', "Kaggle Fake and Real News | news | d"), "REAL": ("T2", "Body2", "Kaggle Fake and Real News")}
     with pytest.raises(ValueError):
         DS.read_csv(spark, str(true), ("title", "nope"))
     liar = tmp_path / "liar.tsv"
     liar.write_text("1.json\tpants-fire\tA claim. More\tsubj\tBob\tjob\tst\tgop\t0\t0\t0\t0\t0\ta speech\n2.json\todd\tx\n3.json\ttrue\tShort row\n")
     rows = DS.read_liar(spark, str(liar)).collect()
-    assert [(r.label, r.title, r.source) for r in rows] == [("FAKE", "A claim.", "Bob | gop | a speech"), ("REAL", "Short row", "")]
+    assert [(r.label, r.title, r.source, r.dataset_type) for r in rows] == [("FAKE", "A claim.", "LIAR Dataset | Bob | gop | a speech", "claim"), ("REAL", "Short row", "LIAR Dataset", "claim")]
     fever = tmp_path / "fever.jsonl"
-    fever.write_text('{"claim": "C1", "label": "SUPPORTS", "evidence": [[[1, 2, "Wiki_Page", 0]]]}\n\n{"claim": "C2", "label": "REFUTES", "source": "S"}\n{"claim": "C3", "label": "x"}\n')
-    assert {(r.text, r.label, r.source) for r in DS.read_fever(spark, str(fever)).collect()} == {("C1", "REAL", "Wiki_Page"), ("C2", "FAKE", "S")}
+    lines = [
+        {"claim": "C1", "label": "SUPPORTS", "evidence": [[[1, 2, "Wiki_Page", 0]]]},
+        {"claim": "C2", "label": "REFUTES", "source": "S"},
+        {"claim": "C3", "label": "x"},
+        {"claim": "C4", "label": " nei ", "evidence": [[[1, 2, None, 0], {"title": "First"}], {"page": "Second"}]},
+        {"claim": "C5", "label": "NOT ENOUGH INFO", "evidence": [{"page": "", "title": "T5"}, [[1, 2, "Later", 0]]]},
+        {"claim": "C6", "label": "NEI", "evidence": [[[None, None, None, None]]]},
+        {"claim": "", "label": "NEI", "evidence": "odd"},
+    ]
+    fever.write_text("\n\n".join(json.dumps(x) for x in lines) + "\n")
+    want = {("C1", "REAL", "FEVER | Wiki_Page"), ("C2", "FAKE", "FEVER | S"), ("C4", "UNCERTAIN", "FEVER | First"), ("C5", "UNCERTAIN", "FEVER | T5"), ("C6", "UNCERTAIN", "FEVER"), ("", "UNCERTAIN", "FEVER")}
+    rows = DS.read_fever(spark, str(fever)).collect()
+    assert {(r.text, r.label, r.source) for r in rows} == want
+    assert {r.title for r in rows if not r.text} == {"Untitled Record"} and {r.dataset_type for r in rows} == {"claim_verification"}
     both = DS.conform(spark.createDataFrame([("Same  text", "T", "true", "", "", 1), ("same text!", "t", "fake", "s", "", 2), ("", "", "fake", "s", "", 3), ("x", "y", "bad", "", "", 4)], "text string, title string, label string, source string, dataset_type string, pos int"))
     merged = DS.merge([both], "pos")
     assert [(r.pos, r.label, r.source) for r in merged.collect()] == [(1, "REAL", "Unknown source")]
@@ -174,6 +228,95 @@ def test_datasets(spark, tmp_path):
     assert (p.n_rows, p.blank_texts, p.duplicates, p.warn_small) == (4, 1, 1, True)
 
 
+def test_dataset_reports(spark):
+    rows = [("the cat and the dog", "T", "REAL", 1), ("The cat, and the dog", "t", "REAL", 2), ("", "T3", "FAKE", 3), ("un deux", "", "FAKE", 4)]
+    df = DS.conform(spark.createDataFrame([(x, t, k, "s", "claim", i) for x, t, k, i in rows], "text string, title string, label string, source string, dataset_type string, pos int"))
+    r = DS.report(df, "pos", "small").first()
+    assert (r.rows_before_cleaning, r.rows_after_cleaning, r.empty_text_rows, r.empty_title_rows, r.duplicate_rows) == (4, 2, 1, 1, 1)
+    assert r.warnings == ["Removed 1 row(s) with empty text.", "Removed 1 duplicate row(s).", "small contains 2 cleaned row(s), which is below the recommended minimum of 50.", "More than 20% of rows could not be confidently identified as English."]
+    d = {(x.stage, x.distribution, x.value): x.n for x in DS.distributions(df, "pos").collect()}
+    assert d["before", "label", "FAKE"] == 2 and d["after", "label", "REAL"] == 1 and d["after", "dataset_type", "claim"] == 2 and d["after", "language", "unknown"] == 1
+    final, said = DS.merge_report({"a": df, "b": None}, "pos", {"b": ["b.csv"]})
+    assert final.count() == 2 and said["missing_datasets"] == ["b"] and said["datasets"]["b"]["expected_files"] == ["b.csv"] and said["final_dataset"]["rows_after_cleaning"] == 2
+    assert DS.merge_report({"b": None}, "pos")[1]["status"] == "missing_datasets"
+    assert spark.range(1).select(DS.combined_text(F.lit("A b"), F.lit("a B c")).alias("x"), DS.combined_text(F.lit("T"), F.lit("x")).alias("y")).first() == ("a B c", "T x")
+
+
+def test_pages_and_totals(spark):
+    df = spark.range(23)
+    rows, info = Q.page_of(df, [F.col("id")], 3, 10)
+    assert [r.id for r in rows.collect()] == [20, 21, 22] and info == {"page": 3, "size": 10, "total": 23, "pages": 3}
+    assert {r.total for r in Q.with_total(df.limit(5)).collect()} == {5} and Q.page_of(df.limit(0), [F.col("id")], 1)[1]["pages"] == 1
+
+
+def test_patterns_by_words_are_those_by_expressions(spark):
+    texts = ["Shocking cover-up: coverup, cover up", "you wont believe; you won't believe", "secretary", "watch_this watch", "they don't want you to know", "must  see must see", ""]
+    rows = spark.createDataFrame([(t.lower(),) for t in texts], "x string")
+    for patterns in (L.CLICKBAIT, L.SENSATIONAL, L.EMOTIONAL, L.UNSUPPORTED, L.FAKE_PATTERNS, L.REAL_PATTERNS, L.CORPUS.sensational):
+        for r in rows.select("x", X.patterns_present(F.col("x"), patterns).alias("n"), X.any_present(F.col("x"), patterns).alias("a")).collect():
+            n = sum(bool(re.search(rf"(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])", r.x)) for p in patterns)
+            assert (r.n, r.a) == (n, n > 0), (r.x, patterns)
+
+
+def test_syllables_of_many_words_at_once(spark):
+    words = ["the", "table", "hmmm", "tree", "Straße", "it's", "bubble-gum", "ée", "little", "a1b2", "queue", "rhythm", "SHE", "whole"]
+    rows = spark.createDataFrame([(words[i : i + 5],) for i in range(10)], "ws array<string>")
+    for r in rows.select(X.syllables_in(F.col("ws")).alias("n"), F.aggregate("ws", F.lit(0), lambda a, w: a + X.syllables(w)).alias("m")).collect():
+        assert r.n == r.m
+
+
+def test_split_has_no_row_twice(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 5 else "b") for i in range(500)], "doc_id long, label string")
+    got = M.split(rows, buckets=7).collect()
+    assert len(got) == 500 and sum(r.in_train for r in got if r.label == "a") == 320 and sum(r.in_train for r in got if r.label == "b") == 80
+    assert {r.doc_id for r in got if r.in_train} == {r.doc_id for r in M.split(rows.repartition(5), buckets=4096).collect() if r.in_train}
+
+
+def test_life_cycle(spark, tmp_path):
+    words = {"REAL": ["study", "report", "official"], "FAKE": ["hoax", "secret", "panic"]}
+    rows = [(i, k, [words[k][i % 3], words[k][(i + 1) % 3], "news"]) for i in range(60) for k in [("REAL", "FAKE")[i % 2]]]
+    records = M.split(spark.createDataFrame(rows, "doc_id long, label string, words array<string>"))
+    cells = M.compare(records, ["FAKE", "REAL"])
+    table = {r.id: r for r in M.comparison(cells, ["FAKE", "REAL"]).collect()}
+    assert all(r.accuracy == 1.0 and r.n == 12 for r in table.values()) and [k for k, r in table.items() if r.best] == ["multinomial_naive_bayes"]
+    payload = M.training_payload(cells, ["FAKE", "REAL"], "2026-01-02T03:04:05Z", {"total": 60, "train": 48, "test": 12})
+    assert payload["report"]["confusion_matrix"] == {"FAKE": {"FAKE": 6, "REAL": 0}, "REAL": {"FAKE": 0, "REAL": 6}} and payload["card"]["model_version"] == "multinomial_naive_bayes-20260102-030405"
+    report = {r.label: r for r in M.class_report(spark.createDataFrame([("FAKE", "FAKE", 3), ("FAKE", "REAL", 1), ("REAL", "REAL", 4)], "label string, predicted string, n long"), ["FAKE", "REAL"]).collect()}
+    assert report["FAKE"].recall == 0.75 and report["REAL"].precision == 0.8 and report["weighted avg"].support == 8 and report["macro avg"].precision == 0.9
+    train = records.where("in_train")
+    idf = M.fit_tfidf(train)
+    model = M.naive_bayes_weights(M.weigh(train, idf), train)
+    M.save_naive_bayes(model, idf, str(tmp_path / "nb"))
+    again, idf2 = M.load_naive_bayes(spark, str(tmp_path / "nb"))
+    said = M.best_label(M.naive_bayes_scores(M.weigh(records, idf2), records, again))
+    assert records.join(said, "doc_id").where("label <> predicted").count() == 0
+    with pytest.raises(ValueError):
+        M.compare(records.limit(5), ["FAKE", "REAL"])
+
+
+def test_analysis_and_exports(spark):
+    text = "Officials confirmed on Monday that the city council approved a budget of 20 million dollars for schools. " * 12
+    rows = [(1, "City council approves budget", text, "reuters.com", "", "A. Writer", "2024-01-02"), (2, "SHOCKING hoax EXPOSED!!!", "You won't believe this secret hoax!!! Panic and chaos, terrifying betrayal!! " * 6, "", "http://newspunch.com/x", "", ""), (3, "t", "short", "", "", "", ""), (4, None, "function( window. webpack push( {};{};{};" * 5, None, None, None, None)]
+    articles = A.requests(spark.createDataFrame(rows, "doc_id int, title string, text string, source string, url string, author string, published string"))
+    assert {r.doc_id: r.error is None for r in articles.collect()} == {1: True, 2: True, 3: False, 4: False}
+    corpus = spark.createDataFrame([(1, "City council approves budget for schools", text, "apnews.com")], "item_id int, title string, text string, source string")
+    got = A.analyze(articles, corpus, R.registry(spark)).cache()
+    r = {x.doc_id: x for x in got.collect()}
+    assert set(r) == {1, 2} and r[1].trust_score > r[2].trust_score and r[1].badge == "Trusted" and r[2].badge == "Suspicious"
+    assert r[1].n_evidence > 0 and r[1].trusted_sources == ["apnews.com"] and r[2].n_evidence == 0
+    assert r[1].recommendation.endswith("Review the evidence report before sharing the article.") and "Detected language: English" in r[1].explanation
+    assert r[2].trust_explanation.startswith(f"Trust Score {r[2].trust_score}/100 indicates {r[2].trust_level.lower()}. Reasons: ")
+    history = EX.history_columns(got, "2024-02-01 00:00")
+    assert history.columns[1:] == list(EX.HISTORY_COLUMNS.values()) and len(EX.HISTORY_COLUMNS) == 35 and len(EX.ANALYSIS_COLUMNS) == 50
+    assert EX.csv_lines(history, list(EX.HISTORY_COLUMNS.values())).count() == 2
+    assert EX.analysis_columns(got, "2024-02-01 00:00").columns[1:] == list(EX.ANALYSIS_COLUMNS.values())
+    report = EX.history_report(history, "2024-02-01 00:00", "Brand")
+    assert report["summary"]["total"] == 2 and len(report["sections"]) == 4 and report["summary"]["evidence_backed"] == 1
+    packed = json.loads(EX.analysis_report(got, "2024-02-01 00:00").where("doc_id = 1").first().report)
+    assert packed["highlights"]["trustScore"] == r[1].trust_score and packed["analysis"]["title"] == "City council approves budget"
+    assert A.analyze(articles.where("false"), corpus, R.registry(spark)).count() == 0
+
+
 def test_classifiers(spark):
     rows = [(i, "FAKE" if i % 2 else "REAL", "scandal rumour gossip claim".split() if i % 2 else "report study official data".split()) for i in range(40)]
     df = M.split(spark.createDataFrame(rows, "doc_id int, label string, words array<string>"))
