@@ -1,8 +1,11 @@
 """Claims, their matches in a trusted corpus, stances and verdicts.
 
-Matching is an inverted-index join: titles, claims and keywords are exploded to
-tokens of three kinds, both sides meet by (kind, token), and the numbers of
-shared tokens give the set similarities.  No cross join of claims and articles.
+Matching is an inverted-index join with a prefix filter: a pair can only reach
+the threshold if one of its three set similarities (titles, claim and text,
+keywords) does, and then it shares one of the rarest tokens of the claim's set,
+as many as the threshold leaves.  Only those tokens meet the corpus' index, so
+frequent words make no pairs; similarities are computed for what has met.  No
+cross join of claims and articles.
 """
 
 from __future__ import annotations
@@ -63,11 +66,15 @@ def match_evidence(claims: DataFrame, corpus: DataFrame, key: str = "doc_id", th
     )
     left = _indexed(c, [key, "claim_no"], {"t": "ct", "c": "cc", "k": "ck"})
     right = _indexed(t, ["item_id"], {"t": "tt", "c": "tc", "k": "tk"})
-    shared = left.join(right, ["kind", "token"]).groupBy(key, "claim_no", "item_id").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in "tck"])
-    pair = shared.join(c.select(key, "claim_no", F.size("ct").alias("st"), F.size("cc").alias("sc"), F.size("ck").alias("sk"), "query"), [key, "claim_no"])
-    pair = pair.join(t.select("item_id", F.size("tt").alias("ut"), F.size("tc").alias("uc"), "item_text"), "item_id")
-    jac = lambda n, a, b: F.when((F.col(a) == 0) | (F.col(b) == 0), 0.0).otherwise(F.col(n) / F.greatest(F.col(a) + F.col(b) - F.col(n), F.lit(1)))
-    pair = pair.withColumns({"title_similarity": jac("n_t", "st", "ut"), "claim_similarity": jac("n_c", "sc", "uc"), "overlap": F.when(F.col("sk") > 0, F.col("n_k") / F.col("sk")).otherwise(0.0)})
+    # the weights of the three similarities sum to 1, so one of them reaches the (unrounded) threshold
+    least = threshold - 0.00005
+    often = right.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("df"))
+    own = W.partitionBy(key, "claim_no", "kind")
+    ranked = left.join(often, ["kind", "token"], "left").withColumns({"_place": F.row_number().over(own.orderBy(F.coalesce("df", F.lit(0)), "token")), "_size": F.count(F.lit(1)).over(own)})
+    rare = ranked.where(F.col("df").isNotNull() & (F.col("_place") <= F.col("_size") - F.ceil(F.col("_size") * least) + 1)).select(key, "claim_no", "kind", "token")
+    met = rare.join(right, ["kind", "token"]).select(key, "claim_no", "item_id").distinct()
+    pair = met.join(c.select(key, "claim_no", "ct", "cc", "ck", "query"), [key, "claim_no"]).join(t.select("item_id", "tt", "tc", "tk", "item_text"), "item_id")
+    pair = pair.withColumns({"title_similarity": X.jaccard(F.col("ct"), F.col("tt")), "claim_similarity": X.jaccard(F.col("cc"), F.col("tc")), "overlap": F.when(F.size("ck") > 0, F.size(F.array_intersect("ck", "tk")) / F.size("ck")).otherwise(0.0)})
     pair = pair.withColumn("similarity", X.js_round(F.col("title_similarity") * 0.32 + F.col("claim_similarity") * 0.48 + F.col("overlap") * 0.2, 4)).where(F.col("similarity") >= threshold)
     pair = pair.withColumn("stance", stance(lex))
     rank = F.row_number().over(W.partitionBy(key, "claim_no").orderBy(F.col("similarity").desc(), "item_id"))
