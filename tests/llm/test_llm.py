@@ -631,6 +631,31 @@ def test_pipeline(spark):
     assert sorted(r.doc_id for r in last.collect()) == sorted(r.doc_id for r in now.collect())
 
 
+def test_pipeline_stages_against_plain_versions(spark, docs, tmp_path):
+    """Each stage on odd rows: nulls, repeats, ties, empty and long texts."""
+    import corpus_pipeline
+
+    directory = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    own = core(docs)
+    near = {r.doc_id for r in stages["near-duplicate removal"](spark, own, directory).collect()}
+    want = brute.components([(d, t) for d, t, *_ in ROWS if d is not None], 80)
+    assert near == {d for d, c in want.items() if d == c} | {None}
+    kept = Counter(r.doc_id for r in stages["near-duplicate removal"](spark, own.unionByName(own), directory).where("doc_id IS NOT NULL").collect())
+    assert set(kept.values()) == {1}
+    clean = Counter(r.doc_id for r in stages["benchmark decontamination"](spark, own, directory).collect())
+    assert clean == Counter(d for d, *_ in ROWS)
+    plan = Counter()
+    for r in mixing.mix_plan(own).collect():
+        plan[r.doc_id] = max(plan[r.doc_id], r.copies)
+    mixed = Counter(r.doc_id for r in stages["mixing sources"](spark, own, directory).collect())
+    rows_of = Counter(d for d, *_ in ROWS)
+    assert mixed == Counter({d: n * rows_of[d] for d, n in plan.items() if n})
+    assert stages["quality classifier"](spark, own.where("false"), directory).count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, own.where("false"), directory).count() == 0, name
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_queries_match_sql(spark, name):
     tables = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark")}
