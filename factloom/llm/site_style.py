@@ -57,6 +57,8 @@ from .common import materialise
 
 IMPORTANCE, DECAY, FULL_SHARE = 0.3, 0.9, 0.1
 BROADCAST_BYTES = 32 << 20
+#: Rows of a table of containers (some 100 bytes each) up to which it is broadcast; a hot host's texts then stay where they are.
+BROADCAST_NODES = 100_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
@@ -257,7 +259,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
     nodes = each.select(*site, F.col("words").alias("whole"), F.explode("nodes").alias("x")).select(*site, "whole", "x.*")
     shapes = nodes.groupBy(*site, "node", "shape").agg(F.count(F.lit(1)).alias("c"), F.sum("words").alias("words"), F.sum("whole").alias("whole"))
     shapes = shapes.groupBy(*site, "node").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("l"), F.sum(F.col("c") * F.log("c")).alias("clogc"), (F.sum("words") / F.sum("whole")).alias("share"))
-    shapes = shapes.withColumn("presentation", F.when(F.col("m") > 1, 1 - F.col("clogc") / F.col("m") / F.log("m")).otherwise(1.0))
+    shapes = materialise(shapes.withColumn("presentation", F.when(F.col("m") > 1, 1 - F.col("clogc") / F.col("m") / F.log("m")).otherwise(1.0)), "shapes")
+    shapes = F.broadcast(shapes) if shapes.count() <= BROADCAST_NODES else shapes
 
     texts = each.select(*site, F.explode(F.array_distinct("blocks")).alias("x")).groupBy(*site, "x.chain", "x.id", "x.words").agg(F.count(F.lit(1)).alias("k"))
     texts = texts.withColumn("node", F.element_at("chain", -1)).join(shapes.select(*site, "node", "m"), [*site, "node"])
