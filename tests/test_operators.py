@@ -179,6 +179,16 @@ def test_store(spark):
     assert [(r.label, r.confidence, r.risk) for r in c] == [("FAKE", 0, "MEDIUM"), ("REAL", 100, "LOW")]
 
 
+def test_whole_analyses_have_one_shape(spark):
+    rows = [("A1", " T ", "fake", "81.6", None, "70", ["k"], {"REAL": 0.2}, "2024-01-02T03:04:05Z"), (None, None, "odd", None, "0.4", "x", None, None, None)]
+    df = spark.createDataFrame(rows, "id string, title string, prediction string, confidence string, confidenceScore string, trustScore string, keywords array<string>, probabilities map<string,double>, analyzed_at string")
+    one, two = sorted(ST.normal_analyses(df, "2024-05-06 07:08").collect(), key=lambda r: r.id != "A1")
+    assert len(one) == 64
+    assert (one.title, one.label, one.confidence, one.confidence_score, one.risk_level, one.trust_score, one.trust_level, one.keywords, one.date) == ("T", "FAKE", 82, 0.82, "HIGH", 70.0, "Moderate credibility", ["k"], "2024-01-02 03:04")
+    assert json.loads(one.probabilities) == {"REAL": 0.2} and one.main_claims == [] and one.evidence is None
+    assert (two.title, two.label, two.confidence, two.risk_level, two.trust_level, two.keywords, two.date) == ("Untitled Article", "UNCERTAIN", 40, "HIGH", "Low credibility", [], "2024-05-06 07:08") and two.id.startswith("AN-")
+
+
 def test_search_and_validation(spark):
     df = spark.createDataFrame([(1, "REAL", "A b.c", ["x", "y"]), (2, "FAKE", "abc", [])], "id int, label string, text string, tags array<string>")
     assert [r.id for r in Q.search(df, ["text", "tags"], "B.C").collect()] == [1]
