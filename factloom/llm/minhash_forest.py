@@ -15,12 +15,14 @@ Candidates are confirmed on full sets, a few for each node at first: pairs whose
 ends have since been connected need no test.  What is left, pairs of one region
 that no order brought together and that lie in different components, is
 compared within the regions that hold more than one component, by sketches and
-then by full sets.  Of these comparisons only links leave the task.
+then by full sets.  Of these comparisons only links leave the task.  Pairs in different
+parts of a crowded region are found at last, in families of such regions, by
+what sets hold beyond the family's core or lack of it (``crowded``).
 
 Two sets of just the similarity asked for share no region of the least depth
 with a probability of at most ``MISSED``, and are dropped by the sketch at 5.5
-standard deviations (about 1e-7).  In a crowded region, which only holds sets
-that are much alike, a pair can also fall in different parts, in all trees.
+standard deviations (about 1e-7); no link between sets that share a region is
+lost otherwise, crowded or not.
 
 Groups of copies take part as one node.  A leader that many candidates name is
 dealt to several tasks.  Components come from alternating large and small star
@@ -45,6 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import crowded
 from .common import materialise
 
 SHINGLE, PERCENT = 5, 85
@@ -177,6 +180,15 @@ def _confirm(percent: int):
     return run
 
 
+def _elements(frames):
+    """id and hash of each shingle."""
+    hashes = _Hashes()
+    for pdf in frames:
+        for node, text in zip(pdf["node"], pdf["text"]):
+            found = shingle_set(text, hashes).view(np.int64)
+            yield pd.DataFrame({"id": np.full(len(found), node, np.int64), "s": found})
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """a, b, linked for each pair: leaders' and members' texts meet by leader, hot leaders in several tasks."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_ROWS).alias("parts"))
@@ -380,6 +392,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     if not rest.isEmpty():
         comps = components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest))
 
+    # crowded regions: families of them, by what their members share beyond a core or lack of it
+    close = met.where("key <> region").select("key", "me.*").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = close.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("id").alias("a")).where("c1 <> c2").select("key", "a")
+    close = materialise(close.join(several, "key"), "close")
+    if not close.isEmpty():
+        # one family takes the place of overlapping regions of several trees
+        families = components(close.select("a", F.col("id").alias("b"))).withColumnRenamed("component", "g")
+        close = close.drop("key", "a").dropDuplicates(["id"]).join(families, F.col("id") == F.col("node"), "left").withColumn("g", F.coalesce("g", "id"))
+        close = materialise(close.select("g", "id", "n", "s1", "s2", "component"), "families")
+        elements = texts.join(close.select(F.col("id").alias("node")), "node").mapInPandas(_elements, "id long, s long")
+        more = crowded.pairs(close, materialise(elements, "elements"), percent, sketch_apart(percent))
+        left = materialise(across(more), "open")
+        if not left.isEmpty():
+            settle(left)
+
     # nodes to the smallest id of their component
     grouped = sets.select("node", "doc_id").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -394,6 +421,9 @@ def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group, that with the smallest id; of its rows, which may repeat or differ in their texts, the one with the least text hash.  Rows without an id stay."""
     kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     rows = docs.select("doc_id", F.xxhash64("text").alias("_row")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("_row").alias("_row"))
-    kept = materialise(rows.join(kept, "doc_id").withColumnRenamed("doc_id", "_id"), "kept")
-    one = docs.join(kept, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left_semi").dropDuplicates(["doc_id"])
+    kept = materialise(rows.join(kept, "doc_id").select(F.struct("doc_id", "_row").alias("k")), "kept")
+    # whole rows are one column, so that no name of theirs meets another
+    whole = docs.select(F.struct("*").alias("r"))
+    same = (F.col("r.doc_id") == F.col("k.doc_id")) & (F.xxhash64("r.text") == F.col("k._row"))
+    one = whole.join(kept, same).select("r", F.col("r.doc_id").alias("d")).dropDuplicates(["d"]).select("r.*")
     return one.unionByName(docs.where("doc_id IS NULL"))

@@ -98,9 +98,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     by the id first.
     """
     plan = mix_plan(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    plan = plan.where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    taken = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"]))
-    return taken.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    plan = plan.where("_copies > 0").select(F.struct("doc_id", "_copies").alias("p"))
+    # whole rows are one column, so that no name of theirs meets another
+    taken = docs.select(F.struct("*").alias("r")).join(plan, F.col(f"r.`{id_col}`").eqNullSafe(F.col("p.doc_id")))
+    return taken.select("r", F.explode(F.sequence(F.lit(1), F.col("p._copies"))).alias("e")).select("r.*")
 
 
 ORACLE = r"""

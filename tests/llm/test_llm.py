@@ -339,6 +339,68 @@ def test_crowded_regions_are_split(spark, monkeypatch):
     assert sum(x["count"] for x in sizes) == 201 and max(x["count"] for x in sizes) <= 4 * 6
 
 
+def twins(n):
+    """Documents of 200 shingles, 183 in all of them; only twins share one more, which links them (184 of 216)."""
+    common = prose(187, 900)
+    return [(k, f"{common} twin{k // 2} " + " ".join(f"own{k}x{j}" for j in range(16))) for k in range(n)]
+
+
+@pytest.mark.parametrize("n,crowd,light", [(60, 6, 4), (700, 256, 64)])
+def test_twins_in_a_crowded_region_are_linked(spark, monkeypatch, n, crowd, light):
+    """No link is lost in a family whose members are all just under the similarity."""
+    monkeypatch.setattr(minhash_forest, "CROWD", crowd)
+    monkeypatch.setattr(minhash_forest.crowded, "LIGHT", light)
+    rows = twins(n)
+    got = {x.doc_id: x.component_id for x in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: k // 2 * 2 for k in range(n)}
+
+
+@pytest.mark.parametrize("percent,light,seed", [(85, 3, 1), (80, 5, 2), (85, 64, 3)])
+def test_pairs_of_a_crowded_group_link_all_that_is_similar(spark, percent, light, seed):
+    """Random families: shared cores, missing parts, families within families, several groups."""
+    r = random.Random(seed)
+    sets, groups = {}, {}
+    for g in range(4):
+        core = [g * 1000 + k for k in range(40)]
+        parts = [[g * 1000 + 100 + 20 * p + k for k in range(r.randint(2, 9))] for p in range(3)]
+        for m in range(50):
+            i = 100 * g + m
+            lost = set(r.sample(core, r.choice([0, 0, 1, 2, 4, 5])))
+            sets[i] = {x for x in core if x not in lost} | set(r.choice([[], *parts])) | {g * 1000 + 500 + r.randrange(60) for _ in range(r.choice([0, 1, 3, 6]))}
+            groups[i] = g
+    members = spark.createDataFrame([(g, i, len(sets[i]), 0, 0, i) for i, g in groups.items()], "g long, id long, n long, s1 long, s2 long, component long")
+    elements = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "id long, s long")
+    found = {(x.a, x.b) for x in minhash_forest.crowded.pairs(members, elements, percent, 128, light).collect()}
+    similar = lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+
+    def parts_of(links):
+        at = {i: i for i in sets}
+
+        def root(i):
+            while at[i] != i:
+                i = at[i]
+            return i
+
+        for a, b in links:
+            x, y = root(a), root(b)
+            at[max(x, y)] = min(x, y)
+        return {i: root(i) for i in sets}
+
+    whole = [(a, b) for a in sets for b in sets if a < b and groups[a] == groups[b] and similar(a, b)]
+    assert whole and parts_of(whole) == parts_of([p for p in found if similar(*p)])
+    assert len(found) < 0.8 * sum(a < b and groups[a] == groups[b] for a in sets for b in sets)
+
+
+def test_rows_keep_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six", "a", 1), (2, "one two three four five six", "a", 2), (3, "another text of some words here", "b", 3)]
+    names = ["_id", "_row", "_epoch", "_copies", "r", "k", "p", "e", "d"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mark int").withColumns({n: F.col("mark") for n in names})
+    for out in (minhash_forest.keep_first(docs), mixing.mix(docs)):
+        assert out.columns == docs.columns
+        held = out.collect()
+        assert held and all(x[n] == x.mark == x.doc_id for x in held for n in names)
+
+
 def test_depth_and_sketch_follow_the_similarity():
     for percent in (70, 80, 85, 95):
         d = minhash_forest.least_depth(percent)
