@@ -181,12 +181,10 @@ def _confirm(percent: int):
 
 
 def _elements(frames):
-    """id and hash of each shingle."""
+    """id and sorted hashes of its shingles."""
     hashes = _Hashes()
     for pdf in frames:
-        for node, text in zip(pdf["node"], pdf["text"]):
-            found = shingle_set(text, hashes).view(np.int64)
-            yield pd.DataFrame({"id": np.full(len(found), node, np.int64), "s": found})
+        yield pd.DataFrame({"id": pdf["node"], "e": [np.sort(shingle_set(t, hashes).view(np.int64)) for t in pdf["text"]]})
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -401,11 +399,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         families = components(close.select("a", F.col("id").alias("b"))).withColumnRenamed("component", "g")
         close = close.drop("key", "a").dropDuplicates(["id"]).join(families, F.col("id") == F.col("node"), "left").withColumn("g", F.coalesce("g", "id"))
         close = materialise(close.select("g", "id", "n", "s1", "s2", "component"), "families")
-        elements = texts.join(close.select(F.col("id").alias("node")), "node").mapInPandas(_elements, "id long, s long")
-        more = crowded.pairs(close, materialise(elements, "elements"), percent, sketch_apart(percent))
-        left = materialise(across(more), "open")
-        if not left.isEmpty():
-            settle(left)
+        elements = texts.join(close.select(F.col("id").alias("node")), "node").mapInPandas(_elements, "id long, e array<long>")
+        more = materialise(crowded.pairs(close, materialise(elements, "elements"), percent, sketch_apart(percent)), "more")
+        if not more.isEmpty():
+            comps = components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
     # nodes to the smallest id of their component
     grouped = sets.select("node", "doc_id").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -369,7 +369,7 @@ def test_pairs_of_a_crowded_group_link_all_that_is_similar(spark, percent, light
             sets[i] = {x for x in core if x not in lost} | set(r.choice([[], *parts])) | {g * 1000 + 500 + r.randrange(60) for _ in range(r.choice([0, 1, 3, 6]))}
             groups[i] = g
     members = spark.createDataFrame([(g, i, len(sets[i]), 0, 0, i) for i, g in groups.items()], "g long, id long, n long, s1 long, s2 long, component long")
-    elements = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "id long, s long")
+    elements = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, e array<long>")
     found = {(x.a, x.b) for x in minhash_forest.crowded.pairs(members, elements, percent, 128, light).collect()}
     similar = lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
 
