@@ -247,11 +247,16 @@ _WIDE = "[" + "".join(FOLD_WIDE) + "]"
 
 
 def fold_ascii(x: Column) -> Column:
-    """Compatibility forms (accents, ligatures, full-width letters, fractions, ...) folded to their ASCII parts, other non-ASCII dropped."""
+    """Compatibility forms (accents, ligatures, full-width letters, fractions, ...) folded to their ASCII parts, other non-ASCII dropped.
+
+    Texts of ASCII only stay as they are, and forms of several parts are taken one
+    by one only where a translation (a look-up for each character) finds some.
+    """
     wide = F.create_map(*[F.lit(v) for pair in FOLD_WIDE.items() for v in pair])
     found = lambda v: F.array_distinct(F.regexp_extract_all(v, F.lit(f"({_WIDE})"), F.lit(1)))
-    x = let(F.coalesce(x, F.lit("")), lambda v: F.when(v.rlike(_WIDE), F.aggregate(found(v), v, lambda acc, c: F.replace(acc, c, F.element_at(wide, c)))).otherwise(v))
-    return F.regexp_replace(F.translate(x, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
+    spread = lambda v: F.when(F.length(F.translate(v, "".join(FOLD_WIDE), "")) < F.length(v), F.aggregate(found(v), v, lambda acc, c: F.replace(acc, c, F.element_at(wide, c)))).otherwise(v)
+    folded = lambda v: F.regexp_replace(F.translate(spread(v), FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
+    return let(F.coalesce(x, F.lit("")), lambda v: F.when(F.octet_length(v) == F.length(v), v).otherwise(folded(v)))
 
 
 def normal_text(x: Column) -> Column:

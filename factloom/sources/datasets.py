@@ -109,33 +109,48 @@ def combined_text(title: Column, text: Column) -> Column:
     return F.when((t != "") & F.startswith(F.lower(x), F.lower(t)), x).otherwise(F.trim(F.concat(t, F.lit(" "), x)))
 
 
-def signature(df: DataFrame) -> Column:
-    return F.concat(X.normal_text(F.col("title")), F.lit("||"), X.normal_text(F.col("text")))
+def signature(title: Column, text: Column) -> Column:
+    """Of normal title and text."""
+    return F.concat(title, F.lit("||"), text)
+
+
+def normalised(df: DataFrame) -> DataFrame:
+    """With ``_title`` and ``_text``, each computed once for all that read it."""
+    return df.withColumns({"_title": X.normal_text(F.col("title")), "_text": X.normal_text(F.col("text"))})
 
 
 def deduplicate(df: DataFrame, order: str, key: Column | None = None) -> DataFrame:
     """First row of each signature; groups meet by the signature's hash, with partial aggregation, so copies don't pile up in one task."""
-    keyed = df.withColumn("_key", F.sha2(signature(df) if key is None else key, 256))
+    key = signature(X.normal_text(F.col("title")), X.normal_text(F.col("text"))) if key is None else key
+    keyed = df.withColumn("_key", F.sha2(key, 256))
     first = keyed.groupBy("_key").agg(F.min(F.struct(order, *[c for c in df.columns if c != order])).alias("r"))
     return first.select("r.*").select(df.columns)
 
 
-def language_hint(text: Column) -> Column:
-    words = F.slice(F.split(X.normal_text(text), " "), 1, 120)
+def language_hint(normal: Column) -> Column:
+    """From the first 120 words of a normal text."""
+    words = F.split(F.substring_index(normal, " ", 120), " ")
     return F.when(X.hits(words, L.ENGLISH_MARKERS) >= 2, "en").otherwise("unknown")
 
 
 def profile(df: DataFrame, order: str) -> DataFrame:
     """One row: rows, blank texts and titles, duplicates, unknown languages, labels, warnings."""
     n = F.count(F.lit(1))
-    unknown = F.count_if(language_hint(F.col("text")) == "unknown")
-    seen = df.agg(
+    # the rows that aggregates see are narrow: a digest and a few flags
+    facts = normalised(df).select(
+        "label",
+        (F.trim("text") == "").alias("no_text"),
+        (F.trim("title") == "").alias("no_title"),
+        (language_hint(F.col("_text")) == "unknown").alias("no_language"),
+        F.sha2(signature(F.col("_title"), F.col("_text")), 256).alias("key"),
+    )
+    seen = facts.agg(
         n.alias("n_rows"),
-        F.count_if(F.trim("text") == "").alias("blank_texts"),
-        F.count_if(F.trim("title") == "").alias("blank_titles"),
-        unknown.alias("unknown_language"),
+        F.count_if("no_text").alias("blank_texts"),
+        F.count_if("no_title").alias("blank_titles"),
+        F.count_if("no_language").alias("unknown_language"),
         *[F.count_if(F.col("label") == k).alias(f"n_{k.lower()}") for k in B.LABELS],
-        F.count_distinct(F.sha2(signature(df), 256)).alias("n_distinct"),
+        F.count_distinct("key").alias("n_distinct"),
     )
     return seen.select(
         "*",
@@ -156,7 +171,7 @@ def merge(parts: list[DataFrame], order: str) -> DataFrame:
 def report(records: DataFrame, order: str, name: str) -> DataFrame:
     """One row: sizes before and after cleaning, blank and repeated rows, warnings (texts, in order)."""
     filled = F.trim("text") != ""
-    languages = deduplicate(records.where(filled), order).agg(F.count(F.lit(1)).alias("dataset_size"), F.count_if(language_hint(F.col("text")) == "unknown").alias("unknown_language"))
+    languages = deduplicate(records.where(filled), order).agg(F.count(F.lit(1)).alias("dataset_size"), F.count_if(language_hint(X.normal_text(F.col("text"))) == "unknown").alias("unknown_language"))
     seen = records.agg(F.count(F.lit(1)).alias("rows_before_cleaning"), F.count_if(~filled).alias("empty_text_rows"), F.count_if(F.trim("title") == "").alias("empty_title_rows"))
     one = seen.crossJoin(languages).withColumn("duplicate_rows", F.col("rows_before_cleaning") - F.col("empty_text_rows") - F.col("dataset_size"))  # two single rows
     said = [
@@ -173,7 +188,7 @@ def distributions(records: DataFrame, order: str) -> DataFrame:
     clean = deduplicate(records.where(F.trim("text") != ""), order)
     parts = []
     for stage, df, names in (("before", records, ("label", "language")), ("after", clean, ("label", "dataset_type", "language"))):
-        values = {"label": F.coalesce("label", F.lit("")), "dataset_type": F.col("dataset_type"), "language": language_hint(F.col("text"))}
+        values = {"label": F.coalesce("label", F.lit("")), "dataset_type": F.col("dataset_type"), "language": language_hint(X.normal_text(F.col("text")))}
         each = F.explode(F.array(*[F.struct(F.lit(n).alias("distribution"), values[n].alias("value")) for n in names])).alias("x")
         parts.append(df.select(F.lit(stage).alias("stage"), each).groupBy("stage", "x.distribution", "x.value").agg(F.count(F.lit(1)).alias("n")))
     return parts[0].unionByName(parts[1])
