@@ -1,11 +1,12 @@
 """Claims, their matches in a trusted corpus, stances and verdicts.
 
-Matching is an inverted-index join with a prefix filter: a pair can only reach
-the threshold if one of its three set similarities (titles, claim and text,
-keywords) does, and then it shares one of the rarest tokens of the claim's set,
-as many as the threshold leaves.  Only those tokens meet the corpus' index, so
-frequent words make no pairs; similarities are computed for what has met.  No
-cross join of claims and articles.
+Matching is an inverted-index join with a two-sided prefix filter.  A pair can
+only reach the threshold if one of its three similarities (titles, claim and text,
+keywords) reaches its own share of it (``FLOORS``).  Tokens are ordered by how rare
+they are in the corpus; of each set only the rarest ones, as many as that floor
+leaves, meet, on both sides, so frequent words make no pairs.  What meets must
+also agree in size, and what follows the common token on either side must suffice.
+Similarities are computed for what is left.  No cross join of claims and articles.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from factloom.functions import text as X
 from .intelligence import Lexicon, keyword_array
 
 MATCH, PER_PROVIDER, PER_CLAIM, SURE = 0.16, 8, 5, 0.34
+#: Weights of the similarities of titles, claim and text, and keywords.
+WEIGHTS = {"t": 0.32, "c": 0.48, "k": 0.2}
+#: Floors of the similarities: a pair under all three is under the threshold, as they sum to it by weight.
+FLOORS = {"t": 0.16, "c": 0.2, "k": 0.0635}
 
 
 def claim_points(sentence: Column, head_words: Column, lex: Lexicon) -> Column:
@@ -48,11 +53,39 @@ def _indexed(df: DataFrame, ids: list[str], sets: dict[str, str]) -> DataFrame:
     return df.select(*ids, F.explode(kinds).alias("x")).select(*ids, "x.kind", F.explode("x.set").alias("token"))
 
 
-def match_evidence(claims: DataFrame, corpus: DataFrame, key: str = "doc_id", threshold: float = MATCH, most: int = PER_PROVIDER, lex: Lexicon = L.ENGLISH) -> DataFrame:
+def _ranked(df: DataFrame, ids: list[str], often: DataFrame) -> DataFrame:
+    """With ``place`` (the rarest token of a set is 1; tokens that the corpus has not come first) and ``size`` of the set."""
+    own = W.partitionBy(*ids, "kind")
+    return df.join(often, ["kind", "token"], "left").withColumns({"place": F.row_number().over(own.orderBy(F.coalesce("df", F.lit(0)), "token")), "size": F.count(F.lit(1)).over(own)})
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, key: str, floors: dict[str, float]) -> DataFrame:
+    """key, claim_no, item_id of all pairs with a similarity at its floor: of (key, claim_no, kind, token) and (item_id, kind, token).
+
+    Kinds t and c are measured by intersection over union, k by the claim's share.
+    """
+    often = right.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("df"))
+    floor = F.create_map(*[F.lit(v) for pair in floors.items() for v in pair])[F.col("kind")]
+    least = F.greatest(F.ceil(F.col("size") * floor - 1e-9), F.lit(1))  # tokens that a set of this size has to share
+    l = _ranked(left, [key, "claim_no"], often).where(F.col("df").isNotNull() & (F.col("place") <= F.col("size") - least + 1)).select(key, "claim_no", "kind", "token", F.struct("place", "size").alias("l"))
+    # a keyword set is measured by the claim's, so any one of the article's may be the common one
+    r = _ranked(right, ["item_id"], often).where((F.col("kind") == "k") | (F.col("place") <= F.col("size") - least + 1)).select("item_id", "kind", "token", F.struct("place", "size").alias("r"))
+    met = l.join(r, ["kind", "token"])
+    rest = 1 + F.least(F.col("l.size") - F.col("l.place"), F.col("r.size") - F.col("r.place"))
+    need = F.when(F.col("kind") == "k", F.col("l.size") * floor).otherwise((F.col("l.size") + F.col("r.size")) * floor / (1 + floor))
+    alike = (F.col("kind") == "k") | (F.least("l.size", "r.size") >= F.greatest("l.size", "r.size") * floor - 1e-9)
+    return met.where(alike & (rest >= need - 1e-9)).select(key, "claim_no", "item_id").distinct()
+
+
+def match_evidence(claims: DataFrame, corpus: DataFrame, key: str = "doc_id", threshold: float = MATCH, most: int = PER_PROVIDER, lex: Lexicon = L.ENGLISH, floors: dict[str, float] | None = None) -> DataFrame:
     """key, claim_no, item_id, title_similarity, claim_similarity, overlap, similarity, stance, rank.
 
-    ``corpus``: item_id, title, text.
+    ``corpus``: item_id, title, text.  ``floors`` sum to the threshold by weight, at most.
     """
+    floors = floors or {k: f * threshold / MATCH for k, f in FLOORS.items()}
+    if sum(WEIGHTS[k] * f for k, f in floors.items()) > threshold:
+        raise ValueError("floors that exceed the threshold by weight lose pairs")
+    floors = {k: f * (1 - 0.00005 / threshold) for k, f in floors.items()}  # the threshold holds for the rounded similarity
     c = claims.withColumns(
         {"ct": X.similarity_tokens(F.col("title")), "cc": X.similarity_tokens(F.col("claim")), "ck": keyword_array(F.concat_ws(" ", "title", "claim"), 10), "query": F.lower(F.concat_ws(" ", "title", "claim"))}
     )
@@ -66,16 +99,10 @@ def match_evidence(claims: DataFrame, corpus: DataFrame, key: str = "doc_id", th
     )
     left = _indexed(c, [key, "claim_no"], {"t": "ct", "c": "cc", "k": "ck"})
     right = _indexed(t, ["item_id"], {"t": "tt", "c": "tc", "k": "tk"})
-    # the weights of the three similarities sum to 1, so one of them reaches the (unrounded) threshold
-    least = threshold - 0.00005
-    often = right.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("df"))
-    own = W.partitionBy(key, "claim_no", "kind")
-    ranked = left.join(often, ["kind", "token"], "left").withColumns({"_place": F.row_number().over(own.orderBy(F.coalesce("df", F.lit(0)), "token")), "_size": F.count(F.lit(1)).over(own)})
-    rare = ranked.where(F.col("df").isNotNull() & (F.col("_place") <= F.col("_size") - F.ceil(F.col("_size") * least) + 1)).select(key, "claim_no", "kind", "token")
-    met = rare.join(right, ["kind", "token"]).select(key, "claim_no", "item_id").distinct()
+    met = candidate_pairs(left, right, key, floors)
     pair = met.join(c.select(key, "claim_no", "ct", "cc", "ck", "query"), [key, "claim_no"]).join(t.select("item_id", "tt", "tc", "tk", "item_text"), "item_id")
     pair = pair.withColumns({"title_similarity": X.jaccard(F.col("ct"), F.col("tt")), "claim_similarity": X.jaccard(F.col("cc"), F.col("tc")), "overlap": F.when(F.size("ck") > 0, F.size(F.array_intersect("ck", "tk")) / F.size("ck")).otherwise(0.0)})
-    pair = pair.withColumn("similarity", X.js_round(F.col("title_similarity") * 0.32 + F.col("claim_similarity") * 0.48 + F.col("overlap") * 0.2, 4)).where(F.col("similarity") >= threshold)
+    pair = pair.withColumn("similarity", X.js_round(F.col("title_similarity") * WEIGHTS["t"] + F.col("claim_similarity") * WEIGHTS["c"] + F.col("overlap") * WEIGHTS["k"], 4)).where(F.col("similarity") >= threshold)
     pair = pair.withColumn("stance", stance(lex))
     rank = F.row_number().over(W.partitionBy(key, "claim_no").orderBy(F.col("similarity").desc(), "item_id"))
     return pair.withColumn("rank", rank).where(F.col("rank") <= most).select(key, "claim_no", "item_id", "title_similarity", "claim_similarity", "overlap", "similarity", "stance", "rank")

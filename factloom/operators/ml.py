@@ -5,6 +5,8 @@ Relational forms keep (doc_id, term, weight) rows, never a dense matrix.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,6 +133,24 @@ def grams(words: str) -> Column:
 # ---------------------------------------------------------------- relations
 
 
+def shared_path(spark, tag: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a local one only where both are one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/factloom-{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: used often, computed once, and no lineage to repeat."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def split(records: DataFrame, key: str = "doc_id", percent: int = 80, seed: int = 42, buckets: int = 4096) -> DataFrame:
     """``in_train``: stratified by label, the first ``percent`` of each label by a hash of the id.
 
@@ -277,20 +297,25 @@ def best_model(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- pyspark.ml
 
 
+def places(idf: DataFrame) -> DataFrame:
+    """term, place: terms numbered from 0."""
+    # numbers without a window over everything: an offset for each of some ranges of a hash, and ranks inside
+    dealt = idf.select("term", F.pmod(F.xxhash64("term"), F.lit(4096)).alias("_range"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # at most 4096 rows
+    offsets = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_c")).select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy("term")) - 1
+    return dealt.join(offsets, "_range").select("term", (F.col("_offset") + inside).alias("place"))
+
+
 def vectors(weights: DataFrame, idf: DataFrame, docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int]:
-    """``docs`` with ``features``, a sparse vector over the terms of ``idf`` in their order by name, and its size.
+    """``docs`` with ``features``, a sparse vector over the terms of ``idf`` in the order of ``places``, and its size.
 
     A linear model has one coefficient for each term, so the vocabulary has to
     fit the driver here; ``naive_bayes_weights`` does without.
     """
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    # numbers without a window over everything: an offset for each of some ranges of a hash, and ranks inside
-    dealt = idf.select("term", F.pmod(F.xxhash64("term"), F.lit(4096)).alias("_range"))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # at most 4096 rows
-    offsets = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_c")).select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(W.partitionBy("_range").orderBy("term")) - 1
-    place = dealt.join(offsets, "_range").select("term", (F.col("_offset") + inside).alias("place"))
+    place = places(idf)
     size = idf.count()
     packed = weights.join(place, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("_x"))
     build = F.udf(lambda x: SparseVector(size, [int(p["place"]) for p in x or []], [float(p["weight"]) for p in x or []]), VectorUDT())

@@ -14,6 +14,7 @@ from factloom.operators import dashboard as D
 from factloom.operators import export as E
 from factloom.operators import intelligence as I
 from factloom.operators import ml as M
+from factloom.operators import models as MO
 from factloom.operators import search as Q
 from factloom.operators import store as ST
 from factloom.sources import datasets as DS
@@ -400,6 +401,30 @@ rows AS (SELECT label, p, r, f1, support FROM f UNION ALL SELECT 'macro avg', av
 SELECT label, {S.round_('p', 4)} AS precision, {S.round_('r', 4)} AS recall, {S.round_('f1', 4)} AS f1, support::BIGINT AS support FROM rows"""
 
 
+def model_inference(spark, sf_dir):
+    """Naive Bayes fitted, published, loaded from its tables, and applied to the rows held out."""
+    t = M.written(_training(spark, sf_dir).select("doc_id", "label", "words", "in_train"), "training")
+    root = M.shared_path(spark, "models")
+    MO.publish(MO.fit("multinomial_naive_bayes", t.where("in_train"), _LABELS), root, "2024-01-30T00:00:00Z")
+    out = MO.infer(t.where("NOT in_train"), MO.load(spark, root))
+    told = F.array_join(F.transform("keywords", lambda k: F.concat_ws(":", k["term"], k["direction"])), ",")
+    return out.select("doc_id", "predicted_label", "label", F.col("probabilities")["REAL"].alias("p_real"), F.col("probabilities")["FAKE"].alias("p_fake"), "binary_real", "confidence_score", "decision_margin", "n_tokens", "warning", told.alias("keywords"))
+
+
+_r4 = lambda x: S.round_(x, 4)
+MODEL_INFERENCE = f"""WITH {_NBW},
+ex AS (SELECT doc_id, label, exp(score - max(score) OVER (PARTITION BY doc_id)) AS e FROM scw), pb AS MATERIALIZED (SELECT doc_id, label, e / sum(e) OVER (PARTITION BY doc_id) AS p FROM ex),
+pp AS MATERIALIZED (SELECT doc_id, max(p) FILTER (label = 'REAL') AS r, max(p) FILTER (label = 'FAKE') AS f FROM pb GROUP BY doc_id),
+dc AS MATERIALIZED (SELECT sp.doc_id, words, len(words) AS nt, r, f, CASE WHEN {S.round_('r', 9)} > {S.round_('f', 9)} THEN 'REAL' ELSE 'FAKE' END AS guess, greatest(r, f) AS best, abs(r - f) AS margin FROM sp JOIN pp USING (doc_id)),
+im AS (SELECT wt.doc_id, wt.term, wt.w * (coalesce(ln((cw.w + 0.35::DOUBLE) / 0.35::DOUBLE), 0) + unseen) AS v FROM wt JOIN dc USING (doc_id) JOIN lbw ON lbw.label = guess LEFT JOIN cw ON cw.label = guess AND cw.term = wt.term),
+kw AS (SELECT doc_id, string_agg(term || ':' || CASE WHEN v >= 0 THEN 'supports' ELSE 'opposes' END, ',' ORDER BY n) AS k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_r4('abs(v)')} DESC, term) AS n FROM im WHERE {_r4('abs(v)')} > 0) WHERE n <= 8 GROUP BY doc_id),
+fb AS (SELECT doc_id, string_agg(t || ':supports', ',' ORDER BY p) AS k FROM (SELECT doc_id, t, p, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS n FROM (SELECT doc_id, t, min(p) AS p FROM (SELECT doc_id, unnest(words) AS t, generate_subscripts(words, 1) AS p FROM dc) GROUP BY ALL)) WHERE n <= 8 GROUP BY doc_id),
+lb2 AS (SELECT *, CASE WHEN nt < 25 OR best < 0.72 OR margin < 0.06 THEN 'UNCERTAIN' ELSE guess END AS label FROM dc)
+SELECT lb2.doc_id, guess AS predicted_label, label, {_r4('r')} AS p_real, {_r4('f')} AS p_fake, {_r4(f"{_r4('r')} / ({_r4('r')} + {_r4('f')})")} AS binary_real, {_r4('best')} AS confidence_score, {_r4('margin')} AS decision_margin, nt::INTEGER AS n_tokens,
+  CASE WHEN nt < 25 THEN '{MO.TOO_SHORT}' WHEN best < 0.72 THEN '{MO.BELOW.format(percent=72)}' WHEN margin < 0.06 THEN '{MO.TOO_CLOSE}' ELSE '' END AS warning, coalesce(kw.k, fb.k, '') AS keywords
+FROM lb2 LEFT JOIN kw USING (doc_id) LEFT JOIN fb USING (doc_id)"""
+
+
 def explain_terms(spark, sf_dir):
     """Terms of each document by weight times the log odds of the labels."""
     t = _training(spark, sf_dir)
@@ -414,7 +439,7 @@ def stemmed_vocabulary(spark, sf_dir):
     return d.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (label_distribution, overview, prediction_statistics, confidence_histogram, live_counters, daily_series, weekly_series, monthly_series, event_series, event_sessions, recent_feed, suspicious_keywords, search_history, search_articles, paginate, retention_topn, newest_per_user, upsert_latest, delete_keys, conform_records, export_csv, api_log_summary, json_props, dedupe_exact, merge_datasets, dataset_profile, tfidf_terms, nb_train, nb_predict, nb_confusion, nb_metrics, lr_metrics, svm_metrics, model_comparison, nb_tfidf_metrics, nb_tfidf_report, explain_terms, stemmed_vocabulary)}
+QUERIES = {f.__name__: f for f in (label_distribution, overview, prediction_statistics, confidence_histogram, live_counters, daily_series, weekly_series, monthly_series, event_series, event_sessions, recent_feed, suspicious_keywords, search_history, search_articles, paginate, retention_topn, newest_per_user, upsert_latest, delete_keys, conform_records, export_csv, api_log_summary, json_props, dedupe_exact, merge_datasets, dataset_profile, tfidf_terms, nb_train, nb_predict, nb_confusion, nb_metrics, lr_metrics, svm_metrics, model_comparison, nb_tfidf_metrics, nb_tfidf_report, model_inference, explain_terms, stemmed_vocabulary)}
 _COUNT3 = ", ".join(f"count(*) FILTER (label = '{k}') AS {k.lower()}" for k in B.LABELS)
 ORACLES = {
     "label_distribution": f"WITH {_ANALYSES} SELECT place, l.label, count(a.id) AS n FROM (VALUES (0, 'REAL'), (1, 'FAKE'), (2, 'UNCERTAIN')) l(place, label) LEFT JOIN analyses a ON a.label = l.label GROUP BY ALL",
@@ -450,4 +475,5 @@ ORACLES = {
     "nb_metrics": NB_METRICS,
     "nb_tfidf_metrics": NB_TFIDF_METRICS,
     "nb_tfidf_report": NB_TFIDF_REPORT,
+    "model_inference": MODEL_INFERENCE,
 }
