@@ -18,6 +18,7 @@ from factloom.operators import models as MO
 from factloom.operators import search as Q
 from factloom.operators import store as ST
 from factloom.sources import datasets as DS
+from factloom.sources import quarantine as QU
 from factloom.streaming import logs
 
 from . import sqltext as S
@@ -279,6 +280,18 @@ PROFILE = f"""WITH {_RECORDS}, p AS (SELECT count(*) AS n_rows, count(*) FILTER
 SELECT *, n_rows - n_distinct AS duplicates, n_rows < 50 AS warn_small, unknown_language > 0.2 * n_rows AS warn_language FROM p"""
 
 
+def revalidated_records(spark, sf_dir):
+    """All documents as training records, checked: those without a label or a text are rejects, with their reason."""
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    label = F.when(F.col("quality") == 1, "Real").when(F.col("quality") == 0, "FAKE").otherwise("none")
+    judged = QU.revalidate(d.select("doc_id", "text", X.headline(F.col("text")).alias("title"), label.alias("label"), "source", F.lit(" ").alias("dataset_type")))
+    return judged.select("doc_id", "label", "source", "dataset_type", F.length("text").alias("n_chars"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+REVALIDATED = f"""WITH r AS (SELECT doc_id, {S.collapse('text')} AS t, {S.collapse('source')} AS s, CASE WHEN quality = 1 THEN 'REAL' WHEN quality = 0 THEN 'FAKE' END AS label FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, label, CASE WHEN coalesce(s, '') = '' THEN 'Unknown source' ELSE s END AS source, 'general' AS dataset_type, length(t)::INTEGER AS n_chars, CASE WHEN coalesce(t, '') = '' THEN 'no text' WHEN label IS NULL THEN 'unknown label' ELSE '' END AS reason FROM r"""
+
+
 def _training(spark, sf_dir) -> DataFrame:
     """Labelled documents: quality as REAL or FAKE, with words."""
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
@@ -439,7 +452,7 @@ def stemmed_vocabulary(spark, sf_dir):
     return d.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (label_distribution, overview, prediction_statistics, confidence_histogram, live_counters, daily_series, weekly_series, monthly_series, event_series, event_sessions, recent_feed, suspicious_keywords, search_history, search_articles, paginate, retention_topn, newest_per_user, upsert_latest, delete_keys, conform_records, export_csv, api_log_summary, json_props, dedupe_exact, merge_datasets, dataset_profile, tfidf_terms, nb_train, nb_predict, nb_confusion, nb_metrics, lr_metrics, svm_metrics, model_comparison, nb_tfidf_metrics, nb_tfidf_report, model_inference, explain_terms, stemmed_vocabulary)}
+QUERIES = {f.__name__: f for f in (label_distribution, overview, prediction_statistics, confidence_histogram, live_counters, daily_series, weekly_series, monthly_series, event_series, event_sessions, recent_feed, suspicious_keywords, search_history, search_articles, paginate, retention_topn, newest_per_user, upsert_latest, delete_keys, conform_records, export_csv, api_log_summary, json_props, dedupe_exact, merge_datasets, dataset_profile, revalidated_records, tfidf_terms, nb_train, nb_predict, nb_confusion, nb_metrics, lr_metrics, svm_metrics, model_comparison, nb_tfidf_metrics, nb_tfidf_report, model_inference, explain_terms, stemmed_vocabulary)}
 _COUNT3 = ", ".join(f"count(*) FILTER (label = '{k}') AS {k.lower()}" for k in B.LABELS)
 ORACLES = {
     "label_distribution": f"WITH {_ANALYSES} SELECT place, l.label, count(a.id) AS n FROM (VALUES (0, 'REAL'), (1, 'FAKE'), (2, 'UNCERTAIN')) l(place, label) LEFT JOIN analyses a ON a.label = l.label GROUP BY ALL",
@@ -468,6 +481,7 @@ ORACLES = {
     "dedupe_exact": DEDUPE,
     "merge_datasets": MERGE,
     "dataset_profile": PROFILE,
+    "revalidated_records": REVALIDATED,
     "tfidf_terms": TFIDF,
     "nb_train": NB_TRAIN,
     "nb_predict": NB_PREDICT,
