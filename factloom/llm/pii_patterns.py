@@ -125,7 +125,8 @@ def found_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # most texts have no digit and no @: one quick look, then the runs
     runs = F.expr(f"CASE WHEN _text RLIKE '[0-9@]' THEN {matches('_text', RUN, fields)} ELSE array() END")
     cut = materialise(whole.select(F.monotonically_increasing_id().alias("row"), "doc_id", runs.alias("runs")), "runs")
-    return cut.withColumn("base", F.expr(f"flatten(transform(runs, r -> {_base_of('r.run', 'r.at')}))"))
+    runs = cut.withColumn("runs", F.expr(f"transform(runs, r -> named_struct('at', r.at, 'run', r.run, 'before', r.before, 'after', r.after, 'base', {_base_of('r.run', 'r.at')}))"))
+    return runs.withColumn("base", F.expr("flatten(transform(runs, r -> r.base))"))
 
 
 def _words(text: str) -> str:
@@ -135,15 +136,16 @@ def _words(text: str) -> str:
 
 def candidates(found: DataFrame) -> DataFrame:
     """row, start, end, value, known (bits of base kinds), fits (bits of kinds that the form allows), patterns."""
-    each = found.select("row", "base", F.explode("runs").alias("r"))
+    # no base span leaves its run
+    each = found.select("row", F.explode("runs").alias("r")).withColumn("base", F.col("r.base"))
     tokens = each.select("row", "base", "r", F.explode(F.expr(matches("r.run", TOKEN, "struct(w.at AS at, m AS m)"))).alias("t"))
     spans = tokens.select(
         "row",
         (F.col("r.at") + F.col("t.at")).cast("long").alias("start"),
         (F.col("r.at") + F.col("t.at") + F.length("t.m")).cast("long").alias("end"),
         F.col("t.m").alias("token"),
-        F.expr("concat(r.before, left(r.run, CAST(t.at AS INT)))").alias("before"),
-        F.expr("concat(substr(r.run, CAST(t.at AS INT) + length(t.m) + 1), r.after)").alias("after"),
+        F.expr(f"concat(r.before, substr(r.run, greatest(CAST(t.at AS INT) - {CONTEXT} + 1, 1), least(CAST(t.at AS INT), {CONTEXT})))").alias("before"),
+        F.expr(f"concat(substr(r.run, CAST(t.at AS INT) + length(t.m) + 1, {CONTEXT}), r.after)").alias("after"),
         "base",
     )
     touched = "aggregate(filter(base, b -> b.start < end AND b.end > start), 0, (a, b) -> a | shiftleft(1, b.kind))"
