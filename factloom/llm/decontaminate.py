@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import free_name, materialise
 
 N = 10
 BLOCK_BYTES, TABLE_BYTES = 8 << 20, 64 << 20
@@ -198,11 +198,12 @@ def without_spans(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Ser
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
     """``docs`` without contaminated documents, or (``remove='spans'``) without the hit words."""
-    found = find_hits(docs, benchmark, out="_hits", **options)
+    hits = free_name("_hits", docs)
+    found = find_hits(docs, benchmark, out=hits, **options)
     if remove == "documents":
-        return found.where(F.size("_hits.begins") == 0).drop("_hits")
+        return found.where(F.size(f"{hits}.begins") == 0).drop(hits)
     text = options.get("text_col", "text")
-    return found.withColumn(text, without_spans(text, "_hits.begins", "_hits.ends")).drop("_hits")
+    return found.withColumn(text, without_spans(text, f"{hits}.begins", f"{hits}.ends")).drop(hits)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

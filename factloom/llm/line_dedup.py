@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACES, UPPER, materialise, text_or_empty
+from .common import LOWER, SPACES, UPPER, free_name, materialise, text_or_empty
 
 MIN_CHARS = 10
 BROADCAST_BYTES = 16 << 20
@@ -139,12 +139,13 @@ def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the join where one id has many rows.
     """
     text = text_or_empty(text_col)
-    bitmaps = materialise(keep_bitmaps(docs, id_col, text_col, **options), "bitmaps").withColumnsRenamed({"doc": "_doc", "row": "_row", "n_dropped": "_dropped"})
+    doc, row, dropped = (free_name(c, docs) for c in ("_doc", "_row", "_dropped"))
+    bitmaps = materialise(keep_bitmaps(docs, id_col, text_col, **options), "bitmaps").withColumnsRenamed({"doc": doc, "row": row, "n_dropped": dropped})
     size = bitmaps.agg(F.coalesce(F.sum(F.octet_length("keep_bitmap") + 64), F.lit(0)).alias("b")).first().b
     bitmaps = F.broadcast(bitmaps) if size <= BROADCAST_BYTES else bitmaps
-    keyed = docs.drop("n_dropped", "keep_bitmap").withColumns({"_doc": F.coalesce(F.col(id_col), F.lit(_LAST)), "_row": F.xxhash64(text), "n_lines": F.size(F.split(text, "\n")).cast("long")})
-    joined = keyed.join(bitmaps, ["_doc", "_row"], "left")
-    return joined.withColumn("n_dropped", F.coalesce("_dropped", F.lit(0))).drop("_doc", "_row", "_dropped")
+    keyed = docs.drop("n_dropped", "keep_bitmap").withColumns({doc: F.coalesce(F.col(id_col), F.lit(_LAST)), row: F.xxhash64(text), "n_lines": F.size(F.split(text, "\n")).cast("long")})
+    joined = keyed.join(bitmaps, [doc, row], "left")
+    return joined.withColumn("n_dropped", F.coalesce(dropped, F.lit(0))).drop(doc, row, dropped)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -89,6 +89,23 @@ def core(docs):
     return docs.select("doc_id", "text", "lang", "source")
 
 
+def test_columns_of_working_names_stay(spark, benchmark):
+    names = ("_id", "_row", "_epoch", "_doc", "_hits", "_copies", "_dropped", "_HITS2")
+    rows = spark.createDataFrame(ROWS, SCHEMA).withColumns({c: F.lit(f"own {c}") for c in names})
+    own = lambda df: {c: {r[0] for r in df.select(c).distinct().collect()} for c in names}
+    want = {c: {f"own {c}"} for c in names}
+    kept = decontaminate.decontaminate(rows, benchmark)
+    assert own(kept) == want and kept.columns == rows.columns
+    spans = decontaminate.decontaminate(rows, benchmark, remove="spans")
+    assert own(spans) == want and spans.count() == len(ROWS)
+    marked = line_dedup.with_bitmaps(rows)
+    assert own(marked) == want and marked.count() == len(ROWS)
+    plain_rows = line_dedup.with_bitmaps(rows.drop(*names))
+    cut = ["doc_id", "n_lines", "n_dropped"]
+    assert as_set(marked.select(cut).collect(), cut, cut) == as_set(plain_rows.select(cut).collect(), cut, cut)
+    assert own(mixing.mix(rows)) == want and own(minhash_forest.keep_first(rows)) == want
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix_plan(docs)
     check_sql(spark, "op1_mixing", got, {"documents": core(docs)})
