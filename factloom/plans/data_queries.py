@@ -16,6 +16,7 @@ from factloom.operators import intelligence as I
 from factloom.operators import ml as M
 from factloom.operators import models as MO
 from factloom.operators import search as Q
+from factloom.operators import search_index as SI
 from factloom.operators import store as ST
 from factloom.sources import datasets as DS
 from factloom.sources import quarantine as QU
@@ -162,6 +163,23 @@ def search_articles(spark, sf_dir):
 SEARCH_ARTICLES = f"WITH {_ANALYSES} SELECT id, source FROM analyses WHERE contains(lower(concat_ws(' ', text, source)), 'und der')"
 
 
+NEEDLES = ("und der", " That The ", "of", "qzx no such words")
+
+
+def search_indexed(spark, sf_dir):
+    """Several needles over all documents, by a trigram index that is appended to twice."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    target = M.shared_path(spark, "grams")
+    late = F.pmod("id", F.lit(2)) == 1
+    for part in (docs.where(~late | late.isNull()), docs.where(late)):
+        SI.add(part, "id", ["text", "source"], target)
+    found = [SI.search(spark, target, "id", ["text", "source"], n).select(F.lit(n).alias("needle"), "id", "source") for n in NEEDLES]
+    return ST.union_all(found)
+
+
+SEARCH_INDEXED = f"SELECT needle, doc_id AS id, source FROM documents, (VALUES {', '.join(f"('{n}')" for n in NEEDLES)}) v(needle) WHERE contains(lower(concat_ws(' ', text, source)), lower(trim(needle)))"
+
+
 def paginate(spark, sf_dir):
     return Q.paginate(analyses(spark, sf_dir).select("id", "label", "ts"), [F.col("ts").desc(), F.col("id").desc()], 3)
 
@@ -452,7 +470,7 @@ def stemmed_vocabulary(spark, sf_dir):
     return d.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (label_distribution, overview, prediction_statistics, confidence_histogram, live_counters, daily_series, weekly_series, monthly_series, event_series, event_sessions, recent_feed, suspicious_keywords, search_history, search_articles, paginate, retention_topn, newest_per_user, upsert_latest, delete_keys, conform_records, export_csv, api_log_summary, json_props, dedupe_exact, merge_datasets, dataset_profile, revalidated_records, tfidf_terms, nb_train, nb_predict, nb_confusion, nb_metrics, lr_metrics, svm_metrics, model_comparison, nb_tfidf_metrics, nb_tfidf_report, model_inference, explain_terms, stemmed_vocabulary)}
+QUERIES = {f.__name__: f for f in (label_distribution, overview, prediction_statistics, confidence_histogram, live_counters, daily_series, weekly_series, monthly_series, event_series, event_sessions, recent_feed, suspicious_keywords, search_history, search_articles, search_indexed, paginate, retention_topn, newest_per_user, upsert_latest, delete_keys, conform_records, export_csv, api_log_summary, json_props, dedupe_exact, merge_datasets, dataset_profile, revalidated_records, tfidf_terms, nb_train, nb_predict, nb_confusion, nb_metrics, lr_metrics, svm_metrics, model_comparison, nb_tfidf_metrics, nb_tfidf_report, model_inference, explain_terms, stemmed_vocabulary)}
 _COUNT3 = ", ".join(f"count(*) FILTER (label = '{k}') AS {k.lower()}" for k in B.LABELS)
 ORACLES = {
     "label_distribution": f"WITH {_ANALYSES} SELECT place, l.label, count(a.id) AS n FROM (VALUES (0, 'REAL'), (1, 'FAKE'), (2, 'UNCERTAIN')) l(place, label) LEFT JOIN analyses a ON a.label = l.label GROUP BY ALL",
@@ -469,6 +487,7 @@ ORACLES = {
     "suspicious_keywords": SUSPICIOUS_KEYWORDS,
     "search_history": SEARCH,
     "search_articles": SEARCH_ARTICLES,
+    "search_indexed": SEARCH_INDEXED,
     "paginate": PAGINATE,
     "retention_topn": RETENTION,
     "newest_per_user": NEWEST_PER,
