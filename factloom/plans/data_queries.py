@@ -20,7 +20,7 @@ from factloom.operators import search_index as SI
 from factloom.operators import store as ST
 from factloom.sources import datasets as DS
 from factloom.sources import quarantine as QU
-from factloom.streaming import logs
+from factloom.streaming import logs, pairs
 
 from . import sqltext as S
 from .text_queries import read
@@ -116,6 +116,19 @@ s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNB
 c AS (SELECT user_id, sid, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM c GROUP BY user_id"""
 
 
+def token_activity(spark, sf_dir):
+    """Every event but sign-ups with the token (of a sign-up) it is under, for 12 hours from the issue."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    tokens = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("token_id"), F.col("ts").alias("issued"))
+    found = pairs.newest_token(e.where("event_type <> 'signup'"), tokens)
+    return found.select("event_id", "event_type", "token_id", F.expr("unix_micros(ts) - unix_micros(issued)").alias("age_us"))
+
+
+TOKEN_ACTIVITY = """SELECT a.event_id, a.event_type, t.event_id AS token_id, epoch_us(a.ts) - epoch_us(t.ts) AS age_us
+FROM (SELECT * FROM events WHERE event_type <> 'signup') a LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') t ON a.user_id = t.user_id AND t.ts <= a.ts AND a.ts < t.ts + INTERVAL 12 HOUR
+QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY t.ts DESC NULLS LAST, t.event_id DESC) = 1"""
+
+
 def recent_feed(spark, sf_dir):
     a = analyses(spark, sf_dir).select(F.lit("analysis").alias("kind"), "id", "ts", F.substring("text", 1, 20).alias("title"))
     e = read(spark, sf_dir, "events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), "ts", F.col("event_type").alias("title"))
@@ -470,7 +483,7 @@ def stemmed_vocabulary(spark, sf_dir):
     return d.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (label_distribution, overview, prediction_statistics, confidence_histogram, live_counters, daily_series, weekly_series, monthly_series, event_series, event_sessions, recent_feed, suspicious_keywords, search_history, search_articles, search_indexed, paginate, retention_topn, newest_per_user, upsert_latest, delete_keys, conform_records, export_csv, api_log_summary, json_props, dedupe_exact, merge_datasets, dataset_profile, revalidated_records, tfidf_terms, nb_train, nb_predict, nb_confusion, nb_metrics, lr_metrics, svm_metrics, model_comparison, nb_tfidf_metrics, nb_tfidf_report, model_inference, explain_terms, stemmed_vocabulary)}
+QUERIES = {f.__name__: f for f in (label_distribution, overview, prediction_statistics, confidence_histogram, live_counters, daily_series, weekly_series, monthly_series, event_series, event_sessions, token_activity, recent_feed, suspicious_keywords, search_history, search_articles, search_indexed, paginate, retention_topn, newest_per_user, upsert_latest, delete_keys, conform_records, export_csv, api_log_summary, json_props, dedupe_exact, merge_datasets, dataset_profile, revalidated_records, tfidf_terms, nb_train, nb_predict, nb_confusion, nb_metrics, lr_metrics, svm_metrics, model_comparison, nb_tfidf_metrics, nb_tfidf_report, model_inference, explain_terms, stemmed_vocabulary)}
 _COUNT3 = ", ".join(f"count(*) FILTER (label = '{k}') AS {k.lower()}" for k in B.LABELS)
 ORACLES = {
     "label_distribution": f"WITH {_ANALYSES} SELECT place, l.label, count(a.id) AS n FROM (VALUES (0, 'REAL'), (1, 'FAKE'), (2, 'UNCERTAIN')) l(place, label) LEFT JOIN analyses a ON a.label = l.label GROUP BY ALL",
@@ -483,6 +496,7 @@ ORACLES = {
     "monthly_series": _series("month", 6),
     "event_series": "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "event_sessions": EVENT_SESSIONS,
+    "token_activity": TOKEN_ACTIVITY,
     "recent_feed": RECENT,
     "suspicious_keywords": SUSPICIOUS_KEYWORDS,
     "search_history": SEARCH,
