@@ -193,6 +193,19 @@ def search_indexed(spark, sf_dir):
 SEARCH_INDEXED = f"SELECT needle, doc_id AS id, source FROM documents, (VALUES {', '.join(f"('{n}')" for n in NEEDLES)}) v(needle) WHERE contains(lower(concat_ws(' ', text, source)), lower(trim(needle)))"
 
 
+def variant_store(spark, sf_dir):
+    """Events with nested details of two origins in a stored VARIANT column, read back by paths."""
+    e = read(spark, sf_dir, "events")
+    own = ST.nested(e.select("event_id", "props", F.struct(F.col("event_type").alias("kind"), F.array(F.col("user_id"), F.col("event_id")).alias("ids")).alias("event"), F.col("value").alias("amount")), ["event_id", "props"])
+    kept = M.written(ST.nested_json(own, "props", "more").drop("props"), "variant")
+    out = ST.at_paths(kept, "details", {"kind": ("$.event.kind", "string"), "user_id": ("$.event.ids[0]", "long"), "amount": ("$.amount", "double"), "absent": ("$.event.none", "string")})
+    out = ST.at_paths(out, "more", {"k": ("$.k", "long"), "wrong": ("$", "long")})
+    return out.select("event_id", "kind", "user_id", "amount", "k", F.coalesce("absent", F.col("wrong").cast("string")).alias("absent"))
+
+
+VARIANT_STORE = "SELECT event_id, event_type AS kind, user_id, value AS amount, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS absent FROM events"
+
+
 def paginate(spark, sf_dir):
     return Q.paginate(analyses(spark, sf_dir).select("id", "label", "ts"), [F.col("ts").desc(), F.col("id").desc()], 3)
 
@@ -483,7 +496,7 @@ def stemmed_vocabulary(spark, sf_dir):
     return d.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (label_distribution, overview, prediction_statistics, confidence_histogram, live_counters, daily_series, weekly_series, monthly_series, event_series, event_sessions, token_activity, recent_feed, suspicious_keywords, search_history, search_articles, search_indexed, paginate, retention_topn, newest_per_user, upsert_latest, delete_keys, conform_records, export_csv, api_log_summary, json_props, dedupe_exact, merge_datasets, dataset_profile, revalidated_records, tfidf_terms, nb_train, nb_predict, nb_confusion, nb_metrics, lr_metrics, svm_metrics, model_comparison, nb_tfidf_metrics, nb_tfidf_report, model_inference, explain_terms, stemmed_vocabulary)}
+QUERIES = {f.__name__: f for f in (label_distribution, overview, prediction_statistics, confidence_histogram, live_counters, daily_series, weekly_series, monthly_series, event_series, event_sessions, token_activity, recent_feed, suspicious_keywords, search_history, search_articles, search_indexed, variant_store, paginate, retention_topn, newest_per_user, upsert_latest, delete_keys, conform_records, export_csv, api_log_summary, json_props, dedupe_exact, merge_datasets, dataset_profile, revalidated_records, tfidf_terms, nb_train, nb_predict, nb_confusion, nb_metrics, lr_metrics, svm_metrics, model_comparison, nb_tfidf_metrics, nb_tfidf_report, model_inference, explain_terms, stemmed_vocabulary)}
 _COUNT3 = ", ".join(f"count(*) FILTER (label = '{k}') AS {k.lower()}" for k in B.LABELS)
 ORACLES = {
     "label_distribution": f"WITH {_ANALYSES} SELECT place, l.label, count(a.id) AS n FROM (VALUES (0, 'REAL'), (1, 'FAKE'), (2, 'UNCERTAIN')) l(place, label) LEFT JOIN analyses a ON a.label = l.label GROUP BY ALL",
@@ -502,6 +515,7 @@ ORACLES = {
     "search_history": SEARCH,
     "search_articles": SEARCH_ARTICLES,
     "search_indexed": SEARCH_INDEXED,
+    "variant_store": VARIANT_STORE,
     "paginate": PAGINATE,
     "retention_topn": RETENTION,
     "newest_per_user": NEWEST_PER,
