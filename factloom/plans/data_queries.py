@@ -17,6 +17,7 @@ from factloom.operators import ml as M
 from factloom.operators import models as MO
 from factloom.operators import search as Q
 from factloom.operators import search_index as SI
+from factloom.operators import sketches as SK
 from factloom.operators import store as ST
 from factloom.sources import datasets as DS
 from factloom.sources import quarantine as QU
@@ -129,6 +130,21 @@ FROM (SELECT * FROM events WHERE event_type <> 'signup') a LEFT JOIN (SELECT * F
 QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY t.ts DESC NULLS LAST, t.event_id DESC) = 1"""
 
 
+def merged_summaries(spark, sf_dir):
+    """Weeks and months by stored daily summaries: exact rows, and whether the distinct users are within four standard errors of the exact count."""
+    e = read(spark, sf_dir, "events")
+    days = M.written(SK.daily(e, ["event_type"], F.col("user_id")), "days")
+    out = []
+    for unit in ("week", "month"):
+        exact = e.groupBy(F.trunc(F.to_date("ts"), unit).alias("begin"), "event_type").agg(F.count_distinct("user_id").alias("users"))
+        near = F.abs(F.col("distinct") - F.col("users")) <= F.col("users") * (4 * SK.standard_error())
+        out.append(SK.merged(days, ["event_type"], unit).join(exact, ["begin", "event_type"]).select(F.lit(unit).alias("unit"), "begin", "event_type", "n", "users", near.alias("within")))
+    return ST.union_all(out)
+
+
+MERGED_SUMMARIES = " UNION ALL ".join(f"SELECT '{u}' AS unit, CAST(date_trunc('{u}', ts) AS DATE) AS \"begin\", event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS within FROM events GROUP BY ALL" for u in ("week", "month"))
+
+
 def recent_feed(spark, sf_dir):
     a = analyses(spark, sf_dir).select(F.lit("analysis").alias("kind"), "id", "ts", F.substring("text", 1, 20).alias("title"))
     e = read(spark, sf_dir, "events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), "ts", F.col("event_type").alias("title"))
@@ -496,7 +512,7 @@ def stemmed_vocabulary(spark, sf_dir):
     return d.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (label_distribution, overview, prediction_statistics, confidence_histogram, live_counters, daily_series, weekly_series, monthly_series, event_series, event_sessions, token_activity, recent_feed, suspicious_keywords, search_history, search_articles, search_indexed, variant_store, paginate, retention_topn, newest_per_user, upsert_latest, delete_keys, conform_records, export_csv, api_log_summary, json_props, dedupe_exact, merge_datasets, dataset_profile, revalidated_records, tfidf_terms, nb_train, nb_predict, nb_confusion, nb_metrics, lr_metrics, svm_metrics, model_comparison, nb_tfidf_metrics, nb_tfidf_report, model_inference, explain_terms, stemmed_vocabulary)}
+QUERIES = {f.__name__: f for f in (label_distribution, overview, prediction_statistics, confidence_histogram, live_counters, daily_series, weekly_series, monthly_series, event_series, event_sessions, token_activity, merged_summaries, recent_feed, suspicious_keywords, search_history, search_articles, search_indexed, variant_store, paginate, retention_topn, newest_per_user, upsert_latest, delete_keys, conform_records, export_csv, api_log_summary, json_props, dedupe_exact, merge_datasets, dataset_profile, revalidated_records, tfidf_terms, nb_train, nb_predict, nb_confusion, nb_metrics, lr_metrics, svm_metrics, model_comparison, nb_tfidf_metrics, nb_tfidf_report, model_inference, explain_terms, stemmed_vocabulary)}
 _COUNT3 = ", ".join(f"count(*) FILTER (label = '{k}') AS {k.lower()}" for k in B.LABELS)
 ORACLES = {
     "label_distribution": f"WITH {_ANALYSES} SELECT place, l.label, count(a.id) AS n FROM (VALUES (0, 'REAL'), (1, 'FAKE'), (2, 'UNCERTAIN')) l(place, label) LEFT JOIN analyses a ON a.label = l.label GROUP BY ALL",
@@ -510,6 +526,7 @@ ORACLES = {
     "event_series": "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "event_sessions": EVENT_SESSIONS,
     "token_activity": TOKEN_ACTIVITY,
+    "merged_summaries": MERGED_SUMMARIES,
     "recent_feed": RECENT,
     "suspicious_keywords": SUSPICIOUS_KEYWORDS,
     "search_history": SEARCH,
