@@ -19,6 +19,7 @@ from factloom.functions import lexicons as L
 from factloom.functions import text as X
 
 from .intelligence import Lexicon, keyword_array
+from .ml import written
 
 MATCH, PER_PROVIDER, PER_CLAIM, SURE = 0.16, 8, 5, 0.34
 #: Weights of the similarities of titles, claim and text, and keywords.
@@ -38,14 +39,17 @@ def claim_points(sentence: Column, head_words: Column, lex: Lexicon) -> Column:
 
 
 def main_claims(articles: DataFrame, key: str = "doc_id", most: int = 3, lex: Lexicon = L.ENGLISH) -> DataFrame:
-    """key, claim_no, claim, title: the headline, then the best sentences, distinct, at most ``most``."""
+    """key, claim_no, claim, title: the headline, then the best sentences, distinct, at most ``most``.
+
+    Texts are read once; what is made of claims reads the written table.
+    """
     a = articles.withColumn("_words", keyword_array(F.col("title"), 8))
-    each = a.select(key, "title", "_words", F.posexplode("sents").alias("pos", "sentence")).where(F.length("sentence").between(55, 260))
+    each = a.select(key, "title", "_words", F.posexplode_outer("sents").alias("pos", "sentence")).where(F.length("sentence").between(55, 260))
     scored = each.withColumn("points", claim_points(F.col("sentence"), F.col("_words"), lex)).where("points > 35")
     best = scored.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy(F.col("points").desc(), "pos"))).where(F.col("n") <= most)
     both = best.select(key, "title", "n", F.trim("sentence").alias("claim")).unionByName(a.select(key, "title", F.lit(0).alias("n"), F.trim("title").alias("claim")))
     first = both.where("claim <> ''").groupBy(key, "title", "claim").agg(F.min("n").alias("n"))
-    return first.withColumn("claim_no", F.row_number().over(W.partitionBy(key).orderBy("n"))).where(F.col("claim_no") <= most).select(key, "claim_no", "claim", "title")
+    return written(first.withColumn("claim_no", F.row_number().over(W.partitionBy(key).orderBy("n"))).where(F.col("claim_no") <= most).select(key, "claim_no", "claim", "title"), "claims")
 
 
 def _indexed(df: DataFrame, ids: list[str], sets: dict[str, str]) -> DataFrame:
@@ -97,6 +101,7 @@ def match_evidence(claims: DataFrame, corpus: DataFrame, key: str = "doc_id", th
             "item_text": F.lower(F.concat_ws(" ", "title", "text")),
         }
     )
+    c, t = written(c.drop("claim", "title"), "claim-sets"), written(t.drop("title", "text"), "item-sets")
     left = _indexed(c, [key, "claim_no"], {"t": "ct", "c": "cc", "k": "ck"})
     right = _indexed(t, ["item_id"], {"t": "tt", "c": "tc", "k": "tk"})
     met = candidate_pairs(left, right, key, floors)
@@ -105,7 +110,7 @@ def match_evidence(claims: DataFrame, corpus: DataFrame, key: str = "doc_id", th
     pair = pair.withColumn("similarity", X.js_round(F.col("title_similarity") * WEIGHTS["t"] + F.col("claim_similarity") * WEIGHTS["c"] + F.col("overlap") * WEIGHTS["k"], 4)).where(F.col("similarity") >= threshold)
     pair = pair.withColumn("stance", stance(lex))
     rank = F.row_number().over(W.partitionBy(key, "claim_no").orderBy(F.col("similarity").desc(), "item_id"))
-    return pair.withColumn("rank", rank).where(F.col("rank") <= most).select(key, "claim_no", "item_id", "title_similarity", "claim_similarity", "overlap", "similarity", "stance", "rank")
+    return written(pair.withColumn("rank", rank).where(F.col("rank") <= most).select(key, "claim_no", "item_id", "title_similarity", "claim_similarity", "overlap", "similarity", "stance", "rank"), "matches")
 
 
 def stance(lex: Lexicon) -> Column:
