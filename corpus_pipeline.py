@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import decontaminate, minhash_forest, mixing, rule_classifier, sharding
-from factloom.llm.common import materialise, table
+from factloom.llm.common import materialise, release, table
 
 #: Near-duplicates of the pipeline share four fifths of their five-word shingles.
 NEAR_PERCENT = 80
@@ -64,7 +64,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialise(docs, f"stage{k + 1}")
+            if k:
+                release(before)  # the stage before last; the tables given stay
     return docs
