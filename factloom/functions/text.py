@@ -16,7 +16,13 @@ from pyspark.sql import functions as F
 from . import lexicons as L
 
 WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: The Unicode spaces of ``WS``.
+_WIDE_WS = WS.replace(r"\s", "")
+#: Members one by one: the regular expressions look such a class up in one table, while they ask ranges one after another.
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+#: A decimal number; what it begins with is asked before its boundary.
+NUMBER = rf"(?=[0-9]){LEFT}\d+(?:\.\d+)?{RIGHT}"
 
 
 def js_round(x: Column, digits: int = 0) -> Column:
@@ -36,26 +42,45 @@ def strip_ws(x: Column) -> Column:
 
 def collapse(x: Column) -> Column:
     """White space runs to one space, both ends trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), f"{WS}+", " "))
+
+    def narrow(v: Column) -> Column:
+        return F.when((F.octet_length(v) == F.length(v)) | ~F.regexp_replace(v, r"[\x00-\x7F]+", "").rlike(_WIDE_WS), v).otherwise(F.regexp_replace(v, _WIDE_WS, " "))
+
+    # one plain space between words is the rule, and isn't replaced
+    return F.trim(F.regexp_replace(F.regexp_replace(let(F.coalesce(x, F.lit("")), narrow), r"[\t-\r]", " "), "  +", " "))
 
 
 def remove_urls(x: Column) -> Column:
-    return F.regexp_replace(F.coalesce(x, F.lit("")), r"(?i)https?://\S+", " ")
+    return let(F.coalesce(x, F.lit("")), lambda v: F.when(F.contains(v, F.lit("://")), F.regexp_replace(v, r"(?i)https?://\S+", " ")).otherwise(v))
 
 
 def non_empty(parts: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
+def _parts(flat: Column, pattern: str) -> Column:
+    """Parts of a text that is trimmed and has single spaces: only an empty text has an empty part."""
+    return let(flat, lambda v: F.when(v == "", F.array().cast("array<string>")).otherwise(F.split(v, pattern)))
+
+
+#: The one space after an end of a sentence, in a collapsed text.
+_SENTENCE_END = " (?<=[.!?] )"
+
+
 def sentences(x: Column) -> Column:
-    return non_empty(F.split(collapse(x), r"(?<=[.!?])\s+"))
+    return _parts(collapse(x), _SENTENCE_END)
+
+
+def first_sentence(flat: Column) -> Column:
+    """The first of ``sentences`` of a collapsed text (empty if there is none), without the others."""
+    return F.get(F.split(flat, _SENTENCE_END, 2), F.lit(0))
 
 
 def tokens(x: Column, preserve_case: bool = False) -> Column:
     """Words of letters, digits, apostrophes and hyphens."""
-    kept = F.regexp_replace(remove_urls(x), r"[^\p{L}\p{N}\s'-]+", " ")
-    words = non_empty(F.split(collapse(kept), " "))
-    return words if preserve_case else F.transform(words, F.lower)
+    kept = collapse(F.regexp_replace(remove_urls(x), rf"(?=[^{_LOWER}{_UPPER}{_DIGITS} '-])[^\p{{L}}\p{{N}}\s'-]+", " "))
+    # a space ends a word for the rules of case too, so all words are folded at once
+    return _parts(kept if preserve_case else F.lower(kept), " ")
 
 
 def paragraphs(x: Column) -> Column:
@@ -96,26 +121,39 @@ def _split_patterns(patterns: Iterable[str]) -> tuple[list[str], list[str]]:
 
 
 def ascii_words(x: Column) -> Column:
-    return F.split(x, "[^A-Za-z0-9_]+")
+    return F.split(x, f"[^{_LOWER}{_UPPER}{_DIGITS}_]+")
 
 
-def patterns_present(lowered: Column, patterns: Iterable[str]) -> Column:
-    """How many patterns occur (not how often)."""
+def patterns_present(lowered: Column, patterns: Iterable[str], among: Column | None = None) -> Column:
+    """How many patterns occur (not how often).  ``among``: ``ascii_words`` of the text, where they are there."""
     words, others = _split_patterns(patterns)
-    out = F.size(F.array_intersect(ascii_words(lowered), F.array(*[F.lit(w) for w in words]))) if words else F.lit(0)
+    out = F.size(F.array_intersect(ascii_words(lowered) if among is None else among, F.array(*[F.lit(w) for w in words]))) if words else F.lit(0)
     for p in others:
         out = out + _found(lowered, p).cast("int")
     return out
 
 
-def any_present(lowered: Column, patterns: Iterable[str]) -> Column:
+def any_present(lowered: Column, patterns: Iterable[str], among: Column | None = None) -> Column:
     words, others = _split_patterns(patterns)
-    out = F.arrays_overlap(ascii_words(lowered), F.array(*[F.lit(w) for w in words])) if words else F.lit(False)
+    out = F.arrays_overlap(ascii_words(lowered) if among is None else among, F.array(*[F.lit(w) for w in words])) if words else F.lit(False)
     for p in others:
         out = out | _found(lowered, p)
     return out
 
 
+def occurrences_of(lowered: Column, phrases: Iterable[str], among: Column) -> Column:
+    """``occurrences`` summed over phrases; single words are counted in one pass over ``among`` (``ascii_words`` of the text)."""
+    phrases = list(phrases)
+    words = [p for p in phrases if _PLAIN.fullmatch(p)]
+    out = F.lit(0)
+    for times in sorted({words.count(w) for w in words}):
+        out = out + hits(among, [w for w in dict.fromkeys(words) if words.count(w) == times]) * times
+    for p in phrases:
+        if not _PLAIN.fullmatch(p):
+            out = out + F.when(F.contains(lowered, F.lit(p)), occurrences(lowered, p)).otherwise(0)
+    return out
+
+
 def phrases_present(lowered: Column, phrases: Iterable[str]) -> Column:
     out = F.lit(0)
     for p in phrases:
@@ -134,7 +172,8 @@ def count_of(x: Column, pattern: str) -> Column:
 
 
 def uppercase_ratio(x: Column) -> Column:
-    return count_of(x, "[A-Z]") / F.greatest(count_of(x, "[A-Za-z]"), F.lit(1))
+    letters = F.regexp_replace(x, f"[^{_LOWER}{_UPPER}]+", "")
+    return let(letters, lambda v: count_of(v, "[A-Z]") / F.greatest(F.length(v), F.lit(1)))
 
 
 def syllables(word: Column) -> Column:
@@ -167,9 +206,8 @@ def headline(x: Column) -> Column:
 
 def title_from(x: Column, limit: int = 110) -> Column:
     """The first sentence, cut; blank text has a stand-in."""
-    flat = collapse(x)
-    first = F.trim(F.substring(F.coalesce(F.get(sentences(x), F.lit(0)), F.lit("")), 1, limit))
-    return F.when(flat == "", "Untitled Record").when(first == "", F.trim(F.substring(flat, 1, limit))).otherwise(first)
+    first = lambda flat: F.trim(F.substring(first_sentence(flat), 1, limit))
+    return let(collapse(x), lambda flat: F.when(flat == "", "Untitled Record").when(first(flat) == "", F.trim(F.substring(flat, 1, limit))).otherwise(first(flat)))
 
 
 def summary(head: Column, x: Column, most: int = 3) -> Column:
@@ -181,15 +219,14 @@ def summary(head: Column, x: Column, most: int = 3) -> Column:
 
 def keyword_words(x: Column) -> Column:
     """Lower-case ASCII words, with those that can't be keywords blanked, so positions hold."""
-    flat = F.regexp_replace(collapse(F.lower(remove_urls(x))), r"[^a-z0-9\s]", " ")
-    words = non_empty(F.split(flat, r"\s+"))
+    words = non_empty(F.split(F.lower(remove_urls(x)), f"[^{_LOWER}{_DIGITS}]+"))
     return F.transform(words, lambda w: F.when((F.length(w) < 4) | w.isin(L.STOP_WORDS) | w.rlike(r"^\d+$"), "").otherwise(w))
 
 
 def similarity_tokens(x: Column) -> Column:
     """Distinct lower-case ASCII words of at least 3 characters."""
-    flat = collapse(F.regexp_replace(remove_urls(F.lower(F.coalesce(x, F.lit("")))), r"[^a-z0-9\s]", " "))
-    return F.array_distinct(F.filter(F.split(flat, " "), lambda w: F.length(w) >= 3))
+    words = F.split(remove_urls(F.lower(F.coalesce(x, F.lit("")))), f"[^{_LOWER}{_DIGITS}]+")
+    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -244,25 +281,32 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 
 FOLD_FROM, FOLD_TO, FOLD_WIDE = _folds()
 _WIDE = "[" + "".join(FOLD_WIDE) + "]"
+#: Different characters outside ASCII up to which a text is folded by one replacement for each.
+FEW = 24
 
 
 def fold_ascii(x: Column) -> Column:
     """Compatibility forms (accents, ligatures, full-width letters, fractions, ...) folded to their ASCII parts, other non-ASCII dropped.
 
-    Texts of ASCII only stay as they are, and forms of several parts are taken one
-    by one only where a translation (a look-up for each character) finds some.
+    Texts of ASCII only stay as they are.
     """
-    wide = F.create_map(*[F.lit(v) for pair in FOLD_WIDE.items() for v in pair])
+    # a map of thousands of literals is slow to plan, so it is read from one text
+    wide = F.str_to_map(F.lit("\n".join(f"{c}\t{p}" for c, p in FOLD_WIDE.items())), F.lit("\n"), F.lit("\t"))
+    is_wide = lambda v: F.length(F.translate(v, "".join(FOLD_WIDE), "")) < F.length(v)
     found = lambda v: F.array_distinct(F.regexp_extract_all(v, F.lit(f"({_WIDE})"), F.lit(1)))
-    spread = lambda v: F.when(F.length(F.translate(v, "".join(FOLD_WIDE), "")) < F.length(v), F.aggregate(found(v), v, lambda acc, c: F.replace(acc, c, F.element_at(wide, c)))).otherwise(v)
-    folded = lambda v: F.regexp_replace(F.translate(spread(v), FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
-    return let(F.coalesce(x, F.lit("")), lambda v: F.when(F.octet_length(v) == F.length(v), v).otherwise(folded(v)))
+    spread = lambda v: F.when(is_wide(v), F.aggregate(found(v), v, lambda acc, c: F.replace(acc, c, F.element_at(wide, c)))).otherwise(v)
+    folded = lambda v: F.regexp_replace(F.translate(spread(v), FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]+", "")
+    # a text of few different other characters has each replaced at once
+    odd = lambda v: F.array_distinct(F.split(F.regexp_replace(v, r"[\x00-\x7F]+", ""), ""))
+    each = lambda v, chars: F.aggregate(chars, v, lambda acc, c: F.replace(acc, c, folded(c)))
+    several = lambda v: let(odd(v), lambda chars: F.when(F.size(chars) <= FEW, each(v, chars)).otherwise(folded(v)))
+    return let(F.coalesce(x, F.lit("")), lambda v: F.when(F.octet_length(v) == F.length(v), v).otherwise(several(v)))
 
 
 def normal_text(x: Column) -> Column:
     """ASCII, lower case, no links, letters and digits only, single spaces."""
-    plain = F.regexp_replace(F.lower(fold_ascii(x)), r"https?://\S+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\s]", " "), r"\s+", " "))
+    plain = let(F.lower(fold_ascii(x)), lambda v: F.when(F.contains(v, F.lit("://")), F.regexp_replace(v, r"https?://\S+", " ")).otherwise(v))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, f"[^{_LOWER}{_DIGITS} ]", " "), "  +", " "))
 
 
 def looks_like_script(x: Column) -> Column:

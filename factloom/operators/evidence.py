@@ -33,8 +33,8 @@ def claim_points(sentence: Column, head_words: Column, lex: Lexicon) -> Column:
     low = F.lower(sentence)
     overlap = F.size(F.filter(head_words, lambda k: low.contains(k)))
     verbs = X.patterns_present(low, lex.claim_verbs)
-    numbers = X.count_of(sentence, rf"{X.LEFT}\d+(?:\.\d+)?{X.RIGHT}")
-    names = X.count_of(sentence, rf"{X.LEFT}[A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}}{X.RIGHT}")
+    numbers = X.count_of(sentence, X.NUMBER)
+    names = X.count_of(sentence, rf"(?=[A-Z]){X.LEFT}[A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}}{X.RIGHT}")
     return overlap * 35 + verbs * 25 + numbers * 20 + F.least(names, F.lit(3)) * 12 - F.when(F.length(sentence) > 260, 10).otherwise(0)
 
 

@@ -226,20 +226,34 @@ def suspicious_sentences(df: DataFrame, key: str = "doc_id", lex: Lexicon = L.EN
 
 
 def _suspicion(sentence: Column, lex: Lexicon) -> Column:
-    low = F.lower(sentence)
-    points = (
-        F.when(X.any_present(low, lex.sensational), 45).otherwise(0)
-        + F.when(X.any_present(low, lex.emotional), 30).otherwise(0)
-        + F.when(sentence.rlike("[!?]{2,}"), 20).otherwise(0)
-        + F.when(X.uppercase_ratio(sentence) > 0.24, 18).otherwise(0)
-        + F.when(X.any_present(low, lex.unsupported), 40).otherwise(0)
-    )
-    return F.least(points, F.lit(100)) / 100
+    def points(low: Column, words: Column) -> Column:
+        return (
+            F.when(X.any_present(low, lex.sensational, words), 45).otherwise(0)
+            + F.when(X.any_present(low, lex.emotional, words), 30).otherwise(0)
+            + F.when(sentence.rlike("[!?]{2,}"), 20).otherwise(0)
+            + F.when(X.uppercase_ratio(sentence) > 0.24, 18).otherwise(0)
+            + F.when(X.any_present(low, lex.unsupported, words), 40).otherwise(0)
+        )
+
+    # the words are made once for all lists
+    return F.least(X.let(F.lower(sentence), lambda low: X.let(X.ascii_words(low), lambda words: points(low, words))), F.lit(100)) / 100
+
+
+def _suspicious(sentence: Column, lex: Lexicon) -> Column:
+    """Whether ``_suspicion`` is 0.35 or more: one of the two heavy signs, or two of the three light ones; cheap ones are asked first."""
+    marks, capital = sentence.rlike("[!?]{2,}"), X.uppercase_ratio(sentence) > 0.24
+
+    def found(low: Column, words: Column) -> Column:
+        emotional = X.any_present(low, lex.emotional, words)
+        two = F.when(marks, emotional | capital).otherwise(emotional & capital)
+        return X.any_present(low, [*lex.sensational, *lex.unsupported], words) | two
+
+    return X.let(F.lower(sentence), lambda low: X.let(X.ascii_words(low), lambda words: found(low, words)))
 
 
 def count_suspicious(df: DataFrame, lex: Lexicon = L.ENGLISH) -> DataFrame:
     """n_suspicious (at most 5) without exploding."""
-    return df.withColumn("n_suspicious", F.least(F.size(F.filter("sents", lambda s: _suspicion(s, lex) >= 0.35)), F.lit(5)))
+    return df.withColumn("n_suspicious", F.least(F.size(F.filter("sents", lambda s: _suspicious(s, lex))), F.lit(5)))
 
 
 def rules(df: DataFrame, lex: Lexicon = L.ENGLISH) -> DataFrame:
@@ -247,12 +261,12 @@ def rules(df: DataFrame, lex: Lexicon = L.ENGLISH) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     n = F.size("tokens")
     # each count is a column of its own first, so that no branch below computes it again
-    df = df.withColumns(
+    df = df.withColumn("_words", X.ascii_words(F.col("lower_text"))).withColumns(
         {
             "_caps": X.uppercase_ratio(text),
             "_marks": X.count_of(text, "[!?]") + X.count_of(text, "[!?]{2,}") * 2,
-            "_emotional": X.patterns_present(F.col("lower_text"), lex.emotional),
-            "_sensational": X.patterns_present(F.col("lower_text"), lex.sensational),
+            "_emotional": X.patterns_present(F.col("lower_text"), lex.emotional, F.col("_words")),
+            "_sensational": X.patterns_present(F.col("lower_text"), lex.sensational, F.col("_words")),
             "_clickbait": X.patterns_present(F.lower(F.trim(F.coalesce("title", F.lit("")))), lex.clickbait),
         }
     )
@@ -274,7 +288,7 @@ def rules(df: DataFrame, lex: Lexicon = L.ENGLISH) -> DataFrame:
         }
     )
     weighted = _sum([F.col(f"r_{k}") * w for k, w in L.RULE_WEIGHTS.items()])
-    return df.withColumn("rule_risk", X.js_round(weighted / sum(L.RULE_WEIGHTS.values()), 4)).drop("_caps", "_marks", "_emotional", "_sensational", "_clickbait")
+    return df.withColumn("rule_risk", X.js_round(weighted / sum(L.RULE_WEIGHTS.values()), 4)).drop("_words", "_caps", "_marks", "_emotional", "_sensational", "_clickbait")
 
 
 def rule_findings(df: DataFrame) -> DataFrame:
@@ -286,16 +300,17 @@ def rule_findings(df: DataFrame) -> DataFrame:
 def writing_style(df: DataFrame, lex: Lexicon = L.ENGLISH) -> DataFrame:
     """style, style_share.  Expects sentiment, readability, rules and n_suspicious."""
     text, low = F.coalesce("text", F.lit("")), F.col("lower_text")
-    count = lambda words: _sum([X.occurrences(low, w) for w in words])
-    df = df.withColumns(
+    words = F.col("_words")
+    count = lambda phrases: X.occurrences_of(low, phrases, words)
+    df = df.withColumn("_words", X.ascii_words(low)).withColumns(
         {
             "_opinion": count(lex.opinionated),
             "_analysis": count(lex.analytical),
             "_talk": count(lex.conversational),
-            "_person": X.count_of(low, f"{X.LEFT}(?:i|we|our|my|us){X.RIGHT}"),
+            "_person": X.hits(words, ["i", "we", "our", "my", "us"]),
             "_asks": X.count_of(text, r"\?"),
             "_quotes": F.floor(X.count_of(text, '"') / 2),
-            "_numbers": X.count_of(text, rf"{X.LEFT}\d+(?:\.\d+)?{X.RIGHT}"),
+            "_numbers": X.count_of(text, X.NUMBER),
             "_loud": F.col("r_clickbait_title") + F.col("r_excessive_punctuation") + F.col("r_emotional_language") + F.col("r_sensational_phrases"),
             "_baits": X.patterns_present(F.lower(F.coalesce("title", F.lit(""))), lex.clickbait),
         }
@@ -312,7 +327,7 @@ def writing_style(df: DataFrame, lex: Lexicon = L.ENGLISH) -> DataFrame:
     top = F.array_max("_styles")
     total = F.aggregate("_styles", F.lit(0.0), lambda a, s: a + s["value"])
     df = df.withColumns({"style": top["style"], "style_share": X.js_round(top["value"] / F.when(total == 0, 1.0).otherwise(total), 3)})
-    return df.drop("_opinion", "_analysis", "_talk", "_person", "_asks", "_quotes", "_numbers", "_loud", "_baits", "_styles")
+    return df.drop("_words", "_opinion", "_analysis", "_talk", "_person", "_asks", "_quotes", "_numbers", "_loud", "_baits", "_styles")
 
 
 def heuristic(df: DataFrame, threshold: float = 0.72, lex: Lexicon = L.ENGLISH) -> DataFrame:
@@ -320,14 +335,15 @@ def heuristic(df: DataFrame, threshold: float = 0.72, lex: Lexicon = L.ENGLISH)
     combined = F.lower(F.concat_ws(" ", "title", "text"))
     trusted = F.when(F.coalesce("badge", F.lit("")) == "Trusted", 2).otherwise(0)
     n = F.size(X.non_empty(F.split(X.collapse(combined), " ")))
-    df = df.withColumns({"margin": X.patterns_present(combined, lex.real) + trusted - X.patterns_present(combined, lex.fake), "_n": n})
+    df = df.withColumn("_words", X.ascii_words(combined))
+    df = df.withColumns({"margin": X.patterns_present(combined, lex.real, F.col("_words")) + trusted - X.patterns_present(combined, lex.fake, F.col("_words")), "_n": n})
     decided = (F.col("_n") >= 45) & (F.abs("margin") >= 2)
     score = F.when(decided, F.least(F.lit(0.89), (60 + F.abs("margin") * 8) / 100)).otherwise(0.55)
     df = df.withColumn("h_score", score)
     df = df.withColumn("h_label", F.when(~decided | (F.col("h_score") < threshold), "UNCERTAIN").when(F.col("margin") > 0, "REAL").otherwise("FAKE"))
     rest = X.js_round(1 - F.col("h_score"), 4)
     pick = lambda own, other: F.when(F.col("h_label") == own, F.col("h_score")).when(F.col("h_label") == other, rest).otherwise(0.4)
-    return df.withColumns({"p_real": pick("REAL", "FAKE"), "p_fake": pick("FAKE", "REAL"), "p_uncertain": F.when(F.col("h_label") == "UNCERTAIN", 0.2).otherwise(0.0)}).drop("_n")
+    return df.withColumns({"p_real": pick("REAL", "FAKE"), "p_fake": pick("FAKE", "REAL"), "p_uncertain": F.when(F.col("h_label") == "UNCERTAIN", 0.2).otherwise(0.0)}).drop("_n", "_words")
 
 
 def fuse(df: DataFrame, threshold: float = 0.72, ml_weight: float = 0.68, rule_weight: float = 0.32) -> DataFrame:

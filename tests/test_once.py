@@ -1,9 +1,12 @@
 """Costly expressions and tables are computed once: plans are read, nothing is timed."""
 
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
+from factloom.functions import lexicons as L
+from factloom.functions import text as X
 from factloom.operators import evidence as E
 from factloom.operators import intelligence as I
 from factloom.operators import ml as M
@@ -46,3 +49,37 @@ def test_claims_matches_and_training_rows_are_written(spark):
     found = E.match_evidence(claims, spark.createDataFrame([(7, "Red houses in Old Town", text)], "item_id long, title string, text string"))
     assert all("LogicalRDD" not in plan(df) and "regexp" not in plan(df) for df in (claims, found, D._training(spark, DIR)))
     assert found.count() == claims.count() >= 1
+
+
+def test_sentences_words_are_made_once_for_all_lists(spark):
+    """Each list of words lowered and split every sentence anew."""
+    df = I.prepare(spark.createDataFrame([("He said that is so. FROM the idiot!! Plain.",), (None,)], "text string"))
+    out = I.count_suspicious(df, L.CORPUS)
+    made = out.select(F.size(F.filter("sents", lambda s: I._suspicious(s, L.CORPUS))))._jdf.queryExecution().analyzed().expressions().toString()
+    assert made.count("lower(") == 1
+    assert [r.n_suspicious for r in out.collect()] == [2, 0]
+
+
+def test_words_are_folded_together(spark):
+    """Every word was lowered by itself, and white space was matched against ten ranges for each letter."""
+    df = spark.createDataFrame([("\u039f\u0394\u039f\u03a3 X\u3000Y\u00a0 Z\tW  \u0130s ",)], "text string")
+    out = df.select(X.tokens(F.col("text")).alias("t"), X.collapse(F.col("text")).alias("c"))
+    assert "lambda lower" not in plan(out).replace("lambdafunction(", "lambda ") and r"[\s" not in plan(out.select("c"))
+    assert out.first() == (["\u03bf\u03b4\u03bf\u03c2", "x", "y", "z", "w", "i\u0307s"], "\u039f\u0394\u039f\u03a3 X Y Z W \u0130s")
+
+
+def test_folding_holds_no_map_of_literals(spark):
+    """A map of 445 pairs was planned and rewritten by every rule."""
+    texts = ["\u00c4pfel & \ufb01ne \u00bd stra\u00dfe \u4e2d", "".join(map(chr, range(0xC0, 0x180))), "plain", None, "http://\u00e9.x y"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    out = df.select(X.normal_text(F.col("text")).alias("t"))
+    assert not re.search(r"\bmap\(", out._jdf.queryExecution().analyzed().expressions().toString())
+    want = [re.sub("[^a-z0-9]+", " ", re.sub(r"https?://\S+", " ", unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode().lower())).strip() for t in texts]
+    assert [r.t for r in out.collect()] == want
+
+
+def test_occurrences_of_lists_are_those_of_their_words(spark):
+    df = spark.createDataFrame([("we can't do it, we do_it; do it",), ("",)], "x string")
+    phrases = ["we", "do", "can't", "do it", "we"]
+    one = sum((X.occurrences(F.col("x"), p) for p in phrases), F.lit(0))
+    assert [tuple(r) for r in df.select(one, X.occurrences_of(F.col("x"), phrases, X.ascii_words(F.col("x")))).collect()] == [(9, 9), (0, 0)]
