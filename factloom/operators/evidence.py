@@ -30,12 +30,10 @@ FLOORS = {"t": 0.16, "c": 0.2, "k": 0.0635}
 
 def claim_points(sentence: Column, head_words: Column, lex: Lexicon) -> Column:
     """Hundredths."""
-    low = F.lower(sentence)
-    overlap = F.size(F.filter(head_words, lambda k: low.contains(k)))
-    verbs = X.patterns_present(low, lex.claim_verbs)
+    said = lambda low: F.size(F.filter(head_words, lambda k: low.contains(k))) * 35 + X.patterns_present(low, lex.claim_verbs) * 25
     numbers = X.count_of(sentence, X.NUMBER)
     names = X.count_of(sentence, rf"(?=[A-Z]){X.LEFT}[A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}}{X.RIGHT}")
-    return overlap * 35 + verbs * 25 + numbers * 20 + F.least(names, F.lit(3)) * 12 - F.when(F.length(sentence) > 260, 10).otherwise(0)
+    return X.let(F.lower(sentence), said) + numbers * 20 + F.least(names, F.lit(3)) * 12 - F.when(F.length(sentence) > 260, 10).otherwise(0)
 
 
 def main_claims(articles: DataFrame, key: str = "doc_id", most: int = 3, lex: Lexicon = L.ENGLISH) -> DataFrame:
@@ -44,9 +42,12 @@ def main_claims(articles: DataFrame, key: str = "doc_id", most: int = 3, lex: Le
     Texts are read once; what is made of claims reads the written table.
     """
     a = articles.withColumn("_words", keyword_array(F.col("title"), 8))
-    each = a.select(key, "title", "_words", F.posexplode_outer("sents").alias("pos", "sentence")).where(F.length("sentence").between(55, 260))
-    scored = each.withColumn("points", claim_points(F.col("sentence"), F.col("_words"), lex)).where("points > 35")
-    best = scored.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy(F.col("points").desc(), "pos"))).where(F.col("n") <= most)
+    # a text's sentences are scored once and its best ones taken before rows are made of them; a filter on rows would score them twice
+    fit = F.filter(F.transform("sents", lambda s, i: F.struct(i.alias("pos"), s.alias("sentence"))), lambda x: F.length(x["sentence"]).between(55, 260))
+    scored = F.transform(fit, lambda x: F.struct((-claim_points(x["sentence"], F.col("_words"), lex)).alias("minus"), x["pos"].alias("pos"), x["sentence"].alias("sentence")))
+    own = F.slice(F.sort_array(F.filter(scored, lambda x: x["minus"] < -35)), 1, most)
+    each = a.select(key, "title", F.explode_outer(own).alias("x")).where("x IS NOT NULL").select(key, "title", (-F.col("x.minus")).alias("points"), "x.pos", "x.sentence")
+    best = each.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy(F.col("points").desc(), "pos"))).where(F.col("n") <= most)
     both = best.select(key, "title", "n", F.trim("sentence").alias("claim")).unionByName(a.select(key, "title", F.lit(0).alias("n"), F.trim("title").alias("claim")))
     first = both.where("claim <> ''").groupBy(key, "title", "claim").agg(F.min("n").alias("n"))
     return written(first.withColumn("claim_no", F.row_number().over(W.partitionBy(key).orderBy("n"))).where(F.col("claim_no") <= most).select(key, "claim_no", "claim", "title"), "claims")

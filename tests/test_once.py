@@ -83,3 +83,14 @@ def test_occurrences_of_lists_are_those_of_their_words(spark):
     phrases = ["we", "do", "can't", "do it", "we"]
     one = sum((X.occurrences(F.col("x"), p) for p in phrases), F.lit(0))
     assert [tuple(r) for r in df.select(one, X.occurrences_of(F.col("x"), phrases, X.ascii_words(F.col("x")))).collect()] == [(9, 9), (0, 0)]
+
+
+def test_claims_score_a_sentence_once(spark, monkeypatch):
+    """A filter on the points was pushed below them, so that each sentence was scored twice, and all that passed it met a window."""
+    seen = []
+    monkeypatch.setattr(E, "written", lambda df, tag: seen.append(df) or df)
+    text = " ".join(f"Sentence number {i} is about {i * 7} red houses in the Old Town of Rome." for i in range(9))
+    docs = I.prepare(spark.createDataFrame([(1, "Red houses in Old Town", text), (1, "Red houses in Old Town", text), (2, None, None)], "doc_id long, title string, text string"))
+    out = E.main_claims(docs)
+    assert plan(seen[0]).count("(?=[A-Z])") == 1
+    assert [(r.doc_id, r.claim_no, r.claim[:17]) for r in out.orderBy("doc_id", "claim_no").collect()] == [(1, 1, "Red houses in Old"), (1, 2, "Sentence number 0"), (1, 3, "Sentence number 1")]
