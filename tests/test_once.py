@@ -94,3 +94,16 @@ def test_claims_score_a_sentence_once(spark, monkeypatch):
     out = E.main_claims(docs)
     assert plan(seen[0]).count("(?=[A-Z])") == 1
     assert [(r.doc_id, r.claim_no, r.claim[:17]) for r in out.orderBy("doc_id", "claim_no").collect()] == [(1, 1, "Red houses in Old"), (1, 2, "Sentence number 0"), (1, 3, "Sentence number 1")]
+
+
+def test_passes_over_few_rows_take_few_tasks(spark):
+    """Each task of each pass sends a gradient as long as the vocabulary, whatever few rows it has; vectors were cached, terms weighed anew for each reader."""
+    rows = spark.range(40).repartition(9)
+    assert M.gathered(rows, 40).rdd.getNumPartitions() == 1 and M.gathered(rows, 40).count() == 40
+    assert M.gathered(rows, 3 * M.PASS_ENTRIES).rdd.getNumPartitions() == min(3, spark.sparkContext.defaultParallelism)
+    docs = spark.createDataFrame([(1, ["aaa", "bbb"]), (2, ["aaa", "bbb", "aaa"]), (3, []), (4, None)], "doc_id long, words array<string>")
+    idf = M.fit_tfidf(docs, 2)
+    got = {r.doc_id: r.features for r in M.vectors(M.weigh(docs, idf), idf, docs.select("doc_id"))[0].collect()}
+    place = {r.term: r.place for r in M.places(idf).collect()}
+    want = {(r.doc_id, place[r.term]): r.weight for r in M.weigh(docs, idf).collect()}
+    assert {(d, int(i)): float(v[int(i)]) for d, v in got.items() for i in v.indices} == want and {v.size for v in got.values()} == {3}
