@@ -46,8 +46,9 @@ def collapse(x: Column) -> Column:
     def narrow(v: Column) -> Column:
         return F.when((F.octet_length(v) == F.length(v)) | ~F.regexp_replace(v, r"[\x00-\x7F]+", "").rlike(_WIDE_WS), v).otherwise(F.regexp_replace(v, _WIDE_WS, " "))
 
-    # one plain space between words is the rule, and isn't replaced
-    return F.trim(F.regexp_replace(F.regexp_replace(let(F.coalesce(x, F.lit("")), narrow), r"[\t-\r]", " "), "  +", " "))
+    # one plain space between words is the rule, and isn't replaced; a text without two is not read letter by letter
+    one = lambda v: F.when(F.contains(v, F.lit("  ")), F.regexp_replace(v, "  +", " ")).otherwise(v)
+    return F.trim(let(F.regexp_replace(let(F.coalesce(x, F.lit("")), narrow), r"[\t-\r]", " "), one))
 
 
 def remove_urls(x: Column) -> Column:
@@ -206,8 +207,13 @@ def headline(x: Column) -> Column:
 
 def title_from(x: Column, limit: int = 110) -> Column:
     """The first sentence, cut; blank text has a stand-in."""
-    first = lambda flat: F.trim(F.substring(first_sentence(flat), 1, limit))
-    return let(collapse(x), lambda flat: F.when(flat == "", "Untitled Record").when(first(flat) == "", F.trim(F.substring(flat, 1, limit))).otherwise(first(flat)))
+    return let(collapse(x), lambda flat: title_of(flat, limit))
+
+
+def title_of(flat: Column, limit: int = 110) -> Column:
+    """``title_from`` of a collapsed text."""
+    first = F.trim(F.substring(first_sentence(flat), 1, limit))
+    return F.when(flat == "", "Untitled Record").when(first == "", F.trim(F.substring(flat, 1, limit))).otherwise(first)
 
 
 def summary(head: Column, x: Column, most: int = 3) -> Column:

@@ -119,10 +119,27 @@ def normalised(df: DataFrame) -> DataFrame:
     return df.withColumns({"_title": X.normal_text(F.col("title")), "_text": X.normal_text(F.col("text"))})
 
 
+def digested(df: DataFrame) -> DataFrame:
+    """Records without title and text, so that no join or shuffle moves these: their signature's digest, what is blank, and the language stand for them."""
+    facts = {
+        "_no_text": F.trim("text") == "",
+        "_no_title": F.trim("title") == "",
+        "_no_language": language_hint(F.col("_text")) == "unknown",
+        "_key": F.sha2(signature(F.col("_title"), F.col("_text")), 256),
+    }
+    return normalised(df).select(*[c for c in df.columns if c not in ("title", "text")], *[v.alias(k) for k, v in facts.items()])
+
+
+def _is_digested(df: DataFrame) -> bool:
+    return "_key" in df.columns
+
+
 def deduplicate(df: DataFrame, order: str, key: Column | None = None) -> DataFrame:
-    """First row of each signature; groups meet by the signature's hash, with partial aggregation, so copies don't pile up in one task."""
-    key = signature(X.normal_text(F.col("title")), X.normal_text(F.col("text"))) if key is None else key
-    keyed = df.withColumn("_key", F.sha2(key, 256))
+    """First row of each signature (of records, or of what ``digested`` leaves of them); groups meet by the signature's hash, with partial aggregation, so copies don't pile up in one task."""
+    if _is_digested(df):
+        keyed = df
+    else:
+        keyed = df.withColumn("_key", F.sha2(signature(X.normal_text(F.col("title")), X.normal_text(F.col("text"))) if key is None else key, 256))
     first = keyed.groupBy("_key").agg(F.min(F.struct(order, *[c for c in df.columns if c != order])).alias("r"))
     return first.select("r.*").select(df.columns)
 
@@ -134,23 +151,16 @@ def language_hint(normal: Column) -> Column:
 
 
 def profile(df: DataFrame, order: str) -> DataFrame:
-    """One row: rows, blank texts and titles, duplicates, unknown languages, labels, warnings."""
+    """One row: rows, blank texts and titles, duplicates, unknown languages, labels, warnings (of records, or of what ``digested`` leaves of them)."""
     n = F.count(F.lit(1))
-    # the rows that aggregates see are narrow: a digest and a few flags
-    facts = normalised(df).select(
-        "label",
-        (F.trim("text") == "").alias("no_text"),
-        (F.trim("title") == "").alias("no_title"),
-        (language_hint(F.col("_text")) == "unknown").alias("no_language"),
-        F.sha2(signature(F.col("_title"), F.col("_text")), 256).alias("key"),
-    )
+    facts = df if _is_digested(df) else digested(df)  # the rows that aggregates see are narrow
     seen = facts.agg(
         n.alias("n_rows"),
-        F.count_if("no_text").alias("blank_texts"),
-        F.count_if("no_title").alias("blank_titles"),
-        F.count_if("no_language").alias("unknown_language"),
+        F.count_if("_no_text").alias("blank_texts"),
+        F.count_if("_no_title").alias("blank_titles"),
+        F.count_if("_no_language").alias("unknown_language"),
         *[F.count_if(F.col("label") == k).alias(f"n_{k.lower()}") for k in B.LABELS],
-        F.count_distinct("key").alias("n_distinct"),
+        F.count_distinct("_key").alias("n_distinct"),
     )
     return seen.select(
         "*",
@@ -161,11 +171,11 @@ def profile(df: DataFrame, order: str) -> DataFrame:
 
 
 def merge(parts: list[DataFrame], order: str) -> DataFrame:
-    """Union of conformed datasets, unknown labels and blank texts out, first of each signature."""
+    """Union of conformed datasets (all whole or all ``digested``), unknown labels and blank texts out, first of each signature."""
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return deduplicate(both.where("label IS NOT NULL AND text <> ''"), order)
+    return deduplicate(both.where("label IS NOT NULL AND " + ("NOT _no_text" if _is_digested(both) else "text <> ''")), order)
 
 
 def report(records: DataFrame, order: str, name: str) -> DataFrame:

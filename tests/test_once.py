@@ -11,6 +11,7 @@ from factloom.operators import evidence as E
 from factloom.operators import intelligence as I
 from factloom.operators import ml as M
 from factloom.plans import data_queries as D
+from factloom.sources import datasets as DS
 
 DIR = "/root/testdata/sf0.001"
 
@@ -107,3 +108,23 @@ def test_passes_over_few_rows_take_few_tasks(spark):
     place = {r.term: r.place for r in M.places(idf).collect()}
     want = {(r.doc_id, place[r.term]): r.weight for r in M.weigh(docs, idf).collect()}
     assert {(d, int(i)): float(v[int(i)]) for d, v in got.items() for i in v.indices} == want and {v.size for v in got.values()} == {3}
+
+
+def test_records_move_as_digests(spark):
+    """Texts went through the join with the labels and through the deduplication's shuffle, once for each part of a merge, and were collapsed two times."""
+    narrow = D.records(spark, DIR)
+    assert not {"text", "title"} & set(narrow.columns)
+    assert plan(narrow.select("_key")).count(r"[\t-\r]") == 1
+    for query in (D.dedupe_exact, D.merge_datasets, D.dataset_profile):
+        moved = re.findall(r"Exchange.*", query(spark, DIR)._jdf.queryExecution().executedPlan().toString())
+        assert moved and not re.search(r"\b(text|title)#", " ".join(moved))
+
+
+def test_digested_records_give_what_whole_ones_give(spark):
+    rows = [("a b", "T", "REAL", 1), ("A  b!", "t", "FAKE", 2), ("", "T", "FAKE", 3), (" ", "", "REAL", 4), ("the and of", "x", "odd", 5), ("the and of", "x", None, 6), ("the and of", "X", "UNCERTAIN", 7)]
+    whole = DS.conform(spark.createDataFrame([(x, t, k, "s", "claim", i) for x, t, k, i in rows], "text string, title string, label string, source string, dataset_type string, pos int"))
+    narrow = DS.digested(whole)
+    assert DS.profile(narrow, "pos").first() == DS.profile(whole, "pos").first()
+    for f in (lambda df: DS.deduplicate(df, "pos"), lambda df: DS.merge([df.where("pos < 3"), df.where("pos > 2")], "pos")):
+        want = sorted((r.pos, r.label, r.source) for r in f(whole).collect())
+        assert sorted((r.pos, r.label, r.source) for r in f(narrow).collect()) == want and len(want) >= 2
