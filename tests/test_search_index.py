@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,18 @@ def test_an_index_of_no_rows_and_stale_grams(spark, tmp_path):
     spark.createDataFrame([("xyz", 1, 0)], "gram string, id long, bucket int").withColumn("bucket", SI._folder(F.col("gram"), SI.GRAM_FOLDERS)).write.mode("append").partitionBy("bucket").parquet(f"{target}/grams")
     assert SI.candidates(spark, target, "id", "xyz").count() == 1 and SI.search(spark, target, "id", ["text"], "xyz").count() == 0
     assert [r.id for r in SI.search(spark, target, "id", ["text"], "ABC").collect()] == [1]
+
+
+def test_texts_share_a_row_of_their_gram(spark):
+    """Each text had a row for each of its grams, some hundred times as many to shuffle, sort and write."""
+    df = spark.createDataFrame(rows(40, 3), SHAPE).coalesce(1)
+    found = SI.postings(df, "id", ["text"]).collect()
+    want = {(i, t[k : k + 3].lower()) for i, t, _, _ in rows(40, 3) for k in range(len(t) - 2)}
+    assert len(found) == len({r.gram for r in found}) and sorted((i, r.gram) for r in found for i in r.ids) == sorted(want)
+
+
+def test_many_letters_and_texts_lose_no_gram():
+    """Where gram and text are too large for one number, fewer texts are taken at once."""
+    texts = list((np.arange(100_000) + 0x10000).astype("<u4").reshape(10_000, 10))
+    got = [(g, i) for b in SI._rows_of(texts, pa.array(range(10_000))) for g, ids in zip(b.column("gram").to_pylist(), b.column("ids").to_pylist()) for i in ids]
+    assert sorted(got) == sorted((t.tobytes().decode("utf-32-le")[k : k + 3], i) for i, t in enumerate(texts) for k in range(8))
