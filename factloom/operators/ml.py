@@ -100,30 +100,44 @@ class Porter:
         return w
 
 
-def stem(words: Column) -> Column:
-    """Stems of an array of words, in Arrow batches, each distinct word once a batch."""
+def stem(words: Column, least: int = 0, stop: list[str] | None = None) -> Column:
+    """Stems of an array of words, in Arrow batches, each distinct word once a batch; those shorter than ``least`` or in ``stop`` are left out.
+
+    ``words`` is a column of a table, not what ``terms`` makes in the same step:
+    Spark doesn't take Python out of the nested lambdas of such an expression.
+    """
+    banned = frozenset(stop or ())
 
     def run(batch: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
+        known: dict[str, str | None] = {}
         porter = Porter()
         out = []
         for ws in batch:
             for w in ws:
                 if w not in known:
-                    known[w] = porter.stem(w)
-            out.append([known[w] for w in ws])
+                    s = porter.stem(w)
+                    known[w] = None if len(s) < least or s in banned else s
+            out.append([known[w] for w in ws if known[w] is not None])
         return pd.Series(out, dtype=object)
 
     run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, T.ArrayType(T.StringType()))(words)
 
 
-def terms(text: Column, stemmed: bool = False, stop: list[str] | None = None) -> Column:
-    """Normal words of at least three letters that are no stop words or numbers; stems too must pass."""
+def terms(text: Column, stop: list[str] | None = None) -> Column:
+    """Normal words of at least three letters that are no stop words or numbers."""
     stop = STOP if stop is None else [*stop, *L.TRAINING_STOP_WORDS]
-    fit = lambda w: (F.length(w) >= 3) & ~w.isin(stop)
-    words = F.filter(F.split(X.normal_text(text), " "), lambda w: fit(w) & ~w.rlike(r"^\d+$"))
-    return F.filter(stem(words), fit) if stemmed else words
+    return F.filter(F.split(X.normal_text(text), " "), lambda w: (F.length(w) >= 3) & ~w.isin(stop) & ~w.rlike(r"^\d+$"))
+
+
+def stem_counts(docs: DataFrame, text: Column) -> DataFrame:
+    """stem, n: stems of the ``terms`` of all texts; stems too have three letters and are no stop words.
+
+    Words are counted before, so Python sees each distinct word once, and no text.
+    """
+    words = docs.select(F.explode_outer(terms(text)).alias("word")).where("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    stems = words.select("n", F.explode(stem(F.array("word"), 3, STOP)).alias("stem"))
+    return stems.groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 def grams(words: str) -> Column:

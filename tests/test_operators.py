@@ -356,6 +356,16 @@ def test_stemmed_vocabulary_reads_every_language(spark, tmp_path):
     assert len(got) == len(want) and {r.stem: r.n for r in got} == want
 
 
+def test_stems_are_made_of_counted_words(spark):
+    """Stems were made of an expression with nested lambdas, out of which Spark doesn't take Python, so that the query failed."""
+    rows = [(1, "The studies were published, published 2024 https://x.example/running"), (2, None), (3, ""), (4, "The of 7 buses ously"), (5, "Die Straßen führten"), (6, "studying thes")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = M.stem_counts(df, F.col("text"))
+    assert got.dtypes == [("stem", "string"), ("n", "bigint")]
+    assert {r.stem: r.n for r in got.collect()} == {"studi": 2, "publish": 2, "buse": 1, "ousli": 1, "die": 1, "straen": 1, "fuhrten": 1}
+    assert [r.s for r in spark.createDataFrame([(["thes", "buses", "ies"],), ([],)], "w array<string>").select(M.stem(F.col("w"), 3, ["the"]).alias("s")).collect()] == [["buse"], []]
+
+
 def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
